@@ -7,13 +7,41 @@ from pyspark.sql import functions as F
 
 from lodegraph.llm.common import durable, table
 from lodegraph.llm.decontaminate import decontaminate
+from lodegraph.llm.native_spans import masked
+from lodegraph.llm.near_dedup import near_duplicates
 from lodegraph.llm.packing import byte_length, pack_documents
+from lodegraph.llm.pii import find_personal, fit
+from lodegraph.llm.quality import score_quality, train_quality
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be good."""
+    model = train_quality(docs, table(spark, sf_dir, "labels"))
+    kept = score_quality(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("__text")), model, text_col="__text", keep=["row"])
+    return kept.where(F.col("predicted") == 1).select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class: the one whose id names it. Documents without an id stay, as do texts without words."""
+    classes = near_duplicates(docs)
+    copies = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
+    kept = docs.join(copies, "doc_id", "left_anti")
+    return kept.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return found.where(F.col("n_hit") == 0).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("__text"))
+    found = decontaminate(rows, table(spark, sf_dir, "benchmark"), text_col="__text", keep=["row"])
+    return found.where(F.col("n_hit") == 0).select("row.*")
+
+
+def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by the name of its kind; n_chars follows the text. Null texts stay null."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("__text"))
+    found = find_personal(rows, fit(docs), text_col="__text").select("row", F.when(F.col("__text").isNotNull(), masked(F.col("__text"), F.col("spans"))).alias("masked"))
+    new = {"text": F.col("masked"), "n_chars": F.length("masked").cast("long")}
+    return found.select(*(new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +49,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, byte_length())
 
 
-STAGES = [("benchmark decontamination", drop_contaminated), ("best-fit packing", pack)]
+STAGES = [
+    ("quality classifier", drop_low_quality),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("PII", mask_personal),
+    ("best-fit packing", pack),
+]
 
 #: The classifier's, the signatures' and the packing's arithmetic is not SQL; tests/llm holds them against brute force.
 ORACLE_SQL = None
