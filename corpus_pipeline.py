@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodegraph.llm.common import durable, table
 from lodegraph.llm.decontaminate import decontaminate
 from lodegraph.llm.native_spans import masked
-from lodegraph.llm.near_dedup import near_duplicates
+from lodegraph.llm.near_dedup import near_duplicates, text_mark
 from lodegraph.llm.packing import byte_length, pack_documents
 from lodegraph.llm.pii import find_personal, fit
 from lodegraph.llm.quality import score_quality, train_quality
@@ -22,11 +22,22 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one whose id names it. Documents without an id stay, as do texts without words."""
-    classes = near_duplicates(docs)
-    copies = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    """One document of each class: the first by id, and one row where that row is repeated."""
+    classes = durable(near_duplicates(docs), "classes")
+    marked = docs.withColumns({"__id": F.col("doc_id"), "__mark": text_mark("text")})
+
+    def of(rows: DataFrame):
+        return marked["__id"].eqNullSafe(rows["doc_id"]) & (marked["__mark"] == rows["mark"])
+
+    gone = classes.where(~F.col("first")).select("doc_id", "mark").distinct()
+    repeated = classes.where("first").groupBy("doc_id", "mark").count().where("count > 1").select("doc_id", "mark")
+    if repeated.isEmpty():
+        return marked.join(gone, of(gone), "left_anti").select(*docs.columns)
+    repeated = durable(repeated, "repeated")
+    more = gone.union(repeated)
+    single = marked.join(more, of(more), "left_anti")
+    several = marked.join(repeated, of(repeated), "left_semi")
+    return single.unionByName(several.dropDuplicates(["__id", "__mark"])).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

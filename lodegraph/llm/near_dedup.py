@@ -18,7 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.llm.common import durable, table
@@ -89,12 +89,16 @@ def _digests(raws: list[bytes], s: np.ndarray, t: np.ndarray, count: np.ndarray)
     return [hashlib.blake2b(s[a:b].tobytes() if c else raw, digest_size=16, person=b"words" if c else b"bytes").digest() for raw, a, b, c in zip(raws, bounds[:-1], bounds[1:], count, strict=True)]
 
 
+def text_mark(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, n: int) -> DataFrame:
-    """id, digest, size (of the multiset), bands (keys; empty for texts without words), a row for each row of docs."""
+    """id, mark (a hash of the text as it is), digest, size (of the multiset), bands (keys; empty for texts without words), a row for each row of docs."""
 
     def run(batches):
         for batch in batches:
-            raws = [x or b"" for x in batch.column(1).to_pylist()]
+            raws = [x or b"" for x in batch.column(2).to_pylist()]
             digests, sizes, keys = [], [], []
             for part in chunks(raws):
                 some = raws[part]
@@ -104,10 +108,10 @@ def signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, n
                 sizes += size.tolist()
                 k = band_keys(bag_minhash(*multisets(s, t, len(some)), len(some), bands * rows), bands, rows).view(np.int64)
                 keys += [row if c else [] for row, c in zip(k, count, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "mark", "digest", "size", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw")).mapInArrow(run, f"id {kind}, digest binary, size bigint, bands array<bigint>")
+    return docs.select(F.col(id_col).alias("id"), text_mark(text_col).alias("mark"), F.col(text_col).cast("binary").alias("raw")).mapInArrow(run, f"id {kind}, mark bigint, digest binary, size bigint, bands array<bigint>")
 
 
 def expanded(needed: DataFrame, n: int) -> DataFrame:
@@ -162,7 +166,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE) -> DataFrame:
-    """One row per row of docs: id, class_id (least id of its class), class_size (rows of the class).
+    """One row per row of docs: id, mark (text_mark of its text), class_id (least id of its class), class_size
+    (rows of the class), first (whether the row, or one equal to it in id and mark, stands for its class).
 
     A class is a connected component of links between texts of weighted Jaccard similarity of at least
     similarity over their multisets of n-word shingles (a text of fewer words is one shingle). Texts
@@ -171,7 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not read.
     """
     sign = durable(signed(docs, id_col, text_col, bands, rows, n), "signed")
-    texts = sign.groupBy("digest").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+    texts = sign.groupBy("digest").agg(F.min("id").alias("id"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     spread = texts.select("digest", "id", "size", F.explode("bands").alias("key"))
     crowded = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("leader")).where("n > 1")
     buckets = durable(spread.join(crowded.select("key", "leader"), "key").select("key", "leader", "digest", "id", "size"), "buckets")
@@ -207,14 +212,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
         if last:
             break
-    rooted = texts.select("digest", "id", "copies").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    classes = rooted.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
-    by_digest = rooted.select("digest", "root").join(classes, "root").select("digest", "class_id", "class_size")
-    return sign.select("id", "digest").join(by_digest, "digest").select(F.col("id").alias(id_col), "class_id", "class_size")
+    rooted = texts.select("digest", "first", "copies").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    classes = rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"))
+    by_digest = rooted.select("digest", "root").join(classes, "root").select("digest", F.col("first.id").alias("class_id"), F.col("first.mark").alias("class_mark"), "class_size")
+    is_first = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("mark") == F.col("class_mark"))
+    return sign.select("id", "mark", "digest").join(by_digest, "digest").select(F.col("id").alias(id_col), "mark", "class_id", "class_size", is_first.alias("first"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
 QUERIES = {"op10_near_duplicates": op10_near_duplicates}
