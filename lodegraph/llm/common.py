@@ -33,12 +33,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: its lineage ends there, and lost executors take nothing with them."""
+def durable(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """df written as a table in the shared folder and read again: its lineage ends there, and lost executors take nothing with them. files: at most so many, for tables known to be small."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lodegraph_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes durable tables that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._lodegraph_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words_of(raw: bytes) -> list[bytes]:

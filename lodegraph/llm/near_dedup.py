@@ -7,9 +7,11 @@ signature, and a component's least point is its value. Two texts agree in a comp
 sum(min counts) / sum(max counts), their weighted Jaccard similarity.
 
 Signatures are banded; texts that share a band are candidates; candidates are verified by the overlap of
-their multisets. Equal texts are folded before anything is paired. In a bucket all are compared with one
-leader; only texts that are still in different classes are compared further, so that no link between
-different texts is lost and the pairs of a large group are not written out.
+their multisets. Equal texts are folded before anything is paired. In a bucket all are verified against
+one leader. Texts of a bucket that are then still in different classes are compared by their signatures, in
+blocks of bounded size, and those that may reach the similarity are verified: first the likeliest partner
+of each, then, for what is left apart, every one, in place, where two texts share their first band. So no
+link between different texts is lost, and the pairs of a large group are not written out.
 """
 
 from __future__ import annotations
@@ -21,13 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import durable, table
+from lodegraph.llm.common import durable, release, table
 from lodegraph.llm.word_hashes import chunks, mix, multisets, shingles
 
 #: Words in a shingle, least similarity, bands and rows in a band.
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 26, 5
-#: Rounds of leaders before the remaining candidates are paired in full, and how many of those there may be for each text till then.
-LEADER_ROUNDS, PAIRS_PER_TEXT = 6, 2
+#: Texts in a block, shingles in a block of texts with their multisets; how far below the similarity a share of equal components
+#: still asks for verification (over four standard deviations of its error at 130 components).
+BLOCK, BLOCK_ITEMS, SLACK = 4096, 1_000_000, 0.15
+#: Rows of a group of buckets, and pairs looked at together, about.
+GROUP_ROWS, PAIRS_AT_ONCE = 16384, 400_000
 
 
 def _exponential(bits: np.ndarray) -> np.ndarray:
@@ -94,24 +99,26 @@ def text_mark(text_col: str) -> Column:
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, n: int) -> DataFrame:
-    """id, mark (a hash of the text as it is), digest, size (of the multiset), bands (keys; empty for texts without words), a row for each row of docs."""
+    """id, mark (a hash of the text as it is), digest, size (of the multiset), bands (keys; empty for texts without words), sig (16 bits of each component), a row for each row of docs."""
 
     def run(batches):
         for batch in batches:
             raws = [x or b"" for x in batch.column(2).to_pylist()]
-            digests, sizes, keys = [], [], []
+            digests, sizes, keys, sigs = [], [], [], []
             for part in chunks(raws):
                 some = raws[part]
                 s, t, count = shingles(some, n)
                 digests += _digests(some, s, t, count)
                 size = np.bincount(t, minlength=len(some)) if len(t) else np.zeros(len(some), dtype=np.int64)
                 sizes += size.tolist()
-                k = band_keys(bag_minhash(*multisets(s, t, len(some)), len(some), bands * rows), bands, rows).view(np.int64)
+                low = bag_minhash(*multisets(s, t, len(some)), len(some), bands * rows)
+                k = band_keys(low, bands, rows).view(np.int64)
+                sigs += [row.tobytes() for row in (mix(low.view(np.uint64)) >> np.uint64(48)).astype(np.uint16)]
                 keys += [row if c else [] for row, c in zip(k, count, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "mark", "digest", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["id", "mark", "digest", "size", "bands", "sig"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_mark(text_col).alias("mark"), F.col(text_col).cast("binary").alias("raw")).mapInArrow(run, f"id {kind}, mark bigint, digest binary, size bigint, bands array<bigint>")
+    return docs.select(F.col(id_col).alias("id"), text_mark(text_col).alias("mark"), F.col(text_col).cast("binary").alias("raw")).mapInArrow(run, f"id {kind}, mark bigint, digest binary, size bigint, bands array<bigint>, sig binary")
 
 
 def expanded(needed: DataFrame, n: int) -> DataFrame:
@@ -147,22 +154,136 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node of its component) for all nodes of edges (a, b) but the roots. Alternates large and small stars; hubs are joined, never gathered."""
-    flipped = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    """node, root (the least node of its component) for all nodes of edges (a, b) but the roots. Alternates large and small stars till nothing but stars is left; hubs are joined, never gathered."""
     stars = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
-    mark = None
+    files = max(1, stars.count() // 500_000)
     while True:
-        both = flipped(stars)
+        both = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).union(stars.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = durable(large, "stars")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("x"), "m").where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
-        stars = durable(small, "stars")
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if tuple(now) == mark:
+        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
+        old, stars = stars, durable(small, "stars", files)
+        release(old)
+        # done when no node hangs on two others or has another hang on it
+        again = stars.select(F.col("a").alias("n")).union(stars.select(F.col("b").alias("n")).distinct()).groupBy("n").count().where("count > 1")
+        if again.isEmpty():
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = tuple(now)
+
+
+def _candidates(pdf, similarity: float, components_: int, rows: int):
+    """Arrays (i, j, components that agree) of the pairs of rows of pdf that may be links: of one bucket, of different classes, of like sizes, signatures near enough, and not due in an earlier band. pdf is sorted by key; of two blocks, only pairs across are taken."""
+    sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint16).reshape(len(pdf), components_)
+    key, root, size, band, blk = (pdf[c].to_numpy() for c in ("key", "root", "size", "band", "blk"))
+    across = pdf["ba"].iloc[0] != pdf["bb"].iloc[0]
+    ends = np.searchsorted(key, key, side="right")
+    partners_ = ends - np.arange(len(key)) - 1
+    total = np.concatenate(([0], np.cumsum(partners_)))
+    at = 0
+    while at < len(key):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS_AT_ONCE, side="right")) - 1)
+        n = partners_[at:to]
+        i = np.repeat(np.arange(at, to), n)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + i + 1
+        at = to
+        good = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
+        if across:
+            good &= blk[i] != blk[j]
+        i, j = i[good], j[good]
+        for c in range(0, len(i), 50_000):
+            ic, jc = i[c : c + 50_000], j[c : c + 50_000]
+            equal = sig[ic] == sig[jc]
+            same = equal.sum(axis=1)
+            due = same >= (similarity - SLACK) * components_
+            ic, jc, same, equal = ic[due], jc[due], same[due], equal[due]
+            shared = equal.reshape(len(ic), -1, rows).all(axis=2)
+            first = ~(shared & (np.arange(shared.shape[1])[None, :] < band[ic][:, None])).any(axis=1)
+            if first.any():
+                yield ic[first], jc[first], same[first]
+
+
+def _sorted(pdf):
+    import pandas as pd
+
+    return pdf.assign(root=pd.factorize(pdf["root"])[0]).sort_values(["key", "digest"], kind="stable").drop_duplicates(["key", "digest"]).reset_index(drop=True)
+
+
+def _pairs(digest: np.ndarray, pairs):
+    import pandas as pd
+
+    return pd.DataFrame([(min(digest[i], digest[j]), max(digest[i], digest[j])) for i, j in pairs], columns=["a", "b"])
+
+
+def in_groups(split: DataFrame, blocks, groups: int) -> DataFrame:
+    """split dealt to groups (grp, ba, bb) of whole buckets, large buckets in pairs of blocks, so that every two texts of a bucket meet once."""
+    dealt = split.withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"ba": F.least("blk", "other"), "bb": F.greatest("blk", "other"), "grp": F.pmod(F.xxhash64("key"), F.lit(groups))}).drop("blocks", "other")
+
+
+def partners(split: DataFrame, groups: int, similarity: float, components_: int, rows: int) -> DataFrame:
+    """a, b: the likeliest partner, by signatures, of each text of a bucket among those in other classes. split: key, band, digest, size, root, sig, n (texts in the bucket)."""
+
+    def screen(pdf):
+        pdf = _sorted(pdf)
+        best, top = np.full(len(pdf), -1), np.full(len(pdf), -1)
+        for i, j, same in _candidates(pdf, similarity, components_, rows):
+            for x, y in ((i, j), (j, i)):
+                by = np.lexsort((-y, same, x))  # the last of each x is its best
+                last = by[np.concatenate((x[by][1:] != x[by][:-1], [True]))]
+                over = last[same[last] > top[x[last]]]
+                best[x[over]], top[x[over]] = y[over], same[over]
+        return _pairs(pdf["digest"].to_numpy(), ((i, j) for i, j in enumerate(best) if j >= 0))
+
+    dealt = in_groups(split.select("key", "band", "digest", "size", "root", "sig", "n"), F.ceil(F.col("n") / BLOCK).cast("int"), groups).drop("n")
+    return dealt.groupBy("grp", "ba", "bb").applyInPandas(screen, "a binary, b binary").distinct()
+
+
+def remaining_links(split: DataFrame, sets: DataFrame, groups: int, similarity: float, components_: int, rows: int) -> DataFrame:
+    """a, b: verified links that join all classes which links between texts of one bucket join. Texts with a possible partner in another class are flagged by signatures; then groups of flagged texts, with their multisets, are verified pair by pair in place, and pairs that other links have joined are passed over."""
+
+    def flag(pdf):
+        import pandas as pd
+
+        pdf = _sorted(pdf)
+        hit = np.zeros(len(pdf), dtype=bool)
+        for i, j, _ in _candidates(pdf, similarity, components_, rows):
+            hit[i] = hit[j] = True
+        return pd.DataFrame({"key": pdf["key"][hit], "digest": pdf["digest"][hit]})
+
+    def verify(pdf):
+        pdf = _sorted(pdf)
+        items = pdf["items"].to_list()
+        n = np.array([len(x) for x in items])
+        begin = np.cumsum(n) - n
+        ids = np.unique(np.concatenate(items), return_inverse=True)[1]
+        has = np.zeros(int(ids.max()) + 1 if len(ids) else 1, dtype=np.int32)
+        label, out = pdf["root"].to_numpy().copy(), []
+        for ic, jc, _ in _candidates(pdf, similarity, components_, rows):
+            for i in np.unique(ic):
+                js = jc[ic == i] if len(ic) < 64 else jc[np.searchsorted(ic, i) : np.searchsorted(ic, i, side="right")]
+                js = js[label[js] != label[i]]
+                if not len(js):
+                    continue
+                mine = ids[begin[i] : begin[i] + n[i]]
+                has[mine] = 1
+                where = np.repeat(begin[js] - (np.cumsum(n[js]) - n[js]), n[js]) + np.arange(int(n[js].sum()))
+                both = np.add.reduceat(has[ids[where]], np.cumsum(n[js]) - n[js])
+                has[mine] = 0
+                for j in js[both >= similarity * (n[i] + n[js] - both)]:
+                    if label[i] != label[j]:
+                        label[label == label[j]] = label[i]
+                        out.append((i, j))
+        return _pairs(pdf["digest"].to_numpy(), out)
+
+    whole = split.select("key", "band", "digest", "size", "root", "sig", "n")
+    flagged = in_groups(whole, F.ceil(F.col("n") / BLOCK).cast("int"), groups).drop("n").groupBy("grp", "ba", "bb").applyInPandas(flag, "key bigint, digest binary").distinct()
+    left = durable(whole.drop("n").join(flagged, ["key", "digest"]), "flagged")
+    total = left.agg(F.sum("size")).first()[0] or 0
+    sums = left.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("items_"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("items_") / BLOCK_ITEMS)).cast("int")
+    dealt = in_groups(left.join(sums, "key").join(sets, "digest"), blocks, max(1, -(-total // BLOCK_ITEMS))).drop("n", "items_")
+    return dealt.groupBy("grp", "ba", "bb").applyInPandas(verify, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE) -> DataFrame:
@@ -176,10 +297,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not read.
     """
     sign = durable(signed(docs, id_col, text_col, bands, rows, n), "signed")
-    texts = sign.groupBy("digest").agg(F.min("id").alias("id"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
-    spread = texts.select("digest", "id", "size", F.explode("bands").alias("key"))
+    texts = sign.groupBy("digest").agg(F.min("id").alias("id"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
+    spread = texts.select("digest", "id", "size", F.posexplode("bands").alias("band", "key"))
     crowded = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("leader")).where("n > 1")
-    buckets = durable(spread.join(crowded.select("key", "leader"), "key").select("key", "leader", "digest", "id", "size"), "buckets")
+    buckets = durable(spread.join(crowded.select("key", "leader"), "key").select("key", "band", "leader", "digest", "id", "size"), "buckets")
     needed = buckets.select("digest", F.col("id").alias("__id")).distinct()
     raw = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("raw"))
     sets = durable(expanded(raw.join(needed, "__id").select("digest", "raw"), n), "sets")
@@ -193,25 +314,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lead = lead.join(sized.select(F.col("digest").alias("leader"), F.col("size").alias("lead_size")), "leader").where(alike("size", "lead_size"))
     edges = durable(verified(lead.select(F.col("leader").alias("a"), F.col("digest").alias("b")), sets, similarity), "edges")
     roots = components(edges)
-    for k in range(LEADER_ROUNDS + 1):
-        members = buckets.select("key", "digest", "size").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-        per = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq")).where("roots > 1")
-        split = durable(members.join(per.select("key"), "key"), "split")
-        left, texts_left = per.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if not left:
-            break
-        last = k == LEADER_ROUNDS or left <= PAIRS_PER_TEXT * texts_left
-        m = split.select("key", F.col("digest").alias("b"), F.col("size").alias("bs"), F.col("root").alias("br"))
-        other = split.select("key", F.col("digest").alias("a"), F.col("size").alias("az"), F.col("root").alias("ar"))
-        if not last:
-            turn = F.xxhash64(F.col("a"), F.lit(k))
-            other = other.groupBy("key").agg(F.min_by(F.struct("a", "az", "ar"), turn).alias("l")).select("key", "l.*")
-        pairs = m.join(other, "key").where((F.col("ar") != F.col("br")) & alike("az", "bs") & ((F.col("a") < F.col("b")) if last else F.lit(True)))
-        more = durable(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, similarity), "edges")
+    groups = max(1, -(-buckets.count() // GROUP_ROWS))
+    for last in (False, True):
+        members = buckets.select("key", "band", "digest", "size").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+        apart = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key", "n")
+        split = members.join(apart, "key").join(texts.select("digest", "sig"), "digest")
+        how = groups, similarity, bands * rows, rows
+        found = remaining_links(split, sets, *how) if last else verified(partners(split, *how), sets, similarity)
+        more = durable(found, "edges")
         if not more.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-        if last:
-            break
+        release(more)
+    release(buckets, sets, edges)
     rooted = texts.select("digest", "first", "copies").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     classes = rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"))
     by_digest = rooted.select("digest", "root").join(classes, "root").select("digest", F.col("first.id").alias("class_id"), F.col("first.mark").alias("class_mark"), "class_size")

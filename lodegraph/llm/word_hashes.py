@@ -47,13 +47,14 @@ def hash_words(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     sizes = ends - starts
-    at = np.repeat(starts, sizes)
-    place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    value = _BYTE[flat[at + place]] * _places(int(sizes.max()))[place]
-    return mix(np.add.reduceat(mix(value), np.cumsum(sizes) - sizes))
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(begin.astype(np.int32), sizes)
+    value = _BYTE[flat[np.repeat(starts.astype(np.int32), sizes) + place]]
+    value *= _places(int(sizes.max()))[place]
+    return mix(np.add.reduceat(mix(value), begin))
 
 
-def chunks(raws: list[bytes], size: int = 2 << 20):
+def chunks(raws: list[bytes], size: int = 1 << 20):
     """Slices of raws of about size bytes; a longer text stands alone."""
     first, held = 0, 0
     for i, r in enumerate(raws):
