@@ -8,7 +8,7 @@ from collections.abc import Callable
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}
 #: Modules whose import registers queries.
-MODULES: tuple[str, ...] = ("lodegraph.plans.graph_queries", "lodegraph.plans.retrieval_queries")
+MODULES: tuple[str, ...] = tuple(f"lodegraph.plans.{m}" for m in ("graph_queries", "retrieval_queries", "history_queries", "relational_queries", "more_queries"))
 
 
 def query(name: str, oracle: str | None = None):
