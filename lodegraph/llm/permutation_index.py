@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from lodegraph.llm.common import table
 
 #: Pivots, length of the kept order, rows in the sample that pivots are chosen from.
-PIVOTS, PREFIX, SAMPLE = 128, 64, 4096
-#: Rows of a shard, queries of a block, the share of a shard that is reranked and its least number of rows.
-SHARD_ROWS, BLOCK_QUERIES, RERANK_SHARE, RERANK_LEAST = 8192, 4096, 0.1, 256
+PIVOTS, PREFIX, SAMPLE = 128, 48, 4096
+#: Rows of a shard, queries of a block, the share of a shard's different vectors that is reranked and its least number.
+SHARD_ROWS, BLOCK_QUERIES, RERANK_SHARE, RERANK_LEAST = 8192, 4096, 0.25, 640
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -39,44 +39,67 @@ def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :prefix].astype(np.uint8)
 
 
-def cosines(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Cosine of q with each row, summed in the same order for equal rows, so equal rows tie."""
-    a, b = q / np.abs(q).max(), rows / np.abs(rows).max(axis=1, keepdims=True)
-    return np.clip(np.einsum("ij,j->i", b, a) / (np.sqrt(np.einsum("ij,ij->i", b, b)) * np.sqrt(a @ a)), -1.0, 1.0)
+def choose_pivots(sample: np.ndarray, n: int, apart: float = 0.6) -> np.ndarray:
+    """n rows of a sample of unit vectors, in a fixed random order, passing over rows whose cosine to a chosen one exceeds apart as long as others are left: a crowd of like vectors gives one pivot, not many."""
+    order = sample[np.random.default_rng(20).permutation(len(sample))]
+    nearest_, chosen = np.full(len(order), -1.0), []
+    for limit in (apart, 0.9, 2.0):
+        for i in range(len(order)):
+            if len(chosen) == n:
+                break
+            if nearest_[i] <= limit:
+                chosen.append(i)
+                nearest_ = np.maximum(nearest_, order @ order[i])
+                nearest_[i] = 3.0
+    return order[chosen]
 
 
 class Shard:
-    """The inverted files of some rows."""
+    """The inverted files of some rows. Equal vectors are one entry with all their ids, so copies take no place from others."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, perm: np.ndarray, pivots: int):
-        self.ids, self.x, self.prefix = ids, x, perm.shape[1]
-        row = np.repeat(np.arange(len(ids), dtype=np.int32), self.prefix)
-        weight = np.tile(np.arange(self.prefix, 0, -1, dtype=np.uint8), len(ids))
-        by = np.argsort(perm.ravel(), kind="stable")
-        cut = np.searchsorted(perm.ravel()[by], np.arange(pivots + 1))
-        self.files = [(row[by[a:b]], weight[by[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-
-    def search(self, qid, q: np.ndarray, order: np.ndarray, k: int, share: float, least: int) -> list[tuple]:
-        near = np.zeros(len(self.ids), dtype=np.uint16)
+        self.prefix = perm.shape[1]
+        raw = np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
+        _, first, group = np.unique(raw, return_index=True, return_inverse=True)
+        by = np.lexsort((ids, group.ravel()))
+        self.ids, self.begin = ids[by], np.searchsorted(group.ravel()[by], np.arange(len(first) + 1))
+        self.rows = x[first] / np.abs(x[first]).max(axis=1, keepdims=True)
+        self.norms = np.sqrt(np.einsum("ij,ij->i", self.rows, self.rows))
+        flat = perm[first].ravel()
+        order = np.argsort(flat, kind="stable")
+        row, weight = (order // self.prefix).astype(np.int32), (self.prefix - order % self.prefix).astype(np.uint16)
+        cut = np.searchsorted(flat[order], np.arange(pivots + 1))
+        self.files = [(row[a:b], weight[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def nearness(self, order: np.ndarray) -> np.ndarray:
+        """prefix * (prefix + 1) / 2 less half the footrule distance to each entry, added up from the postings of a query's pivots."""
+        near = np.zeros(len(self.rows), dtype=np.uint16)
         for place, p in enumerate(order):
             rows, weight = self.files[p]
             near[rows] += np.minimum(weight, self.prefix - place)
-        n = max(least, int(np.ceil(share * len(self.ids))))
+        return near
+
+    def search(self, qid: int, q: np.ndarray, order: np.ndarray, k: int, share: float, least: int) -> list[tuple]:
+        """(query, id, cosine) of the k best reranked entries' ids. Sums run in the same order for equal vectors, so they tie."""
+        near = self.nearness(order)
+        n = max(least, int(np.ceil(share * len(near))))
         best = np.argpartition(near, len(near) - n)[len(near) - n :] if n < len(near) else np.arange(len(near))
-        best = best[self.ids[best] != qid]
-        if not len(best):
-            return []
-        score = cosines(q, self.x[best])
-        top = np.lexsort((self.ids[best], -score))
-        out, seen = [], set()
-        for j in top:
-            i = int(self.ids[best[j]])
-            if i not in seen:
-                seen.add(i)
-                out.append((qid, i, float(score[j])))
-                if len(out) == k:
-                    break
-        return out
+        a = q / np.abs(q).max()
+        score = np.clip(np.einsum("ij,j->i", self.rows[best], a) / (self.norms[best] * np.sqrt(a @ a)), -1.0, 1.0)
+        # one entry may hold nothing but the query itself, hence one more
+        floor = np.partition(score, len(score) - k - 1)[len(score) - k - 1] if len(score) > k + 1 else -2.0
+        found = []
+        for j in np.flatnonzero(score >= floor):
+            mine, taken = self.ids[self.begin[best[j]] : self.begin[best[j] + 1]], 0
+            last = None
+            for i in mine.tolist():
+                if i != qid and i != last:
+                    found.append((qid, i, float(score[j])))
+                    last, taken = i, taken + 1
+                    if taken == k:
+                        break
+        found.sort(key=lambda r: (-r[2], r[1]))
+        return found[:k]
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES, share: float = RERANK_SHARE, least: int = RERANK_LEAST) -> DataFrame:
@@ -99,7 +122,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     s = np.array(sample["v"].tolist())
     s /= np.abs(s).max(axis=1, keepdims=True)
     s = np.unique(s / np.linalg.norm(s, axis=1, keepdims=True), axis=0)
-    chosen = s[np.random.default_rng(20).permutation(len(s))[:pivots]]
+    chosen = choose_pivots(s, pivots)
     n_pivots, prefix = len(chosen), min(prefix, len(chosen))
     n_shards, n_blocks = -(-total // shard_rows), max(1, -(-n_queries // block_queries))
 
