@@ -42,8 +42,9 @@ def histogram(changes: DataFrame, unit: str) -> DataFrame:
 
 def activity(changes: DataFrame) -> DataFrame:
     """dimension, value, n: counts by change, by kind and in all, from one pass."""
-    g = changes.groupBy(F.explode(F.array(F.struct(F.lit("change").alias("dimension"), F.col("change").alias("value")), F.struct(F.lit("kind").alias("dimension"), F.col("kind").alias("value")), F.struct(F.lit("all").alias("dimension"), F.lit("").alias("value")))).alias("d")).count()
-    return g.select("d.dimension", "d.value", F.col("count").alias("n"))
+    one = lambda d, v: F.struct(F.lit(d).alias("dimension"), v.alias("value"))
+    every = changes.select(F.inline(F.array(one("change", F.col("change")), one("kind", F.col("kind")), one("all", F.lit("")))))
+    return every.groupBy("dimension", "value").agg(F.count("*").alias("n"))
 
 
 def ordered() -> Column:

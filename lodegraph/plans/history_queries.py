@@ -12,7 +12,7 @@ from lodegraph.registry import query
 from lodegraph.sources.tables import CHANGES_SQL, SYMBOLS_SQL, changes, load, symbols
 
 START, END = dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20)
-W_SQL = "at >= TIMESTAMP '2024-01-10' AND at <= TIMESTAMP '2024-01-20'"
+W_SQL = "occurred >= TIMESTAMP '2024-01-10' AND occurred <= TIMESTAMP '2024-01-20'"
 C = f"WITH {CHANGES_SQL}"
 
 
@@ -22,7 +22,7 @@ def window(spark, sf):
 
 for _unit in ("hour", "day", "week"):
 
-    @query(f"a8_histogram_{_unit}", f"{C} SELECT date_trunc('{_unit}', at)::TIMESTAMP AS bucket, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change = 'removed') AS removed, count(*) AS total FROM changes GROUP BY 1")
+    @query(f"a8_histogram_{_unit}", f"{C} SELECT date_trunc('{_unit}', occurred)::TIMESTAMP AS bucket, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change = 'removed') AS removed, count(*) AS total FROM changes GROUP BY 1")
     def _histogram(spark, sf, unit=_unit):
         return history.histogram(changes(spark, sf), unit).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
@@ -43,17 +43,17 @@ def project_diff(spark, sf):
     return window(spark, sf).groupBy("file").agg(*c.values(), F.countDistinct("symbol").alias("symbols"))
 
 
-@query("h3_recent_by_file", f"{C}, w AS (SELECT * FROM changes WHERE {W_SQL}), t AS (SELECT file, count(*) AS total FROM w GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8) SELECT file, total, place::INTEGER AS place, id, symbol, change FROM (SELECT w.*, total, row_number() OVER (PARTITION BY file ORDER BY at DESC, id DESC) AS place FROM w JOIN t USING (file)) WHERE place <= 10")
+@query("h3_recent_by_file", f"{C}, w AS (SELECT * FROM changes WHERE {W_SQL}), t AS (SELECT file, count(*) AS total FROM w GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8) SELECT file, total, place::INTEGER AS place, id, symbol, change FROM (SELECT w.*, total, row_number() OVER (PARTITION BY file ORDER BY occurred DESC, id DESC) AS place FROM w JOIN t USING (file)) WHERE place <= 10")
 def recent(spark, sf):
     return history.recent_by_file(window(spark, sf), 10, 8)
 
 
-@query("h4_symbol_history", f"{C}, x AS (SELECT *, lag(signature) OVER (PARTITION BY symbol ORDER BY at, id) AS before FROM changes) SELECT symbol, min(at) AS first_seen, max(at) AS last_modified, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (before IS NOT NULL AND before <> signature) AS churn, arg_max(change, at) = 'removed' AS gone FROM x GROUP BY 1")
+@query("h4_symbol_history", f"{C}, x AS (SELECT *, lag(signature) OVER (PARTITION BY symbol ORDER BY occurred, id) AS before FROM changes) SELECT symbol, min(occurred) AS first_seen, max(occurred) AS last_modified, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (before IS NOT NULL AND before <> signature) AS churn, arg_max(change, occurred) = 'removed' AS gone FROM x GROUP BY 1")
 def symbol_history(spark, sf):
     return history.symbol_history(changes(spark, sf))
 
 
-@query("h5_diff_samples", f"{C} SELECT kind, id, symbol FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY at, id) AS r FROM changes WHERE {W_SQL}) WHERE r <= 10")
+@query("h5_diff_samples", f"{C} SELECT kind, id, symbol FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY occurred, id) AS r FROM changes WHERE {W_SQL}) WHERE r <= 10")
 def diff_samples(spark, sf):
     w = Window.partitionBy("kind").orderBy("at", "id")
     return window(spark, sf).withColumn("r", F.row_number().over(w)).where("r <= 10").select("kind", "id", "symbol")
@@ -67,7 +67,7 @@ def snapshot_page(spark, sf):
     return p.orderBy("id").limit(50).select("id", "symbol", "change").crossJoin(F.broadcast(n))  # one row
 
 
-@query("h7_explain_changes", f"{C}, x AS (SELECT *, lag(signature) OVER (PARTITION BY symbol ORDER BY at, id) AS before FROM changes WHERE {W_SQL}) SELECT id, CASE WHEN change <> 'modified' THEN change WHEN before IS NOT DISTINCT FROM signature THEN 'body changed' ELSE 'signature changed' END AS label, count(*) OVER (PARTITION BY run, file) - 1 AS siblings FROM x")
+@query("h7_explain_changes", f"{C}, x AS (SELECT *, lag(signature) OVER (PARTITION BY symbol ORDER BY occurred, id) AS before FROM changes WHERE {W_SQL}) SELECT id, CASE WHEN change <> 'modified' THEN change WHEN before IS NOT DISTINCT FROM signature THEN 'body changed' ELSE 'signature changed' END AS label, count(*) OVER (PARTITION BY run, file) - 1 AS siblings FROM x")
 def explain(spark, sf):
     x = window(spark, sf).withColumn("before", F.lag("signature").over(Window.partitionBy("symbol").orderBy("at", "id")))
     return x.select("id", history.explain_change(F.col("change"), F.col("before"), F.col("signature")).alias("label"), (F.count("*").over(Window.partitionBy("run", "file")) - 1).alias("siblings"))
@@ -79,18 +79,18 @@ def runs(spark, sf):
     return r.orderBy(F.desc("run")).limit(500).withColumn("run", F.col("run").cast("timestamp_ntz"))
 
 
-@query("h9_change_history", f"{C} SELECT id, at, symbol, change FROM changes WHERE file = 'src/file3.fan' ORDER BY at DESC, id DESC LIMIT 1000")
+@query("h9_change_history", f"{C} SELECT id, occurred, symbol, change FROM changes WHERE file = 'src/file3.fan' ORDER BY occurred DESC, id DESC LIMIT 1000")
 def change_history(spark, sf):
-    return changes(spark, sf).where("file = 'src/file3.fan'").orderBy(F.desc("at"), F.desc("id")).limit(1000).select("id", "at", "symbol", "change")
+    return changes(spark, sf).where("file = 'src/file3.fan'").orderBy(F.desc("at"), F.desc("id")).limit(1000).select("id", F.col("at").alias("occurred"), "symbol", "change")
 
 
-@query("h10_net_changes", f"{C} SELECT symbol, count(*) AS n, CASE WHEN arg_max(change, at) = 'removed' THEN 'removed' WHEN arg_min(change, at) = 'added' THEN 'added' ELSE 'modified' END AS net FROM changes WHERE {W_SQL} GROUP BY 1")
+@query("h10_net_changes", f"{C} SELECT symbol, count(*) AS n, CASE WHEN arg_max(change, occurred) = 'removed' THEN 'removed' WHEN arg_min(change, occurred) = 'added' THEN 'added' ELSE 'modified' END AS net FROM changes WHERE {W_SQL} GROUP BY 1")
 def net_changes(spark, sf):
     return history.net_changes(window(spark, sf))
 
 
-_REPLAY = f"""{C}, now_ AS (SELECT symbol, arg_max(signature, at) AS signature FROM changes GROUP BY 1 HAVING arg_max(change, at) <> 'removed'), l AS (SELECT * FROM changes WHERE at > TIMESTAMP '2024-01-20'),
-d AS (SELECT symbol, arg_min(change, at) AS d_change, arg_min(signature, at) AS d_sig, min(at) AS d_at FROM l WHERE change IN ('added', 'removed') GROUP BY 1), m AS (SELECT symbol, arg_min(signature, at) AS m_sig, min(at) AS m_at FROM l WHERE change = 'modified' GROUP BY 1),
+_REPLAY = f"""{C}, now_ AS (SELECT symbol, arg_max(signature, occurred) AS signature FROM changes GROUP BY 1 HAVING arg_max(change, occurred) <> 'removed'), l AS (SELECT * FROM changes WHERE occurred > TIMESTAMP '2024-01-20'),
+d AS (SELECT symbol, arg_min(change, occurred) AS d_change, arg_min(signature, occurred) AS d_sig, min(occurred) AS d_at FROM l WHERE change IN ('added', 'removed') GROUP BY 1), m AS (SELECT symbol, arg_min(signature, occurred) AS m_sig, min(occurred) AS m_at FROM l WHERE change = 'modified' GROUP BY 1),
 j AS (SELECT coalesce(n.symbol, l.symbol) AS symbol, n.signature AS now_sig, n.symbol IS NOT NULL AS is_now FROM now_ n FULL JOIN (SELECT DISTINCT symbol FROM l) l USING (symbol))
 SELECT j.symbol, CASE WHEN m_at IS NOT NULL AND (d_at IS NULL OR m_at < d_at) THEN m_sig WHEN d_at IS NOT NULL THEN d_sig ELSE now_sig END AS signature FROM j LEFT JOIN d USING (symbol) LEFT JOIN m USING (symbol) WHERE CASE WHEN d_at IS NOT NULL THEN d_change = 'removed' ELSE is_now END"""
 
@@ -120,7 +120,7 @@ def code_neighbours(spark, sf):
     return n.select("id", "project", F.col("offset").alias("offset_"))
 
 
-@query("h14_symbol_diff", f"{C}, a AS (SELECT symbol, arg_max(signature, at) AS signature FROM changes WHERE at <= TIMESTAMP '2024-01-10' GROUP BY 1 HAVING arg_max(change, at) <> 'removed'), b AS (SELECT symbol, arg_max(signature, at) AS signature FROM changes WHERE at <= TIMESTAMP '2024-01-20' GROUP BY 1 HAVING arg_max(change, at) <> 'removed') SELECT symbol, CASE WHEN a.symbol IS NULL THEN 'added' WHEN b.symbol IS NULL THEN 'removed' ELSE 'modified' END AS change, a.signature AS old, b.signature AS new FROM a FULL JOIN b USING (symbol) WHERE a.symbol IS NULL OR b.symbol IS NULL OR a.signature <> b.signature")
+@query("h14_symbol_diff", f"{C}, a AS (SELECT symbol, arg_max(signature, occurred) AS signature FROM changes WHERE occurred <= TIMESTAMP '2024-01-10' GROUP BY 1 HAVING arg_max(change, occurred) <> 'removed'), b AS (SELECT symbol, arg_max(signature, occurred) AS signature FROM changes WHERE occurred <= TIMESTAMP '2024-01-20' GROUP BY 1 HAVING arg_max(change, occurred) <> 'removed') SELECT symbol, CASE WHEN a.symbol IS NULL THEN 'added' WHEN b.symbol IS NULL THEN 'removed' ELSE 'modified' END AS change, a.signature AS old, b.signature AS new FROM a FULL JOIN b USING (symbol) WHERE a.symbol IS NULL OR b.symbol IS NULL OR a.signature <> b.signature")
 def symbol_diff(spark, sf):
     def at(t):
         c = changes(spark, sf).where(F.col("at") <= F.lit(t)).groupBy("symbol").agg(F.max_by("signature", history.ordered()).alias("signature"), F.max_by("change", history.ordered()).alias("c"))
@@ -148,7 +148,7 @@ def run_delete_plan(spark, sf):
     return c.where(F.col("run") == day).select("symbol").distinct().join(later, "symbol", "left").select("symbol", F.coalesce("l", F.lit(False)).alias("changed_later"))
 
 
-@query("j14_as_of_run", f"{C}, r AS (SELECT DISTINCT run FROM changes WHERE day(run) % 3 = 0) SELECT c.id, (SELECT max(run) FROM r WHERE r.run <= c.at) AS run FROM changes c WHERE symbol < 20")
+@query("j14_as_of_run", f"{C}, r AS (SELECT DISTINCT run FROM changes WHERE day(run) % 3 = 0) SELECT c.id, (SELECT max(run) FROM r WHERE r.run <= c.occurred) AS run FROM changes c WHERE symbol < 20")
 def as_of_run(spark, sf):
     """Each change with the latest run that began before it."""
     c = changes(spark, sf)
@@ -161,7 +161,7 @@ def as_of_run(spark, sf):
     return best.withColumn("run", F.col("run").cast("timestamp_ntz"))
 
 
-@query("j14_as_of_price", "SELECT e.event_id, e.user_id, o.o_orderkey FROM events e ASOF LEFT JOIN (SELECT o_custkey, o_orderkey, o_orderdate + INTERVAL 9000 DAY AS at FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1) o ON o.o_custkey = e.user_id AND o.at <= e.ts WHERE e.event_id < 5000")
+@query("j14_as_of_price", "SELECT e.event_id, e.user_id, o.o_orderkey FROM events e ASOF LEFT JOIN (SELECT o_custkey, o_orderkey, o_orderdate + INTERVAL 9000 DAY AS occurred FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1) o ON o.o_custkey = e.user_id AND o.occurred <= e.ts WHERE e.event_id < 5000")
 def as_of_price(spark, sf):
     """Events as of the user's latest order (moved on to the events' time)."""
     o = load(spark, sf, "orders").groupBy("o_custkey", "o_orderdate").agg(F.min("o_orderkey").alias("o_orderkey"))

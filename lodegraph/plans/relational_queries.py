@@ -431,7 +431,7 @@ def page_titles(spark, sf):
 
 @query("io15_page_links", "WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*href=\"([^\"]*)\"', 1)) AS target FROM pages) SELECT page_id, target, count(*) AS n FROM a GROUP BY 1, 2")
 def page_links(spark, sf):
-    return parsers.html_links(load(spark, sf, "pages"), "page_id").groupBy("page_id", "target").agg(F.count("*").alias("n"))
+    return parsers.html_links(load(spark, sf, "pages"), "page_id").groupBy(F.col("id").alias("page_id"), "target").agg(F.count("*").alias("n"))
 
 
 @query("io19_line_numbers", "WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), x AS (SELECT doc_id, unnest(ls) AS content, unnest(range(1, len(ls) + 1)) AS line FROM d) SELECT doc_id, line::INTEGER AS line, length(content)::INTEGER AS size FROM x WHERE contains(content, 'License')")

@@ -62,7 +62,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CHANGES_SQL = """changes AS (SELECT event_id AS id, ts AS at, user_id AS symbol, CASE event_type WHEN 'signup' THEN 'added' WHEN 'error' THEN 'removed' ELSE 'modified' END AS change,
+CHANGES_SQL = """changes AS (SELECT event_id AS id, ts AS occurred, user_id AS symbol, CASE event_type WHEN 'signup' THEN 'added' WHEN 'error' THEN 'removed' ELSE 'modified' END AS change,
  json_extract_string(props, '$.k') AS signature, 'src/file' || (user_id % 20)::VARCHAR || '.fan' AS file, date_trunc('day', ts) AS run, event_type AS kind FROM events)"""
 
 
