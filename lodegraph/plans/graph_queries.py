@@ -179,29 +179,35 @@ def type_relationships(spark, sf):
     return graph.of_types(edges(spark, sf), ("view", "purchase")).join(a, "src").join(b, "dst").groupBy("from_type", "edge_type", "to_type").agg(F.count("*").alias("n"))
 
 
-def _communities_sql(rounds: int, last: str) -> str:
-    s = [f"WITH {E_CUT}, und AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*)::DOUBLE AS w FROM edges WHERE src <> dst AND edge_type = 'purchase' GROUP BY 1, 2), bo AS (SELECT a AS u, b AS v, w FROM und UNION ALL SELECT b, a, w FROM und), m2 AS (SELECT sum(w) AS m2 FROM bo), k AS (SELECT u AS id, sum(w) AS k FROM bo GROUP BY 1), c0 AS (SELECT id, id AS c FROM k)"]
-    for r in range(rounds):
-        s.append(f"""t{r} AS (SELECT c, sum(k) AS tot FROM c{r} JOIN k USING (id) GROUP BY 1),
- o{r} AS (SELECT l.id AS u, l.c AS own, k.k FROM c{r} l JOIN k USING (id) WHERE l.id % 2 = {r % 2}),
- p{r} AS (SELECT u, c, own, k, sum(w) AS w_in FROM (SELECT b.u, l.c, o.own, o.k, b.w FROM bo b JOIN c{r} l ON l.id = b.v JOIN o{r} o ON o.u = b.u UNION ALL SELECT u, own, own, k, 0.0 FROM o{r}) GROUP BY 1, 2, 3, 4),
- g{r} AS (SELECT u, p.c, own, round(w_in - k * (tot - CASE WHEN p.c = own THEN k ELSE 0 END) / (SELECT m2 FROM m2), 9) AS gain FROM p{r} p JOIN t{r} t ON t.c = p.c),
- b{r} AS (SELECT u, c AS dest FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY gain DESC, (c <> own)::INTEGER, c) AS rn FROM g{r}) WHERE rn = 1),
- c{r + 1} AS MATERIALIZED (SELECT l.id, coalesce(b.dest, l.c) AS c FROM c{r} l LEFT JOIN b{r} b ON b.u = l.id)""")
-    return ", ".join(s) + last.format(r=rounds)
+def _communities_sql(rounds: int, levels: int, last: str) -> str:
+    s = [f"WITH {E_CUT}, u0 AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*)::DOUBLE AS w FROM edges WHERE src <> dst AND edge_type = 'purchase' GROUP BY 1, 2)"]
+    for v in range(levels):
+        s.append(f"""bo{v} AS MATERIALIZED (SELECT a AS u, b AS v, w FROM u{v} WHERE a <> b UNION ALL SELECT b, a, w FROM u{v} WHERE a <> b), k{v} AS MATERIALIZED (SELECT id, sum(w) AS k FROM (SELECT u AS id, w FROM bo{v} UNION ALL SELECT a, 2 * w FROM u{v} WHERE a = b) GROUP BY 1), m{v} AS (SELECT sum(k) AS m2 FROM k{v}), c{v}_0 AS (SELECT id, id AS c FROM k{v})""")
+        for r in range(rounds):
+            x = f"{v}_{r}"
+            s.append(f"""t{x} AS (SELECT c, sum(k) AS tot FROM c{x} JOIN k{v} USING (id) GROUP BY 1),
+ o{x} AS (SELECT l.id AS u, l.c AS own, k.k FROM c{x} l JOIN k{v} k USING (id) WHERE l.id % 2 = {r % 2}),
+ p{x} AS (SELECT u, c, own, k, sum(w) AS w_in FROM (SELECT b.u, l.c, o.own, o.k, b.w FROM bo{v} b JOIN c{x} l ON l.id = b.v JOIN o{x} o ON o.u = b.u UNION ALL SELECT u, own, own, k, 0.0 FROM o{x}) GROUP BY 1, 2, 3, 4),
+ g{x} AS (SELECT u, p.c, own, round(w_in - k * (tot - CASE WHEN p.c = own THEN k ELSE 0 END) / (SELECT m2 FROM m{v}), 9) AS gain FROM p{x} p JOIN t{x} t ON t.c = p.c),
+ b{x} AS (SELECT u, c AS dest FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY gain DESC, (c <> own)::INTEGER, c) AS rn FROM g{x}) WHERE rn = 1),
+ c{v}_{r + 1} AS MATERIALIZED (SELECT l.id, coalesce(b.dest, l.c) AS c FROM c{x} l LEFT JOIN b{x} b ON b.u = l.id)""")
+        f = f"c{v}_{rounds}"
+        s.append(f"l{v} AS (SELECT id, c FROM {f})" if not v else f"l{v} AS (SELECT l.id, f.c FROM l{v - 1} l JOIN {f} f ON f.id = l.c)")
+        s.append(f"u{v + 1} AS MATERIALIZED (SELECT least(x.c, y.c) AS a, greatest(x.c, y.c) AS b, sum(w) AS w FROM u{v} JOIN {f} x ON x.id = a JOIN {f} y ON y.id = b GROUP BY 1, 2)")
+    return ", ".join(s) + last.format(label=f"l{levels - 1}")
 
 
 def bought(spark, sf):
     return graph.of_types(cut(spark, sf), ("purchase",))
 
 
-@query("g15_communities", _communities_sql(6, " SELECT id, c AS community, count(*) OVER (PARTITION BY c) AS size FROM c{r}"))
+@query("g15_communities", _communities_sql(6, 2, " SELECT id, c AS community, count(*) OVER (PARTITION BY c) AS size FROM {label}"))
 def communities(spark, sf):
     label = graph.communities(bought(spark, sf))
     return label.join(label.groupBy("community").agg(F.count("*").alias("size")), "community").select("id", "community", "size")
 
 
-@query("g15_modularity", _communities_sql(6, ", per AS (SELECT c, sum(w) AS tot, sum(CASE WHEN same THEN w ELSE 0 END) AS inside FROM (SELECT x.c, b.w, x.c = y.c AS same FROM bo b JOIN c{r} x ON x.id = b.u JOIN c{r} y ON y.id = b.v) GROUP BY 1) SELECT round(sum(inside) / sum(tot) - sum(tot * tot) / (sum(tot) * sum(tot)), 9) AS modularity FROM per"))
+@query("g15_modularity", _communities_sql(6, 2, ", per AS (SELECT c, sum(w) AS tot, sum(CASE WHEN same THEN w ELSE 0 END) AS inside FROM (SELECT x.c, b.w, x.c = y.c AS same FROM bo0 b JOIN {label} x ON x.id = b.u JOIN {label} y ON y.id = b.v) GROUP BY 1) SELECT round(sum(inside) / sum(tot) - sum(tot * tot) / (sum(tot) * sum(tot)), 9) AS modularity FROM per"))
 def modularity(spark, sf):
     e = bought(spark, sf)
     return graph.modularity(e, graph.communities(e)).select(F.round("modularity", 9).alias("modularity"))
