@@ -43,6 +43,18 @@ def durable(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     return out
 
 
+#: Rows of text in an Arrow batch, so that a worker holds little at once even of long texts.
+ARROW_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold ARROW_ROWS rows unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(ARROW_ROWS))
+    return df
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes durable tables that nothing will read again."""
     for t in tables:

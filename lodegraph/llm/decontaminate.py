@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodegraph.llm.common import char_offsets, table, word_bounds, words_of
+from lodegraph.llm.common import char_offsets, small_batches, table, word_bounds, words_of
 
 #: Words in a window, and the item text that one automaton may hold; more items make further automata.
 WINDOW = 10
@@ -115,7 +115,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 names=[*names, "n_words", "n_hit", "items", "hit_spans"],
             )
 
-    return docs.select(*names, F.col(text_col).cast("binary").alias("__raw")).mapInArrow(run, out)
+    return small_batches(docs).select(*names, F.col(text_col).cast("binary").alias("__raw")).mapInArrow(run, out)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

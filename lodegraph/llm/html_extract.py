@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodegraph.llm.common import table
+from lodegraph.llm.common import small_batches, table
 from lodegraph.llm.crf import CRF, train_crf
 
 #: Tags that bound a block, tags whose contents are no text, and tags without an end.
@@ -275,7 +275,7 @@ def extract_text(pages: DataFrame, field: CRF | None = None, html_col: str = "ht
             texts = [extract(x or "", field) for x in b.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(texts, pa.string()), pa.array([len(s) for s in texts], pa.int64())], names=[*names, "text", "n_chars"])
 
-    return pages.select(*names, F.col(html_col).alias("__html")).mapInArrow(run, out)
+    return small_batches(pages).select(*names, F.col(html_col).alias("__html")).mapInArrow(run, out)
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

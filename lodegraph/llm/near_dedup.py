@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import durable, release, table
+from lodegraph.llm.common import durable, release, small_batches, table
 from lodegraph.llm.word_hashes import chunks, mix, multisets, shingles
 
 #: Words in a shingle, least similarity, bands and rows in a band.
@@ -118,7 +118,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, n
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["id", "mark", "digest", "size", "bands", "sig"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_mark(text_col).alias("mark"), F.col(text_col).cast("binary").alias("raw")).mapInArrow(run, f"id {kind}, mark bigint, digest binary, size bigint, bands array<bigint>, sig binary")
+    return small_batches(docs).select(F.col(id_col).alias("id"), text_mark(text_col).alias("mark"), F.col(text_col).cast("binary").alias("raw")).mapInArrow(run, f"id {kind}, mark bigint, digest binary, size bigint, bands array<bigint>, sig binary")
 
 
 def expanded(needed: DataFrame, n: int) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodegraph.llm.common import table
+from lodegraph.llm.common import small_batches, table
 from lodegraph.llm.crf import CRF, train_crf
 from lodegraph.llm.word_hashes import chunks, hash_words, words_at
 
@@ -115,7 +115,8 @@ def scores(raws: list[bytes], model: QualityModel) -> np.ndarray:
 
 
 def fit_quality(raws: list[bytes], labels: np.ndarray, rounds: int = 150) -> QualityModel:
-    x, lines, _ = line_features(raws)
+    parts = [line_features(raws[part])[:2] for part in chunks(raws)] or [line_features([])[:2]]
+    x, lines = (np.concatenate(a) for a in zip(*parts, strict=True))
     mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(len(LINE_FEATURES)), np.ones(len(LINE_FEATURES)))
     if not len(x) or len(set(labels.tolist())) < 2:  # nothing to tell apart: every text is as likely as the labels say
         p = (labels.sum() + 1) / (len(labels) + 2)
@@ -164,7 +165,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
             s = scores([x or b"" for x in b.column(len(names)).to_pylist()], model)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(s, pa.float64())], names=[*names, "score"])
 
-    return docs.select(*names, F.col(text_col).cast("binary").alias("__raw")).mapInArrow(run, out).withColumn("predicted", (F.col("score") >= good).cast("int"))
+    return small_batches(docs).select(*names, F.col(text_col).cast("binary").alias("__raw")).mapInArrow(run, out).withColumn("predicted", (F.col("score") >= good).cast("int"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import table
+from lodegraph.llm.common import small_batches, table
 
 #: Text bytes that are encoded in one call, and the length from which a text is split.
 BATCH_BYTES = 1 << 20
@@ -73,7 +73,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     an empty result; other columns are not read, whatever their names.
     """
     kind = docs.schema[id_col].dataType
-    narrow = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    narrow = small_batches(docs).select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
 
     def run(batches):
         model = _model(model_path)
