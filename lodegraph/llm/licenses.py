@@ -114,5 +114,32 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_licenses(table(spark, sf_dir, "documents"))
 
 
+def _words_sql(text: str) -> str:
+    return f"list_filter(string_split_regex(lower({text}), '{GAP}'), lambda x: x <> '')"
+
+
+def _oracle() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    phrases = " UNION ALL ".join(f"SELECT r, unnest(list_filter(range(0, len(w) - {len(p.split()) - 1}), lambda i: w[i + 1 : i + {len(p.split())}] = {p.split()!r})) AS place, '{label}' AS label FROM d" for p, label in PHRASES)
+    notices = ", ".join(f"({k}, '{label}', {quoted(text)})" for k, (label, text) in enumerate(NOTICES))
+    gram = lambda w, i: f"array_to_string({w}[{i} + 1 : {i} + {NOTICE_GRAM}], ' ')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words_sql("coalesce(text, '')")} AS w FROM documents),
+p AS ({phrases}),
+based AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list_distinct(list(label))) AS base_labels FROM p GROUP BY r),
+t AS (SELECT tid, label, {_words_sql("text")} AS w FROM (VALUES {notices}) AS v(tid, label, text)),
+tg AS (SELECT tid, label, len(w) AS size, len(w) - {NOTICE_GRAM - 1} AS grams, t, {gram("w", "t")} AS g FROM (SELECT *, unnest(range(0, len(w) - {NOTICE_GRAM - 1})) AS t FROM t)),
+dg AS (SELECT r, i, {gram("w", "i")} AS g FROM (SELECT r, w, unnest(range(0, len(w) - {NOTICE_GRAM - 1})) AS i FROM d)),
+h AS (SELECT DISTINCT r, tid, label, size, grams, i - t AS diagonal, t FROM dg JOIN tg USING (g)),
+q AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, tid ORDER BY diagonal) <= {NEAR} THEN 0 ELSE 1 END AS fresh FROM (SELECT DISTINCT r, tid, diagonal FROM h)),
+runs AS (SELECT r, tid, diagonal, sum(fresh) OVER (PARTITION BY r, tid ORDER BY diagonal) AS run FROM q),
+s AS (SELECT r, label, count(DISTINCT t) / grams AS cover, (max(diagonal + t) - min(diagonal + t) + {NOTICE_GRAM}) / size AS stretch FROM h JOIN runs USING (r, tid, diagonal) GROUP BY r, tid, label, size, grams, run),
+noticed AS (SELECT r, list_distinct(list(label)) AS notice_labels, max(cover) AS cover FROM s WHERE cover >= {COVER} AND stretch BETWEEN {SPAN_SHARES[0]} AND {SPAN_SHARES[1]} GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base_labels, ','), '') AS base_labels,
+ coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base_labels, []), coalesce(notice_labels, [])))), ','), '') AS labels, (CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(cover, 0.0) END)::DOUBLE AS score
+FROM d LEFT JOIN based USING (r) LEFT JOIN noticed USING (r)
+"""
+
+
 QUERIES = {"op6_licenses": op6_licenses}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_licenses": _oracle()}

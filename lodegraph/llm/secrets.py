@@ -87,5 +87,30 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(listed(F.col("base_spans")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _matches_sql(kind: str, k: int, pattern: str, group: int) -> str:
+    p = _sql(pattern)
+    return f"SELECT r, '{kind}' AS kind, {k} AS k, string_split_regex(t, {p}) AS ps, regexp_extract_all(t, {p}) AS ms, regexp_extract_all(t, {p}, {group}) AS gs FROM d WHERE regexp_matches(t, {p})"
+
+
+#: The same form without the case flag, which elsewhere also folds letters beyond ASCII.
+_PLAIN_ASSIGN = ASSIGN.replace("(?i:password|passwd|secret|token|api_?key)", "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")))
+
+_SIZES = "coalesce(list_sum(list_transform({0}, lambda x: length(x))), 0)"
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(_matches_sql(kind, k, p, g) for k, (kind, p, g) in enumerate((("assign", _PLAIN_ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0), ("entropy", CANDIDATE, 0))))}),
+j AS (SELECT *, unnest(range(1, len(ms) + 1)) AS j FROM f),
+s AS (SELECT r, kind, k, ({_SIZES.format("ps[1:j]")} + {_SIZES.format("ms[1:j-1]")})::BIGINT AS s, ms[j] AS m, gs[j] AS g FROM j),
+e AS (SELECT *, s + length(m) AS e, CASE WHEN NOT regexp_matches(m, '[0-9]') OR NOT regexp_matches(m, '[A-Za-z]') OR regexp_matches(lower(m), {_sql(ALLOWED)}) THEN 99 WHEN regexp_full_match(m, '[0-9a-f]+|[0-9A-F]+') THEN {THRESHOLDS["hex"]} WHEN regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') THEN {THRESHOLDS["mixed"]} ELSE {THRESHOLDS["alnum"]} END AS least_ FROM s),
+b AS (SELECT * FROM e WHERE k IN (1, 2) OR k = 0 AND length(g) >= 8),
+h AS (SELECT * FROM e WHERE k = 3 AND list_max(list_transform(range(0, length(m) - {WINDOW - 1}), lambda i: list_aggregate(string_split(substr(m, i + 1, {WINDOW}), ''), 'entropy'))) >= least_ AND NOT EXISTS (SELECT 1 FROM b WHERE b.r = e.r AND b.s < e.e AND e.s < b.e)),
+x AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) FILTER (k < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS spans FROM (SELECT r, kind, k, s, e FROM b UNION ALL SELECT r, kind, k, s, e FROM h) GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN x USING (r)
+"""
+
 QUERIES = {"op3_secrets": op3_secrets}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_secrets": ORACLE}
