@@ -351,7 +351,7 @@ def export_dot(spark, sf):
     return export_lines(n, e, "dot").select("line")
 
 
-@query("io27_export_d3")
+@query("io27_export_d3", f"""WITH {E_CUT}, {NODES_SQL} SELECT 0 AS part, lpad(id::VARCHAR, 20, '0') AS ord, '{{"id":' || id || ',"name":"' || name || '","group":"' || node_type || '"}}' AS line FROM nodes UNION ALL SELECT DISTINCT 1, lpad(src::VARCHAR, 20, '0') || ':' || lpad(dst::VARCHAR, 20, '0') || ':' || edge_type, '{{"source":' || src || ',"target":' || dst || ',"type":"' || edge_type || '"}}' FROM edges""")
 def export_d3(spark, sf):
     return export_lines(nodes(spark, sf), cut(spark, sf), "d3")
 

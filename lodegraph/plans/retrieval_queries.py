@@ -86,7 +86,7 @@ def retry(spark, sf):
     return first.union(again.join(F.broadcast(first.limit(1).select(F.lit(1).alias("some"))), F.lit(True), "left_anti"))
 
 
-@query("r15_query_variants")
+@query("r15_query_variants", "SELECT * FROM (VALUES ('retejs', 0, 'retejs'), ('retejs', 1, 'rete'), ('vue-router', 0, 'vue-router'), ('vue-router', 1, 'vue router'), ('vue-router', 2, 'vue-rout'), ('vue-router', 3, 'vue-rou'), ('vue-router', 4, 'vue-ro'), ('vue-router', 5, 'vue-r'), ('SedonaStateService', 0, 'SedonaStateService'), ('SedonaStateService', 1, 'Sedona State Service'), ('SedonaStateService', 2, 'SedonaSt'), ('SedonaStateService', 3, 'SedonaS'), ('SedonaStateService', 4, 'Sedona'), ('SedonaStateService', 5, 'Sedon'), ('load from sax', 0, 'load from sax'), ('bolt.ts', 0, 'bolt.ts'), ('bolt.ts', 1, 'bolt'), ('bolt.ts', 2, 'bolt ts')) AS v(query, place, variant)")
 def variants(spark, sf):
     rows = [(q, i, v) for q in ("retejs", "vue-router", "SedonaStateService", "load from sax", "bolt.ts") for i, v in enumerate(retrieval.query_variants(q))]
     return spark.createDataFrame(rows, "query string, place int, variant string")
@@ -480,7 +480,7 @@ def first_sentences(spark, sf):
     return docs(spark, sf).select("doc_id", T.first_sentence(F.col("text")).alias("sentence"))
 
 
-@query("t29_hues")
+@query("t29_hues", "SELECT page_id, abs(list_reduce(list_transform(string_split(url, ''), lambda c: ascii(c)::BIGINT), lambda a, x: (a * 31 + x + 68719476736 * 64 + 2147483648) % 4294967296 - 2147483648, 0::BIGINT)) % 360 AS hue FROM pages")
 def hues(spark, sf):
     return load(spark, sf, "pages").select("page_id", T.hue(F.col("url")).alias("hue"))
 
