@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodegraph.session import settle
+
 #: Rank fusion's constant, the weights of the legs, candidates from each leg, and BM25's parameters.
 RRF_K, WEIGHTS, CANDIDATES, K1, B = 60, {"vector": 1.0, "keyword": 0.7, "bm25": 0.8}, 50, 1.2, 0.75
 
@@ -33,12 +35,12 @@ def bm25(docs: DataFrame, query: str, id_col: str, text_col: str, k1: float = K1
     """id, score, normalised (by the best). Only the query's terms are counted in a document; idf = ln(1 + (N - df + 0.5) / (df + 0.5))."""
     terms = sorted({t.lower() for t in query.split()})
     t = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("ts"))
-    t = _term_counts(t, terms)
+    t = settle(_term_counts(t, terms))  # a few numbers for each document; the texts are read once
     stats = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     hit = t.where(reduce(lambda x, y: x | y, (F.col(f"tf{i}") > 0 for i in range(len(terms))))).crossJoin(F.broadcast(stats))  # one row of statistics
     part = lambda i: F.when(F.col(f"tf{i}") > 0, F.ln(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
     scored = hit.select("id", reduce(lambda x, y: x + y, (part(i) for i in range(len(terms)))).alias("score"))
-    best = scored.agg(F.max("score").alias("best"))
+    best = scored.agg(F.max("score").alias("best"))  # one row
     return scored.crossJoin(F.broadcast(best)).select("id", "score", (F.col("score") / F.col("best")).alias("normalised"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,6 +22,23 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     return b.getOrCreate()
 
 
+_written: list[str] = []
+
+
+@atexit.register
+def _drop_local() -> None:
+    """Folders that this process wrote to a local disk go with it."""
+    for path in _written:
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
+def drop_settled(spark: SparkSession) -> None:
+    """Deletes all that settle() wrote in this process, wherever it lies; no result that is still to be read may rest on it."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """df written to the folder that all executors share (spark.checkpoint.dir) and read again.
 
@@ -31,5 +50,6 @@ def settle(df: DataFrame) -> DataFrame:
         folder = tempfile.mkdtemp(prefix="lodegraph-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
