@@ -9,7 +9,7 @@ from lodegraph.functions.text import LICENSE_WORDS, lines, path_tokens
 
 #: Declarations by language: (kind, pattern with the name in group 1), read line by line.
 DECLARATIONS = {
-    "fantom": (("class", r"^\s*(?:\w+\s+)*class\s+(\w+)"), ("mixin", r"^\s*(?:\w+\s+)*mixin\s+(\w+)"), ("enum", r"^\s*(?:\w+\s+)*enum\s+class\s+(\w+)"), ("constructor", r"^\s*(?:\w+\s+)*new\s+(\w+)\s*\("), ("method", r"^\s*(?!return\b|new\b|if\b|while\b|for\b|throw\b)(?:\w+\s+)*[A-Z][\w:?\[\]]*\s+(\w+)\s*\([^)]*\)\s*\{?"), ("field", r"^\s*(?!return\b)(?:\w+\s+)*[A-Z][\w:?\[\]]*\s+(\w+)\s*(?::=.*)?$")),
+    "fan": (("class", r"^\s*(?:\w+\s+)*class\s+(\w+)"), ("mixin", r"^\s*(?:\w+\s+)*mixin\s+(\w+)"), ("enum", r"^\s*(?:\w+\s+)*enum\s+class\s+(\w+)"), ("constructor", r"^\s*(?:\w+\s+)*new\s+(\w+)\s*\("), ("method", r"^\s*(?!return\b|new\b|if\b|while\b|for\b|throw\b)(?:\w+\s+)*[A-Z][\w:?\[\]]*\s+(\w+)\s*\([^)]*\)\s*\{?"), ("field", r"^\s*(?!return\b)(?:\w+\s+)*[A-Z][\w:?\[\]]*\s+(\w+)\s*(?::=.*)?$")),
     "python": (("class", r"^\s*class\s+(\w+)"), ("method", r"^\s+(?:async\s+)?def\s+(\w+)\s*\("), ("function", r"^(?:async\s+)?def\s+(\w+)\s*\(")),
     "ts": (("class", r"^\s*(?:export\s+)?(?:abstract\s+)?class\s+(\w+)"), ("type", r"^\s*(?:export\s+)?(?:interface|type|enum)\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:const|let)\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)[^=]*=>")),
     "go": (("type", r"^type\s+(\w+)\s+(?:struct|interface)"), ("method", r"^func\s+\([^)]*\)\s+(\w+)\s*\("), ("function", r"^func\s+(\w+)\s*\(")),
@@ -17,6 +17,7 @@ DECLARATIONS = {
     "java": (("class", r"^\s*(?:public|private|protected|abstract|final|static|\s)*(?:class|interface|enum|record)\s+(\w+)"), ("method", r"^\s+(?:public|private|protected|static|final|abstract|synchronized|\s)*[A-Z\w<>\[\]]+\s+(\w+)\s*\([^;]*\)\s*(?:throws\s[\w, ]+)?\{")),
 }
 DECLARATIONS["js"] = DECLARATIONS["vue"] = DECLARATIONS["ts"]
+#: Fixed value: the form of an import line.
 IMPORT_LINE = r"^\s*(?:import\b|from\s+\S+\s+import\b|export\s+.*\bfrom\b|using\s+[A-Za-z0-9_.:]+\s*$|(?:const|let|var)\s+[\w{}\s,:]+=\s*require\()"
 
 

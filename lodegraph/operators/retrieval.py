@@ -12,6 +12,15 @@ from lodegraph.session import settle
 #: Rank fusion's constant, the weights of the legs, candidates from each leg, and BM25's parameters.
 RRF_K, WEIGHTS, CANDIDATES, K1, B = 60, {"vector": 1.0, "keyword": 0.7, "bm25": 0.8}, 50, 1.2, 0.75
 
+#: Fixed values. Text score of one word: whole name, whole qualified name, prefix, part, description.
+ONE_WORD = (1.0, 0.9, 0.7, 0.5, 0.3)
+#: Of each of many words: whole name, prefix, part (each with what a name hit adds), qualified name, description; share of words met; all met.
+MANY_WORDS, SHARE_MET, ALL_MET = (0.65, 0.55, 0.45, 0.2, 0.1), 0.5, 0.3
+#: Boosts of a symbol hit: whole name, prefix, part; each word met; all met.
+NAME_BOOSTS, WORD_BOOST, ALL_WORDS_BOOST = (15.0, 8.0, 4.0), 2, 5.0
+#: File endings that a query may carry; prefixes tried of a single word.
+ENDINGS, PREFIXES = r"(?i)[-_.]?(jsx?|tsx?|vue|css|scss|mjs|cjs)$", (8, 4)
+
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
@@ -114,23 +123,23 @@ def keyword_score(name: Column, qualified: Column, description: Column, query: s
     q, words = query.lower().strip(), query.lower().split()
     n, f, d = F.lower(name), F.lower(F.coalesce(qualified, F.lit(""))), F.lower(F.coalesce(description, F.lit("")))
     if len(words) == 1:
-        return F.when(n == q, 1.0).when(f == q, 0.9).when(n.startswith(q), 0.7).when(n.contains(q), 0.5).when(d.contains(q), 0.3).otherwise(0.0)
+        return F.when(n == q, ONE_WORD[0]).when(f == q, ONE_WORD[1]).when(n.startswith(q), ONE_WORD[2]).when(n.contains(q), ONE_WORD[3]).when(d.contains(q), ONE_WORD[4]).otherwise(0.0)
     flag = lambda c, x: F.when(c, x).otherwise(0.0)
     total, matched = F.lit(0.0), F.lit(0)
     for w in words:
-        total = total + F.when(n == w, 0.65).when(n.startswith(w), 0.55).when(n.contains(w), 0.45).otherwise(0.0) + flag(f.contains(w), 0.2) + flag(d.contains(w), 0.1)
+        total = total + F.when(n == w, MANY_WORDS[0]).when(n.startswith(w), MANY_WORDS[1]).when(n.contains(w), MANY_WORDS[2]).otherwise(0.0) + flag(f.contains(w), MANY_WORDS[3]) + flag(d.contains(w), MANY_WORDS[4])
         matched = matched + F.when(n.contains(w) | f.contains(w) | d.contains(w), 1).otherwise(0)
-    return total + matched / len(words) * 0.5 + flag(matched == len(words), 0.3)
+    return total + matched / len(words) * SHARE_MET + flag(matched == len(words), ALL_MET)
 
 
 def symbol_boosts(name: Column, class_name: Column, description: Column, query: str) -> Column:
     """What a symbol hit gains over its field scores: whole name, prefix, part; words met, all words met."""
     q, words = query.lower(), query.lower().split()
     n, c, d = F.lower(name), F.lower(F.coalesce(class_name, F.lit(""))), F.lower(F.coalesce(description, F.lit("")))
-    score = F.when(n == q, 15.0).when(n.startswith(q), 8.0).when(n.contains(q), 4.0).otherwise(0.0)
+    score = F.when(n == q, NAME_BOOSTS[0]).when(n.startswith(q), NAME_BOOSTS[1]).when(n.contains(q), NAME_BOOSTS[2]).otherwise(0.0)
     if len(words) > 1:
         met = reduce(lambda a, b: a + b, (F.when(n.contains(w) | c.contains(w) | d.contains(w), 1).otherwise(0) for w in words))
-        score = score + met * 2 + F.when(met == len(words), 5.0).otherwise(0.0)
+        score = score + met * WORD_BOOST + F.when(met == len(words), ALL_WORDS_BOOST).otherwise(0.0)
     return score
 
 
@@ -154,12 +163,12 @@ def query_variants(query: str) -> list[str]:
 
     q = query.strip()
     words = q.split()
-    bare = [re.sub(r"(?i)[-_.]?(jsx?|tsx?|vue|css|scss|mjs|cjs)$", "", w) for w in words]
+    bare = [re.sub(ENDINGS, "", w) for w in words]
     parts = [p for p in re.split(r"[-_./:]+|(?<=[a-z0-9])(?=[A-Z])", q) if len(p) >= 2]
     options = [q, " ".join(w for w in bare if len(w) >= 2) if bare != words else "", " ".join(parts) if len(parts) > len(words) else ""]
     if len(words) == 1:
         stem = bare[0] or words[0]
-        options += [stem[:n] for n in range(min(len(stem) - 1, 8), 3, -1)]
+        options += [stem[:n] for n in range(min(len(stem) - 1, PREFIXES[0]), PREFIXES[1] - 1, -1)]
     return list(dict.fromkeys(o.strip() for o in options if o.strip()))[:6]
 
 

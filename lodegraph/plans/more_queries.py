@@ -144,7 +144,7 @@ def query_prefix(spark, sf):
 @query("io5_declarations", "SELECT 'f' || p_partkey || '.fan' AS path, line, kind, name, owner FROM part, (VALUES (1, 'class', 'Foo', NULL), (2, 'field', 'count', 'Foo'), (3, 'constructor', 'make', 'Foo'), (4, 'method', 'go', 'Foo')) AS v(line, kind, name, owner)")
 def declarations(spark, sf):
     text = "const class Foo : Bar {\n  const Int count := 0\n  new make() { x = 1 }\n  override Str go(Int a) {\n    return a.toStr\n  }\n}"
-    f = load(spark, sf, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.lit(".fan")).alias("path"), F.lit("fantom").alias("language"), F.lit(text).alias("text"))
+    f = load(spark, sf, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.lit(".fan")).alias("path"), F.lit("fan").alias("language"), F.lit(text).alias("text"))
     return code.declarations(f)
 
 

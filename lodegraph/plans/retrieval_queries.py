@@ -469,7 +469,7 @@ def categories(spark, sf):
     return symbols(spark, sf).groupBy(c.alias("category")).agg(F.count("*").alias("n"))
 
 
-@query("t26_languages", "SELECT CASE event_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'ts' WHEN 2 THEN 'fantom' ELSE 'unknown' END AS language, count(*) AS n FROM events GROUP BY 1")
+@query("t26_languages", "SELECT CASE event_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'ts' WHEN 2 THEN 'fan' ELSE 'unknown' END AS language, count(*) AS n FROM events GROUP BY 1")
 def languages(spark, sf):
     path = F.concat(F.lit("src/f"), F.element_at(F.array(*(F.lit(x) for x in (".py", ".tsx", ".fan", ".bin"))), (F.col("event_id") % 4 + 1).cast("int")))
     return load(spark, sf, "events").groupBy(T.language(path).alias("language")).agg(F.count("*").alias("n"))

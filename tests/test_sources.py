@@ -47,9 +47,9 @@ def test_trio(spark):
 
 
 def test_markdown(spark):
-    t = "intro\n\n```fantom\nclass A {}\n```\ntext\n```\nplain\nlines\n```\n"
+    t = "intro\n\n```fan\nclass A {}\n```\ntext\n```\nplain\nlines\n```\n"
     got = [(r["block"], r["language"], r["line"], r["code"]) for r in parsers.markdown_blocks(one(spark, t), "id").orderBy("block").collect()]
-    assert got == [(0, "fantom", 3, "class A {}"), (1, "", 7, "plain\nlines")]
+    assert got == [(0, "fan", 3, "class A {}"), (1, "", 7, "plain\nlines")]
 
 
 def test_diff(spark):
