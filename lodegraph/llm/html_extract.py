@@ -46,7 +46,7 @@ ROLES = {
     "main": "article main content post entry story body-text articlebody post-content entry-content article-body maincontent",
 }
 _ROLE = {w: k for k, ws in ROLES.items() for w in ws.split()}
-FEATURES = ("bias", *(f"role:{k}" for k in ROLES), "nearest_main", "nearest_other", "p", "heading", "li", "cell", "linked", "short", "long", "stops", "copyright", "first", "last", "digits")
+FEATURES = ("bias", *(f"role:{k}" for k in ROLES), "nearest_main", "nearest_other", "p", "heading", "li", "cell", "linked", "short", "long", "stops", "copyright", "first", "last", "digits", "bare")
 
 
 class Block:
@@ -137,15 +137,16 @@ def block_text(b: Block) -> str:
 def block_features(blocks: list[Block], texts: list[str]) -> np.ndarray:
     x = np.zeros((len(blocks), len(FEATURES)))
     roles = list(ROLES)
+    main = any("main" in b.roles for b in blocks)
     for i, (b, s) in enumerate(zip(blocks, texts, strict=True)):
         x[i, 0] = 1
         for r in b.roles:
             x[i, 1 + roles.index(r)] = 1
         k = 1 + len(roles)
-        x[i, k : k + 14] = (
+        x[i, k : k + 15] = (
             "main" in b.nearest, bool(b.nearest) and "main" not in b.nearest, "p" in b.tags, any(re.fullmatch("h[1-6]", t) for t in b.tags), "li" in b.tags, any(t in ("td", "th") for t in b.tags),
             b.link / max(1, sum(map(len, b.parts))), len(s) < 40, len(s) >= 120, min(3, len(re.findall(r"[.!?](?:\s|$)", s))) / 3, "©" in s or "copyright" in s.lower(), i == 0, i == len(blocks) - 1,
-            sum(c.isdigit() for c in s) > 0.3 * len(s),
+            sum(c.isdigit() for c in s) > 0.3 * len(s), not main and not b.roles,
         )
     return x
 
@@ -174,7 +175,7 @@ def labelled_page(rng: random.Random) -> list[tuple[str, str, bool]]:
             parts.append((f"</{tag}>", "", False))
 
     if rng.random() < 0.7:
-        menu("<nav><ul>" if rng.random() < 0.6 else '<div class="menu"><ul>', "</ul></nav>" if rng.random() < 0.6 else "</ul></div>")
+        menu(*(("<nav><ul>", "</ul></nav>") if rng.random() < 0.6 else ('<div class="menu"><ul>', "</ul></div>")))
     if rng.random() < 0.5:
         parts.append(("<header><h2>", sentence(1, 4), False))
         parts.append(("</h2></header>", "", False))

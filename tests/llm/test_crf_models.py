@@ -55,7 +55,7 @@ def test_held_out_pages():
         page = "".join(m + h.html.escape(t) for m, t, _ in parts)
         want = "\n\n".join(h._SPACE.sub(" ", t).strip() for _, t, main in parts if main and t.strip())
         right, total = right + (h.extract(page, field) == want), total + 1
-    assert right / total > 0.8
+    assert right / total > 0.95
 
 
 def test_html_corners(spark):
