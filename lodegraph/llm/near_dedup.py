@@ -293,17 +293,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A class is a connected component of links between texts of weighted Jaccard similarity of at least
     similarity over their multisets of n-word shingles (a text of fewer words is one shingle). Texts
     without words, null ones among them as empty ones, are linked to equal texts only. Rows that repeat
-    an id with other texts are told apart by their texts. An empty table gives an empty result; other
+    an id with other texts are told apart by their texts, and so are rows whose id is null; a null id comes
+    after all others, so a class has a null class_id only if all its ids are null. An empty table gives an empty result; other
     columns are not read.
     """
     sign = durable(signed(docs, id_col, text_col, bands, rows, n), "signed")
-    texts = sign.groupBy("digest").agg(F.min("id").alias("id"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
-    spread = texts.select("digest", "id", "size", F.posexplode("bands").alias("band", "key"))
+    texts = sign.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
+    spread = texts.select("digest", "first.id", "first.mark", "size", F.posexplode("bands").alias("band", "key"))
     crowded = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("leader")).where("n > 1")
-    buckets = durable(spread.join(crowded.select("key", "leader"), "key").select("key", "band", "leader", "digest", "id", "size"), "buckets")
-    needed = buckets.select("digest", F.col("id").alias("__id")).distinct()
-    raw = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("raw"))
-    sets = durable(expanded(raw.join(needed, "__id").select("digest", "raw"), n), "sets")
+    buckets = durable(spread.join(crowded.select("key", "leader"), "key").select("key", "band", "leader", "digest", "id", "mark", "size"), "buckets")
+    # one text of each digest, by id and mark: an id can be null, and texts can share one
+    needed = buckets.select("digest", "id", "mark").distinct()
+    raw = docs.select(F.col(id_col).alias("__id"), text_mark(text_col).alias("__mark"), F.col(text_col).cast("binary").alias("raw"))
+    sets = durable(expanded(raw.join(needed, raw["__id"].eqNullSafe(needed["id"]) & (raw["__mark"] == needed["mark"])).select("digest", "raw"), n), "sets")
     sized = buckets.select("digest", "size").distinct()
 
     def alike(a: str, b: str):

@@ -92,3 +92,12 @@ def test_corners(corner_docs, no_docs):
     assert got.count() == corner_docs.count()
     assert {(r["doc_id"], r["class_id"]) for r in got.where("doc_id in (0, 1, 4, 5)").collect()} == {(0, 0), (1, 0), (4, 4), (5, 4)}
     assert nd.near_duplicates(no_docs).count() == 0
+
+
+def test_near_copies_with_null_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(None, a), (None, a + " more"), (None, a + " more"), (5, b), (None, b + " more"), (None, c), (9, "alone")]
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r["doc_id"]), str(r["class_id"]), r["class_size"]) for r in got) == sorted([("None", "None", 3)] * 3 + [("5", "5", 2), ("None", "5", 2), ("None", "None", 1), ("9", "9", 1)])
+    assert len({r["mark"] for r in got if r["class_size"] == 3 and r["first"]}) == 1
+    assert [r["doc_id"] for r in got if r["class_id"] == 5 and r["first"]] == [5]

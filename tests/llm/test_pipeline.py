@@ -47,3 +47,10 @@ def test_run_is_the_stages(spark, folder):
 def test_registered():
     assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 11)}
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_one_of_near_copies_with_null_ids_stays(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    docs = spark.createDataFrame([(None, a), (None, a + " more"), (5, b), (None, b + " more")], "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(r["text"][0] for r in kept) == ["a", "b"] and (5, b) in [tuple(r) for r in kept]
