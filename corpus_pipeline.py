@@ -43,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("__text"))
-    found = decontaminate(rows, table(spark, sf_dir, "benchmark"), text_col="__text", keep=["row"])
+    found = decontaminate(rows, table(spark, sf_dir, "benchmark"), text_col="__text", keep=["row"], unnamed=True)
     return found.where(F.col("n_hit") == 0).select("row.*")
 
 

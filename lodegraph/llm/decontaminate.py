@@ -73,26 +73,28 @@ def scan(raw: bytes, automata) -> tuple[int, int, set, list[tuple[int, int]]]:
     return len(words), int(hit.sum()), items, list(spans)
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> list[list[tuple]]:
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int, unnamed: bool = False) -> list[list[tuple]]:
     """The items, in blocks of at most limit bytes of text. The items are the stated test set; their total size is read first and decides the number of blocks."""
-    items = benchmark.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, text_col)
+    items = benchmark.where(F.col(text_col).isNotNull() & (F.col(id_col).isNotNull() | F.lit(unnamed))).select(id_col, text_col)
     total = items.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = -(-total // limit) or 1
-    block = F.pmod(F.xxhash64(id_col), F.lit(n))
+    block = F.pmod(F.xxhash64(id_col, text_col), F.lit(n))
     return [[(r[0], r[1].encode()) for r in items.where(block == i).toLocalIterator()] for i in range(n)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: list[str] | None = None, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: list[str] | None = None, automaton_bytes: int = AUTOMATON_BYTES, unnamed: bool = False) -> DataFrame:
     """One row per row of docs: the columns of keep (the id by default), n_words, n_hit, items, hit_spans.
 
     items: ids, as sorted strings, of items of which a window occurs. hit_spans: the hit passages as
     [start, end) code points of the original text. A text or item that is null or without words has no
-    window. Repeated rows each get their row; items sharing an id count once; an empty benchmark hits
-    nothing; columns outside keep are not read, whatever their names.
+    window. Items whose id is null are left out unless unnamed is set; then their windows hit as any other,
+    and all of them together are one null at the end of items. Repeated rows each get their row; items
+    sharing an id count once; an empty benchmark hits nothing; columns outside keep are not read, whatever
+    their names.
     """
     keep = keep or [id_col]
     spark = docs.sparkSession
-    blocks = [(uuid.uuid4().hex, spark.sparkContext.broadcast(b)) for b in item_blocks(benchmark, item_col, item_text_col, automaton_bytes)]
+    blocks = [(uuid.uuid4().hex, spark.sparkContext.broadcast(b)) for b in item_blocks(benchmark, item_col, item_text_col, automaton_bytes, unnamed)]
     fields = [docs.schema[c] for c in keep if c not in ("n_words", "n_hit", "items", "hit_spans")]
     names = [f.name for f in fields]
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -111,7 +113,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             rows = [scan(x or b"", have) for x in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(len(names))), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([sorted(map(str, r[2])) for r in rows], pa.list_(pa.string())), pa.array([[{"start": s, "end": e} for s, e in r[3]] for r in rows], spans_type)],
+                 pa.array([[*sorted(str(x) for x in r[2] if x is not None), *([None] if None in r[2] else [])] for r in rows], pa.list_(pa.string())), pa.array([[{"start": s, "end": e} for s, e in r[3]] for r in rows], spans_type)],
                 names=[*names, "n_words", "n_hit", "items", "hit_spans"],
             )
 
@@ -119,7 +121,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), unnamed=True)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 

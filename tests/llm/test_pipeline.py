@@ -54,3 +54,9 @@ def test_one_of_near_copies_with_null_ids_stays(spark):
     docs = spark.createDataFrame([(None, a), (None, a + " more"), (5, b), (None, b + " more")], "doc_id long, text string")
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert sorted(r["text"][0] for r in kept) == ["a", "b"] and (5, b) in [tuple(r) for r in kept]
+
+
+def test_items_without_id_contaminate(spark, tmp_path):
+    spark.createDataFrame([(None, "seven quiet rivers met")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, "where seven quiet rivers met."), (2, "where six rivers met")], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()] == [2]
