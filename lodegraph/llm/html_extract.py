@@ -21,10 +21,13 @@ from pyspark.sql import types as T
 from lodegraph.llm.common import small_batches, table
 from lodegraph.llm.crf import CRF, train_crf
 
-#: Tags that bound a block, tags whose contents are no text, and tags without an end.
+#: Tags that bound a block, tags whose contents are no text, tags without an end, foreign tags, which "/>" ends, and
+#: tags whose text stands in for what can't be shown: a notice, but in a main part, where it is read as any other.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul option select".split())
-RAW = frozenset("script style template noscript textarea iframe svg math object canvas".split())
+RAW = frozenset("script style template textarea iframe svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+FOREIGN = frozenset(("svg", "math"))
+FALLBACK = frozenset(("noscript", "object", "canvas"))
 #: What starting one of these ends, if open.
 ENDS = {"p": ("p",), "li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -108,6 +111,8 @@ def blocks_of(page: str) -> list[Block]:
                         break
         elif tag:
             tag = tag.lower()
+            if tag in FOREIGN and m[0].endswith("/>"):
+                continue
             if tag in RAW:
                 close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = close.end() if close else len(page)
@@ -125,7 +130,8 @@ def blocks_of(page: str) -> list[Block]:
                         del stack[inner[-1] :]
             if tag not in VOID and not m[0].endswith("/>"):
                 attrs = m[3] or ""
-                stack.append((tag, roles_of(tag, attrs) | ({"notice"} if "hidden" in attrs.lower() and _HIDDEN.search(attrs) else frozenset())))
+                notice = "hidden" in attrs.lower() and _HIDDEN.search(attrs) or tag in FALLBACK and not any("main" in r for _, r in stack)
+                stack.append((tag, roles_of(tag, attrs) | ({"notice"} if notice else frozenset())))
                 links += tag == "a"
     return [b for b in out if "".join(b.parts).strip()]
 

@@ -67,6 +67,15 @@ def test_html_corners(spark):
     assert h.extract_text(df.limit(0)).count() == 0
 
 
+def test_foreign_and_fallback_parts_of_an_article():
+    long = "A long enough sentence about things, with words. " * 3
+    page = f"<body><nav><a href=x>Home</a></nav><article><h1>Title</h1><p>{long}<svg class=i/></p><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds. {long}</p><math/><p>{long}<svg><text>axis</text></svg></p>"
+    page += f"<noscript><p>Without scripts: {long}</p></noscript><object data=x><p>Without a viewer: {long}</p></object><canvas><p>Without a canvas: {long}</p></canvas></article><footer>&copy; me</footer></body>"
+    body = long.strip()
+    assert h.extract(page, h.trained()).split("\n\n") == ["Title", body, f"So x=2 holds. {body}", body, f"Without scripts: {body}", f"Without a viewer: {body}", f"Without a canvas: {body}"]
+    assert h.extract(f"<body><noscript>Please enable scripts.</noscript><h1>Title</h1><p>{long}</p></body>", h.trained()) == f"Title\n\n{body}"
+
+
 def corpus(n=240):
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdeinorst") for _ in range(r.randint(2, 8)))
