@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word, over text whose A-Z is in lower case: a run of digits, a-z and anything beyond ASCII.
@@ -25,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests, a single machine)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and the master is local; a cluster without the setting is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lodegraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -43,16 +46,20 @@ def durable(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     return out
 
 
-#: Rows of text in an Arrow batch, so that a worker holds little at once even of long texts.
-ARROW_ROWS = 2000
+#: Bytes of text that an operator looks at together.
+SLICE_BYTES = 4 << 20
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches hold ARROW_ROWS rows unless the session says otherwise."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key, None) is None:
-        df.sparkSession.conf.set(key, str(ARROW_ROWS))
-    return df
+def by_bytes(batches, column: int, limit: int = SLICE_BYTES):
+    """The rows of Arrow batches in slices, without copying: at most limit bytes of the texts in a column, or one row. Whatever an operator builds for a slice is bounded by it, not by the batch."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        total = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        at = 0
+        while at < len(b):
+            to = max(at + 1, int(np.searchsorted(total, total[at] + limit, side="right")) - 1)
+            yield b.slice(at, to - at)
+            at = to
 
 
 def release(*tables: DataFrame) -> None:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodegraph.llm.common import small_batches, table
+from lodegraph.llm.common import by_bytes, table
 from lodegraph.llm.crf import CRF, train_crf
 from lodegraph.llm.word_hashes import chunks, hash_words, words_at
 
@@ -143,11 +143,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> QualityModel:
-    """Fits on at most sample_docs labelled documents that are not held out, least hash first, of at most sample_bytes each."""
+    """Fits on at most sample_docs labelled documents that are not held out, least hash first, of at most sample_bytes each. Of texts that share an id the one of least hash counts, so the sample is the same however rows lie."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.min(label_col).alias("__label"))
     some = known.orderBy(F.xxhash64(id_col), id_col).limit(sample_docs)
-    rows = docs.select(id_col, F.col(text_col).cast("binary").alias("__raw")).where(F.octet_length("__raw") <= sample_bytes).join(F.broadcast(some), id_col).select(id_col, "__raw", "__label")
-    found = sorted(((r[0], bytes(r[1]), int(r[2])) for r in rows.limit(2 * sample_docs).toLocalIterator()), key=lambda r: (str(r[0]), r[1]))
+    rows = docs.select(id_col, F.col(text_col).cast("binary").alias("__raw")).where(F.octet_length("__raw") <= sample_bytes).join(F.broadcast(some), id_col)
+    one = rows.groupBy(id_col).agg(F.min(F.struct(F.xxhash64("__raw").alias("h"), "__raw")).alias("t"), F.first("__label").alias("__label"))
+    found = sorted(((r[0], bytes(r[1]), int(r[2])) for r in one.select(id_col, "t.__raw", "__label").toLocalIterator()), key=lambda r: (str(r[0]), r[1]))
     return fit_quality([r[1] for r in found], np.array([r[2] for r in found], dtype=np.float64))
 
 
@@ -161,11 +162,11 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     out = T.StructType([*(docs.schema[c] for c in names), T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        for b in batches:
+        for b in by_bytes(batches, len(names)):
             s = scores([x or b"" for x in b.column(len(names)).to_pylist()], model)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(s, pa.float64())], names=[*names, "score"])
 
-    return small_batches(docs).select(*names, F.col(text_col).cast("binary").alias("__raw")).mapInArrow(run, out).withColumn("predicted", (F.col("score") >= good).cast("int"))
+    return docs.select(*names, F.col(text_col).cast("binary").alias("__raw")).mapInArrow(run, out).withColumn("predicted", (F.col("score") >= good).cast("int"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
