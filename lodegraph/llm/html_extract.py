@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodegraph.llm.common import small_batches, table
+from lodegraph.llm.common import by_bytes, table
 from lodegraph.llm.crf import CRF, train_crf
 
 #: Tags that bound a block, tags whose contents are no text, tags without an end, foreign tags, which "/>" ends, and
@@ -52,11 +53,55 @@ _ROLE = {w: k for k, ws in ROLES.items() for w in ws.split()}
 FEATURES = ("bias", *(f"role:{k}" for k in ROLES), "nearest_main", "nearest_other", "p", "heading", "li", "cell", "linked", "short", "long", "stops", "copyright", "first", "last", "digits", "bare")
 
 
+#: What features ask of ancestors' tags, and tags that a tag to be ended may not lie under.
+_FLAG = {"p": 1, "li": 2, "td": 4, "th": 4} | {f"h{i}": 8 for i in range(1, 7)}
+_WALLS = ("td", "th", "ul", "ol", "table", "article", "section", "div")
+
+
 class Block:
-    __slots__ = ("link", "nearest", "parts", "roles", "tags")
+    """Text under one list of open tags: the roles of them all, those of the nearest that has any, and flags (_FLAG) of their names."""
+
+    __slots__ = ("flags", "link", "nearest", "parts", "roles")
+
+    def __init__(self, roles, nearest, flags):
+        self.roles, self.nearest, self.flags, self.parts, self.link = roles, nearest, flags, [], 0
+
+
+class Open:
+    """The open tags. Every one knows what it and those above it come to, and the places of a name are kept, so that nothing walks the list."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.sums: list[tuple[frozenset, frozenset, int]] = []  # roles, nearest, flags
+        self.places: dict[str, list[int]] = {}
+        self.unions: dict[tuple[frozenset, frozenset], frozenset] = {}
+
+    def state(self) -> tuple[frozenset, frozenset, int]:
+        return self.sums[-1] if self.sums else (frozenset(), frozenset(), 0)
+
+    def push(self, tag: str, roles: frozenset) -> None:
+        above, nearest, flags = self.state()
+        both = (above, roles)
+        if both not in self.unions:
+            self.unions[both] = above | roles
+        self.sums.append((self.unions[both], roles or nearest, flags | _FLAG.get(tag, 0)))
+        self.places.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+
+    def last(self, *tags: str) -> int:
+        """The place of the last open tag of a name; -1 without one."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def close(self, at: int) -> None:
+        """Ends the tag at a place and all that are open below it."""
+        while len(self.tags) > at:
+            self.places[self.tags.pop()].pop()
+            self.sums.pop()
+
 
-    def __init__(self, tags, roles, nearest):
-        self.tags, self.roles, self.nearest, self.parts, self.link = tags, roles, nearest, [], 0
+@cache
+def _close(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I)
 
 
 def roles_of(tag: str, attrs: str) -> frozenset:
@@ -71,10 +116,10 @@ def roles_of(tag: str, attrs: str) -> frozenset:
 
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks that hold text, in page order. Unclosed tags end with the page; an end tag that nothing opened is passed over."""
-    stack: list[tuple[str, frozenset]] = []
+    opened = Open()
     out: list[Block] = []
     current: Block | None = None
-    at, links = 0, 0
+    at = 0
 
     def text(s: str) -> None:
         nonlocal current
@@ -83,11 +128,10 @@ def blocks_of(page: str) -> list[Block]:
         if current is None:
             if not s.strip():
                 return
-            nearest = next((r for _, r in reversed(stack) if r), frozenset())
-            current = Block(tuple(t for t, _ in stack), frozenset().union(*(r for _, r in stack)), nearest)
+            current = Block(*opened.state())
             out.append(current)
         current.parts.append(s)
-        if links:
+        if opened.last("a") >= 0:
             current.link += len(s)
 
     while at < len(page):
@@ -103,18 +147,14 @@ def blocks_of(page: str) -> list[Block]:
             end = end.lower()
             if end in BLOCK:
                 current = None
-            if any(t == end for t, _ in stack):
-                while stack:
-                    t, _ = stack.pop()
-                    links -= t == "a"
-                    if t == end:
-                        break
+            if (place := opened.last(end)) >= 0:
+                opened.close(place)
         elif tag:
             tag = tag.lower()
             if tag in FOREIGN and m[0].endswith("/>"):
                 continue
             if tag in RAW:
-                close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                close = _close(tag).search(page, at)
                 at = close.end() if close else len(page)
                 continue
             if tag == "br":
@@ -124,15 +164,13 @@ def blocks_of(page: str) -> list[Block]:
                 current = None
                 # an inline element can't hold a block it did not close; what a new paragraph ends is closed
                 for t in ENDS.get(tag, ("p",)):
-                    inner = [k for k, (x, _) in enumerate(stack) if x == t]
-                    if inner and not any(x in ("td", "th", "ul", "ol", "table", "article", "section", "div") for x, _ in stack[inner[-1] + 1 :]):
-                        links -= sum(x == "a" for x, _ in stack[inner[-1] :])
-                        del stack[inner[-1] :]
+                    place = opened.last(t)
+                    if place >= 0 and opened.last(*_WALLS) <= place:
+                        opened.close(place)
             if tag not in VOID and not m[0].endswith("/>"):
                 attrs = m[3] or ""
-                notice = "hidden" in attrs.lower() and _HIDDEN.search(attrs) or tag in FALLBACK and not any("main" in r for _, r in stack)
-                stack.append((tag, roles_of(tag, attrs) | ({"notice"} if notice else frozenset())))
-                links += tag == "a"
+                notice = "hidden" in attrs.lower() and _HIDDEN.search(attrs) or tag in FALLBACK and "main" not in opened.state()[0]
+                opened.push(tag, roles_of(tag, attrs) | ({"notice"} if notice else frozenset()))
     return [b for b in out if "".join(b.parts).strip()]
 
 
@@ -150,7 +188,7 @@ def block_features(blocks: list[Block], texts: list[str]) -> np.ndarray:
             x[i, 1 + roles.index(r)] = 1
         k = 1 + len(roles)
         x[i, k : k + 15] = (
-            "main" in b.nearest, bool(b.nearest) and "main" not in b.nearest, "p" in b.tags, any(re.fullmatch("h[1-6]", t) for t in b.tags), "li" in b.tags, any(t in ("td", "th") for t in b.tags),
+            "main" in b.nearest, bool(b.nearest) and "main" not in b.nearest, bool(b.flags & 1), bool(b.flags & 8), bool(b.flags & 2), bool(b.flags & 4),
             b.link / max(1, sum(map(len, b.parts))), len(s) < 40, len(s) >= 120, min(3, len(re.findall(r"[.!?](?:\s|$)", s))) / 3, "©" in s or "copyright" in s.lower(), i == 0, i == len(blocks) - 1,
             sum(c.isdigit() for c in s) > 0.3 * len(s), not main and not b.roles,
         )
@@ -278,11 +316,11 @@ def extract_text(pages: DataFrame, field: CRF | None = None, html_col: str = "ht
     out = T.StructType([*(pages.schema[c] for c in names), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
-        for b in batches:
+        for b in by_bytes(batches, len(names)):
             texts = [extract(x or "", field) for x in b.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(texts, pa.string()), pa.array([len(s) for s in texts], pa.int64())], names=[*names, "text", "n_chars"])
 
-    return small_batches(pages).select(*names, F.col(html_col).alias("__html")).mapInArrow(run, out)
+    return pages.select(*names, F.col(html_col).alias("__html")).mapInArrow(run, out)
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
