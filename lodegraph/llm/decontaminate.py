@@ -1,7 +1,8 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised test items.
 
-Every window of consecutive item words is a pattern; each document is normalised and scanned once, and
-matches are mapped back to offsets of the original text.
+Every window of consecutive item words is a pattern, in which a word is one character of the items' own
+vocabulary; each document is normalised, read off in the same characters and scanned once, and matches are
+mapped back to offsets of the original text.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodegraph.llm.common import char_offsets, small_batches, table, word_bounds, words_of
+from lodegraph.llm.common import WORD, by_bytes, char_offsets, durable, release, table, word_bounds, words_of
 
-#: Words in a window, and the item text that one automaton may hold; more items make further automata.
+#: Words in a window, and the item words that one automaton may hold; more items make further automata, each of which
+#: scans the texts in a pass of its own. A word of an item costs a node or two for each word of a window, about 2 KB in all.
 WINDOW = 10
-AUTOMATON_BYTES = 64 << 20
+AUTOMATON_WORDS = 250_000
 _built: dict = {}
 
 
@@ -30,98 +32,150 @@ def windows_of(raw: bytes, window: int) -> list[list[bytes]]:
 
 
 def build(items: list[tuple[int, bytes]], window: int):
-    """An automaton whose values are (words in the pattern, pattern length, item ids); None without patterns."""
-    found: dict[bytes, set] = {}
-    length: dict[bytes, int] = {}
+    """(vocabulary, automaton): every word of the items is one character to the automaton, whose values are (words in the pattern, item ids); None without patterns."""
+    codes: dict[bytes, str] = {}
+    found: dict[str, set] = {}
     for item, raw in items:
         for w in windows_of(raw, window):
-            key = b" " + b" ".join(w) + b" "
+            key = "".join([codes.setdefault(x, chr(1 + len(codes) + 0x800 * (len(codes) >= 0xD7FF))) for x in w])  # past the surrogates
             found.setdefault(key, set()).add(item)
-            length[key] = len(w)
     if not found:
         return None
     a = ahocorasick.Automaton()
     for key, ids in found.items():
-        a.add_word(key.decode("latin-1"), (length[key], len(key), tuple(ids)))
+        a.add_word(key, (len(key), tuple(ids)))
     a.make_automaton()
-    return a
+    return codes, a
 
 
-def scan(raw: bytes, automata) -> tuple[int, int, set, list[tuple[int, int]]]:
-    """Words of a text, words hit, items met, and the hit passages as code points (end exclusive) of the text as it was."""
+def scan(raw: bytes, built) -> tuple[int, set, list[tuple[int, int, int, int]]]:
+    """Words of a text, items met, and the hit passages: first and last word, start and end code point of the text as it was (ends exclusive)."""
     words = words_of(raw)
-    if not words:
-        return 0, 0, set(), []
-    line = b" " + b" ".join(words) + b" "
-    text, hits, items, blanks = line.decode("latin-1"), [], set(), None
-    for a in automata:
-        for end, (n, size, ids) in a.iter(text):
-            if blanks is None:
-                blanks = np.flatnonzero(np.frombuffer(line, dtype=np.uint8) == 32)
-            hits.append((int(np.searchsorted(blanks, end - size + 1)), n))
-            items.update(ids)
-    if not hits:
-        return len(words), 0, items, []
-    step = np.zeros(len(words) + 1, dtype=np.int64)
-    for at, n in hits:
-        step[at] += 1
-        step[at + n] -= 1
-    hit = np.cumsum(step[:-1]) > 0
-    edge = np.diff(np.concatenate(([0], hit.view(np.int8), [0])))
+    if not words or built is None:
+        return len(words), set(), []
+    codes, automaton = built
+    get = codes.get
+    items: set = set()
+    step = None
+    for end, (n, ids) in automaton.iter("".join([get(w, "\0") for w in words])):
+        if step is None:
+            step = np.zeros(len(words) + 1, dtype=np.int64)
+        step[end + 1 - n] += 1
+        step[end + 1] -= 1
+        items.update(ids)
+    if step is None:
+        return len(words), items, []
+    edge = np.diff(np.concatenate(([0], (np.cumsum(step[:-1]) > 0).view(np.int8), [0])))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     starts, ends = word_bounds(raw)
-    spans = zip(char_offsets(raw, starts[np.flatnonzero(edge == 1)]).tolist(), char_offsets(raw, ends[np.flatnonzero(edge == -1) - 1]).tolist(), strict=True)
-    return len(words), int(hit.sum()), items, list(spans)
+    return len(words), items, list(zip(first.tolist(), last.tolist(), char_offsets(raw, starts[first]).tolist(), char_offsets(raw, ends[last - 1]).tolist(), strict=True))
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int, unnamed: bool = False) -> list[list[tuple]]:
-    """The items, in blocks of at most limit bytes of text. The items are the stated test set; their total size is read first and decides the number of blocks."""
-    items = benchmark.where(F.col(text_col).isNotNull() & (F.col(id_col).isNotNull() | F.lit(unnamed))).select(id_col, text_col)
-    total = items.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = -(-total // limit) or 1
-    block = F.pmod(F.xxhash64(id_col, text_col), F.lit(n))
-    return [[(r[0], r[1].encode()) for r in items.where(block == i).toLocalIterator()] for i in range(n)]
+def merged(passages: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Passages of several scans as one list: those that overlap or touch are one."""
+    out: list[tuple[int, int, int, int]] = []
+    for w0, w1, c0, c1 in sorted(passages):
+        if out and w0 <= out[-1][1]:
+            if w1 > out[-1][1]:
+                out[-1] = (out[-1][0], w1, out[-1][2], c1)
+        else:
+            out.append((w0, w1, c0, c1))
+    return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: list[str] | None = None, automaton_bytes: int = AUTOMATON_BYTES, unnamed: bool = False) -> DataFrame:
+_PASSAGE = T.ArrayType(T.StructType([T.StructField(k, T.LongType()) for k in ("w0", "w1", "c0", "c1")]))
+_PASSAGE_ARROW = pa.list_(pa.struct([(k, pa.int64()) for k in ("w0", "w1", "c0", "c1")]))
+_ITEMS = T.ArrayType(T.StringType())
+
+
+def _scanned(rows: DataFrame, block: list[tuple], window: int, hits_only: bool) -> DataFrame:
+    """rows (its last column is the text as bytes) with n_words, items and passages instead of the text; the rows with hits alone, if asked."""
+    key, shared = uuid.uuid4().hex, rows.sparkSession.sparkContext.broadcast(block)
+    fields = list(rows.schema)[:-1]
+    at = len(fields)
+
+    def run(batches):
+        if key not in _built:  # a worker keeps the automaton of one pass
+            _built.clear()
+            _built[key] = build(shared.value, window)
+        for batch in by_bytes(batches, at):
+            found = [scan(x or b"", _built[key]) for x in batch.column(at).to_pylist()]
+            items = [[*sorted(str(x) for x in f[1] if x is not None), *([None] if None in f[1] else [])] for f in found]
+            passages = [[{"w0": p[0], "w1": p[1], "c0": p[2], "c1": p[3]} for p in f[2]] for f in found]
+            out = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(at)), pa.array([f[0] for f in found], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(passages, _PASSAGE_ARROW)], names=[*(f.name for f in fields), "__n", "__items", "__passages"])
+            yield out.filter(pa.array([bool(f[2]) for f in found], pa.bool_())) if hits_only else out
+
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("__n", T.LongType()), T.StructField("__items", _ITEMS), T.StructField("__passages", _PASSAGE)]))
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    """rows with the lists of passages and items in __all merged into __items and __passages."""
+    fields = [f for f in rows.schema if f.name not in ("__all",)]
+    names, at = [f.name for f in fields], rows.columns.index("__all")
+    kept = [rows.columns.index(n) for n in names]
+
+    def run(batches):
+        for b in batches:
+            items, passages = [], []
+            for scans in b.column(at).to_pylist():
+                met = {x for s in scans for x in s["items"]}
+                items.append([*sorted(x for x in met if x is not None), *([None] if None in met else [])])
+                passages.append([dict(zip(("w0", "w1", "c0", "c1"), p, strict=True)) for p in merged([tuple(p.values()) for s in scans for p in s["passages"]])])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(items, pa.list_(pa.string())), pa.array(passages, _PASSAGE_ARROW)], names=[*names, "__items", "__passages"])
+
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("__items", _ITEMS), T.StructField("__passages", _PASSAGE)]))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: list[str] | None = None, automaton_words: int = AUTOMATON_WORDS, unnamed: bool = True) -> DataFrame:
     """One row per row of docs: the columns of keep (the id by default), n_words, n_hit, items, hit_spans.
 
     items: ids, as sorted strings, of items of which a window occurs. hit_spans: the hit passages as
     [start, end) code points of the original text. A text or item that is null or without words has no
-    window. Items whose id is null are left out unless unnamed is set; then their windows hit as any other,
-    and all of them together are one null at the end of items. Repeated rows each get their row; items
+    window. Windows of items whose id is null hit as any other, and all of these items together are one
+    null at the end of items; without unnamed they are left out. Repeated rows each get their row; items
     sharing an id count once; an empty benchmark hits nothing; columns outside keep are not read, whatever
     their names.
+
+    The words of the test set are counted first and decide the number of automata. Each takes one pass over
+    the texts and is the only one that the driver and a worker hold meanwhile; what the passes after the
+    first one find, a few rows, is written, and joined by the text's digest at the end. An item of more than
+    automaton_words has an automaton of its own.
     """
     keep = keep or [id_col]
-    spark = docs.sparkSession
-    blocks = [(uuid.uuid4().hex, spark.sparkContext.broadcast(b)) for b in item_blocks(benchmark, item_col, item_text_col, automaton_bytes, unnamed)]
-    fields = [docs.schema[c] for c in keep if c not in ("n_words", "n_hit", "items", "hit_spans")]
-    names = [f.name for f in fields]
-    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    out = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hit_spans", T.ArrayType(span))])
-    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def automata():
-        if any(key not in _built for key, _ in blocks):  # a worker keeps the automata of one call
-            _built.clear()
-            _built.update((key, build(b.value, window)) for key, b in blocks)
-        return [a for key, _ in blocks if (a := _built[key]) is not None]
-
-    def run(batches):
-        have = automata()
-        for batch in batches:
-            rows = [scan(x or b"", have) for x in batch.column(len(names)).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(names))), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([[*sorted(str(x) for x in r[2] if x is not None), *([None] if None in r[2] else [])] for r in rows], pa.list_(pa.string())), pa.array([[{"start": s, "end": e} for s, e in r[3]] for r in rows], spans_type)],
-                names=[*names, "n_words", "n_hit", "items", "hit_spans"],
-            )
-
-    return small_batches(docs).select(*names, F.col(text_col).cast("binary").alias("__raw")).mapInArrow(run, out)
+    names = [c for c in keep if c not in ("n_words", "n_hit", "items", "hit_spans")]
+    rows = docs.select(*names, F.col(text_col).cast("binary").alias("__raw"))
+    items = benchmark.where(F.col(item_text_col).isNotNull() & (F.col(item_col).isNotNull() | F.lit(unnamed))).select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text"))
+    total = items.agg(F.sum(F.regexp_count(F.lower("text"), F.lit(WORD)).cast("long"))).first()[0] or 0
+    n = -(-total // automaton_words) or 1
+    part = F.pmod(F.xxhash64("id", "text"), F.lit(n))
+
+    def block(i: int) -> list[tuple]:
+        return [(r[0], r[1].encode()) for r in items.where(part == i).toLocalIterator()]
+
+    if n == 1:
+        found = _scanned(rows, block(0), window, False)
+    else:
+        marked = docs.select(*names, F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("__mark"), F.col(text_col).cast("binary").alias("__raw"))
+        base = durable(_scanned(marked, block(0), window, False), "scanned")
+        texts = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("__mark"), F.col(text_col).cast("binary").alias("__raw"))
+        hits = [base.select("__mark", "__items", "__passages").where(F.size("__passages") > 0)]
+        hits += [durable(_scanned(texts, block(i), window, True).drop("__n").dropDuplicates(["__mark"]), "hits") for i in range(1, n)]
+        every = hits[0].dropDuplicates(["__mark"])
+        for h in hits[1:]:
+            every = every.unionByName(h)
+        # a row for each different text with hits, of as many scans as there are automata
+        every = every.groupBy("__mark").agg(F.collect_list(F.struct(F.col("__items").alias("items"), F.col("__passages").alias("passages"))).alias("__all"))
+        once = durable(_together(every), "hits")
+        release(*hits[1:])
+        found = base.drop("__items", "__passages").join(once, "__mark", "left")
+        found = found.withColumns({"__items": F.coalesce("__items", F.array().cast(_ITEMS)), "__passages": F.coalesce("__passages", F.array().cast(_PASSAGE))})
+    span = F.transform("__passages", lambda p: F.struct(p["c0"].alias("start"), p["c1"].alias("end")))
+    hit = F.aggregate("__passages", F.lit(0).cast("long"), lambda acc, p: acc + p["w1"] - p["w0"])
+    return found.select(*names, F.col("__n").alias("n_words"), hit.alias("n_hit"), F.col("__items").alias("items"), span.alias("hit_spans"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), unnamed=True)
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 

@@ -24,11 +24,14 @@ def test_against_plain_rule(spark):
     make = lambda n: " ".join(r.choice(vocab) + r.choice(["", ",", "!", "\n"]) for _ in range(n))
     items = [(i, make(r.randint(0, 16))) for i in range(12)] + [(12, None), (3, "Of d1 short"), (None, "a b")]
     docs = [(i, make(r.randint(0, 60)) + (" " + items[i % 12][1]) * (i % 3 == 0) + " " + make(3)) for i in range(60)] + [(60, None), (61, "")]
-    got = d.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), automaton_bytes=60)
-    known = [(i, t) for i, t in items if t is not None and i is not None]
-    for row in got.collect():
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    every = [(i, t) for i, t in items if t is not None]
+    one, several = (d.decontaminate(*tables, automaton_words=n).collect() for n in (1000, 20))
+    assert sorted(map(str, one)) == sorted(map(str, several))  # one pass and several, an automaton each
+    for row in one:
         text = dict(docs)[row["doc_id"]]
-        assert (row["n_words"], row["n_hit"], row["items"]) == plain(text, known)
+        n_words, n_hit, ids = plain(text, every)
+        assert (row["n_words"], row["n_hit"], [str(x) for x in row["items"]]) == (n_words, n_hit, [x for x in ids if x != "None"] + ["None"] * ("None" in ids))
         inside = [w for s in row["hit_spans"] for w in brute.words(text[s["start"] : s["end"]])]
         assert len(inside) == row["n_hit"]
 
@@ -40,6 +43,30 @@ def test_spans_point_into_the_original(spark):
     assert "🙂 É! One two THREE four, five six seven eight nine ten eleven."[s["start"] : s["end"]] == "two THREE four, five six seven eight nine ten eleven"
 
 
+def test_passages_of_several_scans_are_one():
+    assert d.merged([(5, 8, 50, 80), (0, 2, 0, 20), (7, 12, 70, 120), (2, 3, 21, 30), (6, 7, 60, 70)]) == [(0, 3, 0, 30), (5, 12, 50, 120)]
+
+
+def test_vocabulary_passes_over_surrogates():
+    items = [(1, " ".join(f"w{i}" for i in range(60_000)).encode())]
+    built = d.build(items, 10)
+    assert len(built[0]) == 60_000 and not any(0xD800 <= ord(c) < 0xE000 for c in built[0].values())
+    text = " ".join(f"w{i}" for i in range(55_290, 55_310)).encode()
+    assert d.scan(text, built)[2][0][:2] == (0, 20)
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    built = d.build([(1, b"one two three four five six seven eight nine ten eleven")], 10)
+    took = []
+    for n in (20_000, 40_000, 80_000):
+        began = time.time()
+        assert d.scan(b"one two three four five six seven eight nine ten eleven " * n, built)[2][0][:2] == (0, 11 * n) or n
+        took.append(time.time() - began)
+    assert took[2] < 8 * max(took[0], 0.05)
+
+
 def test_corners(spark, corner_docs, no_docs):
     items = spark.createDataFrame([(1, "one")], "item_id long, text string")
     assert d.decontaminate(corner_docs, items, keep=corner_docs.columns).count() == corner_docs.count()
