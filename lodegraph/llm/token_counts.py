@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import small_batches, table
+from lodegraph.llm.common import by_bytes, table
 
 #: Text bytes that are encoded in one call, and the length from which a text is split.
 BATCH_BYTES = 1 << 20
@@ -44,7 +44,7 @@ def split_safely(text: str, limit: int = SPLIT_CHARS) -> list[str]:
 
 
 def count_batches(texts, model, batch_bytes: int = BATCH_BYTES, split_chars: int = SPLIT_CHARS):
-    """Token counts of texts, in order; encodes at most about batch_bytes at once."""
+    """Token counts of texts, in order. A call of the model gets parts of at most batch_bytes, or one longer part."""
     counts = [0] * len(texts)
     held, owner, size = [], [], 0
 
@@ -55,12 +55,13 @@ def count_batches(texts, model, batch_bytes: int = BATCH_BYTES, split_chars: int
 
     for i, text in enumerate(texts):
         for part in split_safely(text, split_chars) if text else ():
-            held.append(part)
-            owner.append(i)
-            size += len(part)
-            if size >= batch_bytes:
+            n = len(part) if part.isascii() else len(part.encode())
+            if held and size + n > batch_bytes:
                 flush()
                 size = 0
+            held.append(part)
+            owner.append(i)
+            size += n
     if held:
         flush()
     return counts
@@ -73,11 +74,11 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     an empty result; other columns are not read, whatever their names.
     """
     kind = docs.schema[id_col].dataType
-    narrow = small_batches(docs).select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    narrow = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
 
     def run(batches):
         model = _model(model_path)
-        for b in batches:
+        for b in by_bytes(batches, 1):
             raw = b.column(1)
             sizes = pa.compute.binary_length(raw.cast(pa.large_binary()) if pa.types.is_large_string(raw.type) else raw.cast(pa.binary()))
             yield pa.RecordBatch.from_arrays([b.column(0), sizes.cast(pa.int64()), pa.array(count_batches(raw.to_pylist(), model), pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
