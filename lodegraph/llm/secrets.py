@@ -68,8 +68,10 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_assign, n_access, n_hex, base_spans and spans (arrays of s, k, e, kind; code points, end exclusive).
 
     Null texts count as empty and have no spans. Spans of one kind never overlap; those of different base
-    kinds can; entropy spans are only given apart from base spans. Repeated rows each get their row.
+    kinds can; entropy spans are only given apart from base spans. Repeated rows each get their row; an empty
+    table gives an empty result; columns of docs by the names of the new ones give way to them.
     """
+    docs = docs.drop(*({"n_assign", "n_access", "n_hex", "base_spans", "spans"} & set(docs.columns) - {text_col}))
     t = F.coalesce(F.col(text_col), F.lit(""))
     long_value = lambda x: F.length(x["g"]) >= 8
     assign = F.filter(find_all(t, ASSIGN, t.rlike("(?i:passw|secret|token|api_?key)"), 2), long_value)

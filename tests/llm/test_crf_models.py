@@ -7,6 +7,7 @@ import pytest
 
 from lodegraph.llm import html_extract as h, quality as q
 from lodegraph.llm.crf import CRF, forward_backward
+from tests.llm import brute
 
 
 def by_enumeration(emit, trans, start):
@@ -76,6 +77,70 @@ def test_foreign_and_fallback_parts_of_an_article():
     assert h.extract(f"<body><noscript>Please enable scripts.</noscript><h1>Title</h1><p>{long}</p></body>", h.trained()) == f"Title\n\n{body}"
 
 
+def test_other_makes_of_pages():
+    """Layouts that the training generator doesn't know: deep wrappers, layout tables, definition lists, lists without ends, no main part at all."""
+    p = ["The first paragraph says enough about its subject to be read. It goes on a little.", "A second one follows it, just as long as the first, and ends here."]
+    field = h.trained()
+    deep = "<div class=wrap>" * 40 + "<div class=post>" + f"<h1>Head</h1><p>{p[0]}</p><p>{p[1]}</p>" + "</div>" * 41
+    page = f"<html><body><div class='topbar menu'><a href=a>One</a><a href=b>Two</a></div>{deep}<div class=footer>Copyright us</div></body></html>"
+    assert h.extract(page, field) == f"Head\n\n{p[0]}\n\n{p[1]}"
+    cells = f"<table><tr><td class=nav><ul><li><a href=a>One<li><a href=b>Two</ul></td><td><div id=content><h2>Head</h2><p>{p[0]}<p>{p[1]}</div></td></tr></table>"
+    assert h.extract(cells, field) == f"Head\n\n{p[0]}\n\n{p[1]}"
+    terms = f"<nav><a href=a>One</a></nav><article><h1>Head</h1><dl><dt>Term<dd>{p[0]}<dt>Other<dd>{p[1]}</dl></article><aside class=widget><p>Read next</p></aside>"
+    assert h.extract(terms, field) == f"Head\n\nTerm\n\n{p[0]}\n\nOther\n\n{p[1]}"
+    bare = f"<h1>Head</h1><p>{p[0]}</p><p>{p[1]}</p><div class=share><a href=x>Share this</a></div>"
+    assert h.extract(bare, field) == f"Head\n\n{p[0]}\n\n{p[1]}"
+
+
+def test_nesting_takes_time_in_proportion():
+    import time
+
+    field = h.trained()
+    for piece in ("<div>x", "<ul><li>x", "<span class='a b'>x ", "<p>x", '<a href="', "<script>x", "<!-- "):
+        took = []
+        for n in (20_000, 40_000):
+            began = time.time()
+            h.extract(piece * n, field)
+            took.append(time.time() - began)
+        assert took[1] < 4 * max(took[0], 0.1), piece
+
+
+def plain_line(lines, i):
+    """The features of a line, written character by character and word by word."""
+    raw, w = lines[i], brute.words(lines[i].decode("utf-8", "replace"))
+    n = len(raw)
+    count = lambda chars: sum(b in chars.encode() for b in raw)
+    upper, lower = sum(65 <= b <= 90 for b in raw), sum(97 <= b <= 122 for b in raw)
+    some = max(1, len(w))
+    marks = 0
+    low = raw.decode().translate(brute.UPPER)
+    at = 0
+    for x in w:
+        at = low.index(x, at) + len(x)
+        marks += at < len(low) and low[at] in "*#$%&@^~=+_<>{}[]\\/`!?|"
+    same = float(i > 0 and w == brute.words(lines[i - 1].decode()) and bool(w))
+    return [upper / max(1, upper + lower), count("0123456789") / n, count("*#$%&@^~=+_<>{}[]\\/`") / n, count("!?") / n, count("|") / n, count(".,;:") / n, count(" \t\r\x0b\x0c") / n,
+            math.log(n) / 6, math.log1p(len(w)) / 4, min(40, n / some) / 8, sum(a == b for a, b in zip(w, w[1:], strict=False)) / some, len(set(w)) / some if w else 1, same, marks / some]
+
+
+def test_line_features_against_plain_rules():
+    texts = ["One line, two words!\nsame words here\nsame words here\n\nX X X x | y", "é🙂 ABC 12*3 a#b\n   \n!!!\nword", "tail\ttab a/ b", "a"]
+    for t in texts:
+        lines = [x.encode() for x in t.split("\n") if x.strip()]
+        x, n, size = q.line_features([t.encode()])
+        assert n.tolist() == [len(lines)] and size.tolist() == [len(a) for a in lines]
+        for i in range(len(lines)):
+            assert x[i].tolist() == pytest.approx(plain_line(lines, i)), (t, i, dict(zip(q.LINE_FEATURES, zip(x[i].tolist(), plain_line(lines, i), strict=True), strict=True)))
+
+
+def test_the_sample_does_not_depend_on_where_rows_lie(spark):
+    rows = [(i % 40, f"text {i} of many, with words and {'!' * (i % 5)}") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (q.train_quality(docs.repartition(n), labels, sample_docs=20) for n in (1, 7))
+    assert (a.field.weights == b.field.weights).all() and (a.slope, a.bias) == (b.slope, b.bias)
+
+
 def corpus(n=240):
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdeinorst") for _ in range(r.randint(2, 8)))

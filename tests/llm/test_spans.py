@@ -5,9 +5,10 @@ import random
 import string
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodegraph.llm import licenses, pii, secrets
-from lodegraph.llm.native_spans import listed, masked
+from lodegraph.llm.native_spans import SPAN, apart, listed, masked
 from tests.llm import brute
 from tests.llm.conftest import TEXTS
 
@@ -80,6 +81,88 @@ def test_further_kinds(spark):
     assert {"phone_local", "email_text", "name"} <= set(got[1])
 
 
+def planted(n=240):
+    """(text, spans of personal data by kind), and look-alikes that are none."""
+    r = random.Random(12)
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 3)))
+    name = lambda: word().capitalize()
+    fill = lambda: " ".join(word() for _ in range(r.randint(3, 12)))
+    real = {
+        "phone_local": lambda: (r.choice(["call ", "phone: ", "Tel. ", "my mobile is "]), f"({r.choice('23456789')}{d(2)}) {d(3)}-{d(4)}"),
+        "national_id": lambda: (r.choice(["SSN ", "social security number: ", "SSN: "]), f"{r.randint(100, 665)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}"),
+        "iban": lambda: (r.choice(["IBAN ", "account: ", "pay to account "]), f"{r.choice(['DE', 'FR', 'ES', 'NL', 'AT'])}{d(2)} {d(4)} {d(4)} {d(4)} {d(4)}"),
+        "email_text": lambda: (r.choice(["write to ", "mail ", "contact: "]), f"{word()} [at] {word()} [dot] {r.choice(['com', 'org', 'net'])}"),
+        "name": lambda: (r.choice(["dear ", "from ", "regards, "]), f"{r.choice(['Dr.', 'Mr', 'Mrs.', 'Herr', 'Frau', 'Madame'])} {name()} {name()}"),
+    }
+    fake = [lambda: f"order {d(3)}-{d(2)}-{d(4)}", lambda: f"part no 000-00-{d(4)}", lambda: f"serial {d(3)}-{d(3)}-{d(4)}", lambda: f"ticket {d(3)} {d(3)} {d(4)}", lambda: f"build {d(3)}-{d(2)}-0000", lambda: f"version {d(3)}.{d(3)}.{d(4)}"]
+    rows = []
+    for i in range(n):
+        if i % 2:
+            kind = list(real)[i // 2 % len(real)]
+            cue, m = real[kind]()
+            before = fill() + " " + cue
+            rows.append((before + m + " " + fill(), kind, len(before), len(before) + len(m)))
+        else:
+            rows.append((fill() + " " + r.choice(fake)() + " " + fill(), None, 0, 0))
+    return rows
+
+
+def test_planted_further_kinds(spark):
+    """Precision and recall of the kinds beyond the base forms, on planted spans and look-alikes under counter-cues."""
+    rows = planted()
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: {(x["kind"], x["s"], x["e"]) for x in r["spans"]} for r in pii.find_personal(df).collect()}
+    found = {k: [0, 0] for k in pii.FURTHER}
+    false = 0
+    for i, (_, kind, s, e) in enumerate(rows):
+        if kind:
+            found[kind][0] += 1
+            found[kind][1] += (kind, s, e) in got[i]
+        false += len(got[i] - {(kind, s, e)})
+    assert all(hit >= 0.9 * n for n, hit in found.values()), found
+    assert false <= 0.1 * sum(n for n, _ in found.values()), (false, [(rows[i][0], got[i]) for i in got if not rows[i][1] and got[i]][:5])
+
+
+def addresses(n):
+    return " ".join(f"u{i}@b{i}.com" for i in range(n))
+
+
+@pytest.mark.parametrize("find", [pii.find_personal, secrets.find_secrets])
+def test_texts_of_megabytes_full_of_spans(spark, find):
+    """Twice the spans take about twice the time; every span is found, and masked."""
+    import time
+
+    took = []
+    for n in (40_000, 80_000):
+        text = addresses(n) if find is pii.find_personal else " ".join(f"token=abcdefgh{i} AKIAABCDEFGHIJKL{i}" for i in range(n // 2))
+        began = time.time()
+        r = find(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("spans", masked(F.col("text"), F.col("spans")).alias("m")).first()
+        took.append(time.time() - began)
+        assert len(r["spans"]) == n and r["m"].count("[") == n and not any(c.islower() for c in r["m"])
+        assert all(text[x["s"] : x["e"]].startswith(("u", "token", "AKIA")) for x in r["spans"][:: n // 50])
+    assert took[1] < 3 * took[0] + 5
+
+
+def test_spans_apart_and_masks_against_plain_rules(spark):
+    r = random.Random(2)
+    rows = []
+    for i in range(40):
+        n = r.choice([0, 1, 5, 300])
+        make = lambda n: sorted({(s, r.randint(0, 3), s + r.randint(1, 6), "kind") for s in (r.randint(0, 2000) for _ in range(n))})  # noqa: E731, B023
+        rows.append((i, "".join(r.choice("ab🙂é") for _ in range(2010)), make(n), make(r.choice([0, 2, 200]))))
+    df = spark.createDataFrame(rows, f"i int, t string, xs {SPAN}, os {SPAN}")
+    for i, a, m in df.select("i", apart(F.col("xs"), F.col("os")), masked(F.col("t"), F.col("xs"))).collect():
+        _, t, xs, os = rows[i]
+        assert sorted(map(tuple, a)) == [x for x in xs if not any(o[0] < x[2] and x[0] < o[2] for o in os)]
+        out, at = "", 0
+        for s, _, e, _ in xs:
+            if s >= at:
+                out += t[at:s] + "[KIND]"
+            at = max(at, e)
+        assert m == (out + t[at:] if xs else t)
+
+
 def test_estimation_trusts_labelers_that_agree():
     yes, no = (1, 1, 1, -1, -1, -1), (0, 0, -1, 0, -1, -1)
     posterior, reliable = pii.estimate([("card", yes, 50), ("card", no, 50)])
@@ -96,6 +179,8 @@ def test_corners(find, corner_docs, no_docs):
 def test_clashing_names(corner_docs):
     assert licenses.find_licenses(corner_docs).count() == corner_docs.count()
     assert secrets.find_secrets(corner_docs).count() == corner_docs.count()
+    named = corner_docs.withColumnsRenamed({"score": "candidates", "n_words": "n_assign"})
+    assert pii.find_personal(named).count() == secrets.find_secrets(named).count() == corner_docs.count()
 
 
 def test_notice_is_found_with_words_missing(spark):
