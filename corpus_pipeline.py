@@ -9,20 +9,30 @@ from lodegraph.llm.common import durable, table
 from lodegraph.llm.decontaminate import decontaminate
 from lodegraph.llm.native_spans import masked
 from lodegraph.llm.near_dedup import near_duplicates, text_mark
-from lodegraph.llm.packing import byte_length, pack_documents
-from lodegraph.llm.pii import find_personal, fit
+from lodegraph.llm.packing import pack_documents, public_tokens
+from lodegraph.llm.pii import find_personal
 from lodegraph.llm.quality import score_quality, train_quality
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be good."""
+    """Documents that the classifier predicts to be good.
+
+    Null texts are judged as empty ones, and both by the score of a text without lines; texts are judged whole,
+    however long; repeated rows stay or go together; an empty table stays empty; other columns, whatever their
+    names, are carried in one and given back.
+    """
     model = train_quality(docs, table(spark, sf_dir, "labels"))
     kept = score_quality(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("__text")), model, text_col="__text", keep=["row"])
     return kept.where(F.col("predicted") == 1).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the first by id, and one row where that row is repeated."""
+    """One document of each class: the first by id, and one row where that row is repeated.
+
+    Null and empty texts are one class and texts of any length another each, as near_duplicates has it; a null
+    id comes after all others; an empty table stays empty. doc_id and text are read; all columns are given
+    back but __id and __mark, which must not be among them.
+    """
     classes = durable(near_duplicates(docs), "classes")
     marked = docs.withColumns({"__id": F.col("doc_id"), "__mark": text_mark("text")})
 
@@ -41,23 +51,37 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item.
+
+    Null and empty texts have none and stay; texts are scanned whole; repeated rows stay or go together; an
+    empty table stays empty, and an empty benchmark drops nothing; other columns are carried in one and given
+    back.
+    """
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("__text"))
-    found = decontaminate(rows, table(spark, sf_dir, "benchmark"), text_col="__text", keep=["row"], unnamed=True)
+    found = decontaminate(rows, table(spark, sf_dir, "benchmark"), text_col="__text", keep=["row"])
     return found.where(F.col("n_hit") == 0).select("row.*")
 
 
 def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by the name of its kind; n_chars follows the text. Null texts stay null."""
+    """All documents, with personal data replaced by the name of its kind; n_chars follows the text.
+
+    Null texts stay null, empty ones empty; texts are masked whole; repeated rows each get their row; an empty
+    table stays empty; other columns are carried in one and given back as they were.
+    """
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("__text"))
-    found = find_personal(rows, fit(docs), text_col="__text").select("row", F.when(F.col("__text").isNotNull(), masked(F.col("__text"), F.col("spans"))).alias("masked"))
+    found = find_personal(rows, text_col="__text").select("row", F.when(F.col("__text").isNotNull(), masked(F.col("__text"), F.col("spans"))).alias("masked"))
     new = {"text": F.col("masked"), "n_chars": F.length("masked").cast("long")}
     return found.select(*(new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document and its place in a bin."""
-    return pack_documents(docs, byte_length())
+    """A row for each piece of a document, with its text, and its place in a bin.
+
+    Null and empty texts get a row without a bin; long ones are cut into pieces, which lose nothing; repeated
+    rows are packed each on their own; an empty table gives no row; other columns than doc_id and text are not
+    read.
+    """
+    return pack_documents(docs, public_tokens())
 
 
 STAGES = [
