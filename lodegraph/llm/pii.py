@@ -17,8 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import table
-from lodegraph.llm.native_spans import SPAN, apart, as_spans, find_all, listed
+from lodegraph.llm.common import durable, table
+from lodegraph.llm.native_spans import SPAN, apart, find_all, listed
 
 #: The base forms. A run of the first class is only entered at its start or where the last match ended, so
 #: long runs cost no more than their length; possessive groups need no stack.
@@ -179,42 +179,72 @@ def train(rows: list[tuple[str, tuple[int, ...], tuple[int, ...], int]], rounds:
     return Model(bias, tuple(w), reliable)
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> Model:
-    """Votes and features of every candidate in every text, counted by pattern; the fit itself is over those counts."""
+#: s, k, e, kind as in SPAN; v: votes; f: features.
+CANDIDATE = "array<struct<s:int,k:int,e:int,kind:string,v:array<int>,f:array<int>>>"
+
+
+def candidates_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with candidates (CANDIDATE): every candidate span of its text with its votes and features. The one reading of the texts that the fit and the spans rest on."""
     t = F.col("__t")
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
-    vote_struct = lambda k: lambda x: F.struct(F.lit(k).alias("kind"), F.array(*votes(k, x)).alias("v"), F.array(*features(k, x)).alias("f"))
-    every = rows.select(F.concat(*(F.transform(c, vote_struct(k)) for k, c in candidates(t).items())).alias("c")).where(F.size("c") > 0).select(F.explode("c").alias("c"))
+
+    def noted(kind: str):
+        return lambda x: F.struct(
+            x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"), F.lit(kind).alias("kind"), F.array(*votes(kind, x)).alias("v"), F.array(*features(kind, x)).alias("f")
+        )
+
+    found = docs.withColumn("__t", F.coalesce(F.col(text_col), F.lit(""))).withColumns({f"__{k}": F.transform(c, noted(k)).cast(CANDIDATE) for k, c in candidates(t).items()})
+    return found.withColumn("candidates", F.concat(*(F.col(f"__{k}") for k in KINDS))).drop("__t", *(f"__{k}" for k in KINDS))
+
+
+def fit_candidates(found: DataFrame) -> Model:
+    """The model of the candidates of all rows, counted by pattern; the fit itself is over those counts."""
+    every = found.where(F.size("candidates") > 0).select(F.explode("candidates").alias("c"))
     counts = every.groupBy("c.kind", "c.v", "c.f").count()
     return train([(r["kind"], tuple(r["v"]), tuple(r["f"]), r["count"]) for r in counts.collect()])
 
 
-def confidence(kind: str, x: Column, model: Model) -> Column:
-    z = F.lit(model.kinds[kind])
-    for weight, f in zip(model.weights, features(kind, x), strict=True):
-        z = z + f * weight
+def fit(docs: DataFrame, text_col: str = "text") -> Model:
+    return fit_candidates(candidates_of(docs.select(F.col(text_col).alias("text"))))
+
+
+def confidence(x: Column, model: Model) -> Column:
+    """The classifier's probability that a candidate is personal data."""
+    z = F.get(F.array(*(F.lit(model.kinds[k]) for k in KINDS)), x["k"])
+    for i, weight in enumerate(model.weights):
+        z = z + F.get(x["f"], F.lit(i)) * weight
     return 1 / (1 + F.exp(-z))
 
 
-def find_personal(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def spans_of(found: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """found with base_spans and spans instead of candidates."""
+    plain = lambda c: F.transform(c, lambda x: F.struct(*(x[n].alias(n) for n in ("s", "k", "e", "kind")))).cast(SPAN)
+    n = len(BASE_KINDS)
+    base, sure = plain(F.filter("candidates", lambda x: x["k"] < n)), plain(F.filter("candidates", lambda x: (x["k"] >= n) & (confidence(x, model) >= threshold)))
+    found = found.withColumns({"base_spans": base, "__more": sure})
+    return found.withColumn("spans", F.concat("base_spans", apart(F.col("__more"), F.col("base_spans")))).drop("__more", "candidates")
+
+
+def find_personal(docs: DataFrame, model: Model | None = None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with base_spans and spans (arrays of s, k, e, kind; code points, end exclusive).
 
-    Null texts count as empty and have no spans. Spans of one kind never overlap; those of different base
-    kinds can; further spans are only given apart from base spans. Repeated rows each get their row.
+    Without a model, one is fitted on docs: docs and candidates are then written, once, and both the fit and
+    the spans read them again. Null texts count as empty and have no spans. Spans of one kind never overlap;
+    those of different kinds can, but further spans are only given apart from base spans. Repeated rows each
+    get their row; an empty table gives an empty result; columns of docs named base_spans, spans or
+    candidates give way to the new ones.
     """
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    base, more = base_matches(t), further_matches(t)
-    sure = lambda k: lambda x: confidence(k, x, model) >= threshold
-    found = docs.withColumns({f"__{k}": as_spans(c, KINDS.index(k), k) for k, c in base.items()} | {f"__{k}": as_spans(F.filter(c, sure(k)), KINDS.index(k), k) for k, c in more.items()})
-    found = found.withColumns({"base_spans": F.concat(*(F.col(f"__{k}") for k in base)).cast(SPAN), "__more": F.concat(*(F.col(f"__{k}") for k in more)).cast(SPAN)})
-    return found.withColumn("spans", F.concat("base_spans", apart(F.col("__more"), F.col("base_spans")))).drop("__more", *(f"__{k}" for k in KINDS))
+    found = candidates_of(docs.drop(*({"base_spans", "spans", "candidates"} & set(docs.columns) - {text_col})), text_col)
+    if model is None:
+        found = durable(found, "candidates")
+        model = fit_candidates(found)
+    return spans_of(found, model, threshold)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_personal(docs, fit(docs))
+    found = durable(candidates_of(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "candidates")
+    spans = spans_of(found, fit_candidates(found))
     n = lambda k: F.size(F.filter("base_spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *(n(k) for k in BASE_KINDS), F.sha2(listed(F.col("base_spans")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return spans.select("doc_id", *(n(k) for k in BASE_KINDS), F.sha2(listed(F.col("base_spans")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 QUERIES = {"op7_pii": op7_pii}

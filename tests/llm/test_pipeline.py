@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lodegraph.llm import packing
 from lodegraph.llm.queries import ORACLES, QUERIES
 from tests.llm import brute
 
@@ -36,7 +38,32 @@ def test_stages(spark, folder):
     assert 101 not in [r["doc_id"] for r in clean] and not [r for r in clean if item in (r["text"] or "")]
     masked = {r["doc_id"]: r["text"] for r in seen["PII"]}
     assert masked[102].endswith("Write to [EMAIL] please.") and not [t for t in masked.values() if t and brute.personal(t)]
-    assert sum(r["length"] for r in seen["best-fit packing"]) == sum(len(t.encode()) + 1 for t in masked.values() if t)
+    tokens = packing.public_tokens()
+    packed = seen["best-fit packing"]
+    assert sum(r["length"] for r in packed) == sum(len(tokens.ids(t)) + 1 for t in masked.values() if t)
+    assert sorted(r["text"] or "" for r in packed) == sorted(t or "" for t in masked.values())
+
+
+def test_corners_of_every_stage(spark, folder):
+    """Nulls in any column, an empty table, texts of megabytes, repeated rows, columns by the operators' own names."""
+    d, rows, _ = folder
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    long = "\n".join(f"Line {i} of a long and ordinary text, which says something about number {7 * i}." for i in range(30_000))
+    extra = spark.createDataFrame([(900, long, "en", "s", 1), (900, long, "en", "s", 1), (901, " " * 1_000_000, None, None, None), (902, "x" * 1_000_000, "en", None, 2)], docs.schema)
+    clash = {"row": F.lit("r"), "spans": F.lit("s"), "score": F.lit(1.5), "n_hit": F.lit(7), "key": F.lit("k"), "id": F.lit("i"), "mark": F.lit("m"), "candidates": F.lit("c"), "predicted": F.lit("p")}
+    every = docs.union(extra).withColumns(clash)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, every, d)
+        n = out.count()
+        assert stage(spark, every.limit(0), d).count() == 0
+        if name == corpus_pipeline.STAGES[-1][0]:
+            got = {r["doc_id"]: r["chars"] for r in out.groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars")).collect()}
+            assert got[900] == 2 * len(long) and got[901] == got[902] == 1_000_000
+        else:
+            assert out.columns == every.columns
+            assert out.where("row <> 'r' or spans <> 's' or score <> 1.5 or n_hit <> 7 or key <> 'k' or id <> 'i' or mark <> 'm' or candidates <> 'c' or predicted <> 'p'").count() == 0
+            assert out.where("doc_id = 900").count() == {"MinHash near-dedup": 1}.get(name, 2), name
+            assert n <= every.count()
 
 
 def test_run_is_the_stages(spark, folder):
