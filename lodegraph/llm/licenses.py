@@ -5,8 +5,9 @@ hold it. A hit votes for the diagonal (position in the document less position in
 neighbouring diagonals merge, since a word more or less shifts the rest by one; a merged diagonal is a
 license where its distinct votes cover enough of the template and its span is about as long as it.
 
-Built-in functions only. Templates are a fixed list, so their grams are broadcast; nothing is shuffled but
-votes and one short row for each document.
+Built-in functions only. Templates are a fixed list, so their grams are broadcast. Texts are read once: the
+words of each are counted, and of its grams those are written that begin like a template's; the join, the
+votes and the result rest on these short rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodegraph.llm.common import GAP, table
+from lodegraph.llm.common import GAP, durable, table
 from lodegraph.llm.native_spans import let
 
 #: The phrases of the base form and their labels; every place counts, word for word.
@@ -43,17 +44,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), GAP, -1), lambda w: w != "")
 
 
-def word_count(text: Column) -> Column:
-    edges = lambda p: F.when(F.get(p, F.lit(0)) == "", 1).otherwise(0) + F.when((F.size(p) > 1) & (F.get(p, F.size(p) - 1) == ""), 1).otherwise(0)
-    return let(F.split(F.lower(text), GAP, -1), lambda p: F.size(p) - edges(p)).cast("long")
-
-
 def gram_hashes(w: Column) -> Column:
     """For each word: its position i, the word, and the hashes of the short and the long gram that begin there."""
     ahead = lambda ws, i, n: [F.get(ws, i + j) for j in range(n)]
     return let(w, lambda ws: F.transform(ws, lambda x, i: F.struct(i.alias("i"), x.alias("w"), F.xxhash64(*ahead(ws, i, PHRASE_GRAM)).alias("h2"), F.xxhash64(*ahead(ws, i, NOTICE_GRAM)).alias("h4"))))
 
 
+def grams_due(ws: Column, short: list[int]) -> Column:
+    """gram_hashes of the words at which one of the short grams begins: the rolling hash of every word's gram is taken, the rest only where it is one of these."""
+    ahead = lambda i, n: [F.get(ws, i + j) for j in range(n)]
+    rolled = F.transform(ws, lambda x, i: F.struct(i.alias("i"), F.xxhash64(*ahead(i, PHRASE_GRAM)).alias("h2")))
+    return F.transform(F.filter(rolled, lambda g: g["h2"].isin(*short)), lambda g: F.struct(g["i"].alias("i"), F.get(ws, g["i"]).alias("w"), g["h2"].alias("h2"), F.xxhash64(*ahead(g["i"], NOTICE_GRAM)).alias("h4")))
+
+
 def template_grams(spark: SparkSession) -> DataFrame:
     """A row for each gram of each template: tid, label, base, t (its position), grams (of the template), size (its words), tw, t2, t4 (null in phrases)."""
     texts = [(p, label, True) for p, label in PHRASES] + [(n, label, False) for label, n in NOTICES]
@@ -75,10 +78,13 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     t = F.coalesce(F.col(text_col), F.lit(""))
-    row = docs.select(F.col(id_col).alias("id"), t.alias("t"), F.xxhash64(t).alias("k1"), F.hash(t).alias("k2"))
+    templates = template_grams(spark)
+    short = [r["t2"] for r in templates.select("t2").distinct().collect()]  # of the fixed list
     key = ["id", "k1", "k2"]
-    grams = row.select(*key, F.explode(gram_hashes(words(F.col("t")))).alias("g")).select(*key, "g.i", "g.w", "g.h2", "g.h4")
-    tg = F.broadcast(template_grams(spark))
+    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(t).alias("k1"), F.hash(t).alias("k2"), let(words(t), lambda ws: F.struct(F.size(ws).cast("long").alias("n"), grams_due(ws, short).alias("g"))).alias("x"))
+    row = durable(read.select(*key, F.col("x.n").alias("n_words"), F.col("x.g").alias("due")), "grams")
+    grams = row.select(*key, F.explode("due").alias("g")).select(*key, "g.i", "g.w", "g.h2", "g.h4")
+    tg = F.broadcast(templates)
     hits = grams.join(tg, (F.col("h2") == F.col("t2")) & (F.col("w") == F.col("tw")) & (F.col("t4").isNull() | (F.col("h4") == F.col("t4"))))
     # a set of template positions, so that equal rows of docs vote once
     lines = hits.groupBy(*key, "tid", "label", "base", "size", "grams", (F.col("i") - F.col("t")).alias("diagonal")).agg(F.collect_set("t").alias("ts"))
@@ -96,7 +102,7 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     noticed = spans.where((F.col("cover") >= COVER) & F.col("stretch").between(*SPAN_SHARES)).groupBy(*key).agg(F.collect_set("label").alias("notice_labels"), F.max("cover").alias("cover"))
 
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["k1"] == b["k1"]) & (a["k2"] == b["k2"])
-    out = row.select(*key, word_count(F.col("t")).alias("n_words")).alias("d")
+    out = row.select(*key, "n_words").alias("d")
     out = out.join(based.alias("b"), same(out, based), "left").select("d.*", "n_base", "first_word", "last_word", "base_labels")
     noticed = noticed.select(F.col("id").alias("nid"), F.col("k1").alias("n1"), F.col("k2").alias("n2"), "notice_labels", "cover")
     out = out.join(noticed, out["id"].eqNullSafe(noticed["nid"]) & (out["k1"] == noticed["n1"]) & (out["k2"] == noticed["n2"]), "left")
