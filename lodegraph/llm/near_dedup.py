@@ -10,8 +10,9 @@ Signatures are banded; texts that share a band are candidates; candidates are ve
 their multisets. Equal texts are folded before anything is paired. In a bucket all are verified against
 one leader. Texts of a bucket that are then still in different classes are compared by their signatures, in
 blocks of bounded size, and those that may reach the similarity are verified: first the likeliest partner
-of each, then, for what is left apart, every one, in place, where two texts share their first band. So no
-link between different texts is lost, and the pairs of a large group are not written out.
+of each, then, for what is left apart, every one, in place, where two texts share their first band. So the
+pairs of a large group are not written out, and a link between different texts is lost only by the chance of
+the signatures: if two texts share no band, or agree in SLACK less of their components than their similarity.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import durable, release, small_batches, table
+from lodegraph.llm.common import by_bytes, durable, release, table
 from lodegraph.llm.word_hashes import chunks, mix, multisets, shingles
 
 #: Words in a shingle, least similarity, bands and rows in a band.
@@ -102,7 +103,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, n
     """id, mark (a hash of the text as it is), digest, size (of the multiset), bands (keys; empty for texts without words), sig (16 bits of each component), a row for each row of docs."""
 
     def run(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, 2):
             raws = [x or b"" for x in batch.column(2).to_pylist()]
             digests, sizes, keys, sigs = [], [], [], []
             for part in chunks(raws):
@@ -118,14 +119,14 @@ def signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, n
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["id", "mark", "digest", "size", "bands", "sig"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return small_batches(docs).select(F.col(id_col).alias("id"), text_mark(text_col).alias("mark"), F.col(text_col).cast("binary").alias("raw")).mapInArrow(run, f"id {kind}, mark bigint, digest binary, size bigint, bands array<bigint>, sig binary")
+    return docs.select(F.col(id_col).alias("id"), text_mark(text_col).alias("mark"), F.col(text_col).cast("binary").alias("raw")).mapInArrow(run, f"id {kind}, mark bigint, digest binary, size bigint, bands array<bigint>, sig binary")
 
 
 def expanded(needed: DataFrame, n: int) -> DataFrame:
     """digest and its multiset as a set: a shingle that occurs c times stands for c numbers. needed: digest, raw; rows whose text has another digest are passed over."""
 
     def run(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             raws, asked = [x or b"" for x in batch.column(1).to_pylist()], batch.column(0).to_pylist()
             digests, sets = [], []
             for part in chunks(raws):
@@ -168,7 +169,9 @@ def components(edges: DataFrame) -> DataFrame:
         # done when no node hangs on two others or has another hang on it
         again = stars.select(F.col("a").alias("n")).union(stars.select(F.col("b").alias("n")).distinct()).groupBy("n").count().where("count > 1")
         if again.isEmpty():
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            found = stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            found._lodegraph_path = stars._lodegraph_path
+            return found
 
 
 def _candidates(pdf, similarity: float, components_: int, rows: int):
@@ -196,7 +199,7 @@ def _candidates(pdf, similarity: float, components_: int, rows: int):
             same = equal.sum(axis=1)
             due = same >= (similarity - SLACK) * components_
             ic, jc, same, equal = ic[due], jc[due], same[due], equal[due]
-            shared = equal.reshape(len(ic), -1, rows).all(axis=2)
+            shared = equal.reshape(len(ic), components_ // rows, rows).all(axis=2)
             first = ~(shared & (np.arange(shared.shape[1])[None, :] < band[ic][:, None])).any(axis=1)
             if first.any():
                 yield ic[first], jc[first], same[first]
@@ -221,7 +224,7 @@ def in_groups(split: DataFrame, blocks, groups: int) -> DataFrame:
     return dealt.withColumns({"ba": F.least("blk", "other"), "bb": F.greatest("blk", "other"), "grp": F.pmod(F.xxhash64("key"), F.lit(groups))}).drop("blocks", "other")
 
 
-def partners(split: DataFrame, groups: int, similarity: float, components_: int, rows: int) -> DataFrame:
+def partners(split: DataFrame, groups: int, similarity: float, components_: int, rows: int, block_texts: int = BLOCK) -> DataFrame:
     """a, b: the likeliest partner, by signatures, of each text of a bucket among those in other classes. split: key, band, digest, size, root, sig, n (texts in the bucket)."""
 
     def screen(pdf):
@@ -235,12 +238,12 @@ def partners(split: DataFrame, groups: int, similarity: float, components_: int,
                 best[x[over]], top[x[over]] = y[over], same[over]
         return _pairs(pdf["digest"].to_numpy(), ((i, j) for i, j in enumerate(best) if j >= 0))
 
-    dealt = in_groups(split.select("key", "band", "digest", "size", "root", "sig", "n"), F.ceil(F.col("n") / BLOCK).cast("int"), groups).drop("n")
+    dealt = in_groups(split.select("key", "band", "digest", "size", "root", "sig", "n"), F.ceil(F.col("n") / block_texts).cast("int"), groups).drop("n")
     return dealt.groupBy("grp", "ba", "bb").applyInPandas(screen, "a binary, b binary").distinct()
 
 
-def remaining_links(split: DataFrame, sets: DataFrame, groups: int, similarity: float, components_: int, rows: int) -> DataFrame:
-    """a, b: verified links that join all classes which links between texts of one bucket join. Texts with a possible partner in another class are flagged by signatures; then groups of flagged texts, with their multisets, are verified pair by pair in place, and pairs that other links have joined are passed over."""
+def remaining_links(split: DataFrame, sets: DataFrame, groups: int, similarity: float, components_: int, rows: int, block_texts: int, block_items: int, scratch: list[DataFrame]) -> DataFrame:
+    """a, b: verified links that join all classes which links between texts of one bucket join. Texts with a possible partner in another class are flagged by signatures; then groups of flagged texts, with their multisets, are verified pair by pair in place, and pairs that other links have joined are passed over. What is written meanwhile is added to scratch."""
 
     def flag(pdf):
         import pandas as pd
@@ -277,16 +280,17 @@ def remaining_links(split: DataFrame, sets: DataFrame, groups: int, similarity:
         return _pairs(pdf["digest"].to_numpy(), out)
 
     whole = split.select("key", "band", "digest", "size", "root", "sig", "n")
-    flagged = in_groups(whole, F.ceil(F.col("n") / BLOCK).cast("int"), groups).drop("n").groupBy("grp", "ba", "bb").applyInPandas(flag, "key bigint, digest binary").distinct()
+    flagged = in_groups(whole, F.ceil(F.col("n") / block_texts).cast("int"), groups).drop("n").groupBy("grp", "ba", "bb").applyInPandas(flag, "key bigint, digest binary").distinct()
     left = durable(whole.drop("n").join(flagged, ["key", "digest"]), "flagged")
+    scratch.append(left)
     total = left.agg(F.sum("size")).first()[0] or 0
     sums = left.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("items_"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("items_") / BLOCK_ITEMS)).cast("int")
-    dealt = in_groups(left.join(sums, "key").join(sets, "digest"), blocks, max(1, -(-total // BLOCK_ITEMS))).drop("n", "items_")
+    blocks = F.greatest(F.ceil(F.col("n") / block_texts), F.ceil(F.col("items_") / block_items)).cast("int")
+    dealt = in_groups(left.join(sums, "key").join(sets, "digest"), blocks, max(1, -(-total // block_items))).drop("n", "items_")
     return dealt.groupBy("grp", "ba", "bb").applyInPandas(verify, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE, block_texts: int = BLOCK, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """One row per row of docs: id, mark (text_mark of its text), class_id (least id of its class), class_size
     (rows of the class), first (whether the row, or one equal to it in id and mark, stands for its class).
 
@@ -297,8 +301,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     after all others, so a class has a null class_id only if all its ids are null. An empty table gives an empty result; other
     columns are not read.
     """
-    sign = durable(signed(docs, id_col, text_col, bands, rows, n), "signed")
-    texts = sign.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
+    sign = durable(signed(docs, id_col, text_col, bands, rows, n).withColumn("at", F.monotonically_increasing_id()), "signed")
+    folded = sign.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark", "at")).alias("first"), F.count("*").alias("copies"))
+    # the signature of the one row that stands for a text; the fold itself moves no signatures
+    texts = durable(folded.join(sign.select("at", "size", "bands", "sig"), F.col("first.at") == F.col("at")).drop("at"), "texts")
     spread = texts.select("digest", "first.id", "first.mark", "size", F.posexplode("bands").alias("band", "key"))
     crowded = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("leader")).where("n > 1")
     buckets = durable(spread.join(crowded.select("key", "leader"), "key").select("key", "band", "leader", "digest", "id", "mark", "size"), "buckets")
@@ -316,15 +322,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lead = lead.join(sized.select(F.col("digest").alias("leader"), F.col("size").alias("lead_size")), "leader").where(alike("size", "lead_size"))
     edges = durable(verified(lead.select(F.col("leader").alias("a"), F.col("digest").alias("b")), sets, similarity), "edges")
     roots = components(edges)
+    kept: list[DataFrame] = []
     groups = max(1, -(-buckets.count() // GROUP_ROWS))
     for last in (False, True):
         members = buckets.select("key", "band", "digest", "size").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
         apart = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key", "n")
         split = members.join(apart, "key").join(texts.select("digest", "sig"), "digest")
         how = groups, similarity, bands * rows, rows
-        found = remaining_links(split, sets, *how) if last else verified(partners(split, *how), sets, similarity)
+        found = remaining_links(split, sets, *how, block_texts, block_items, kept) if last else verified(partners(split, *how, block_texts), sets, similarity)
         more = durable(found, "edges")
         if not more.isEmpty():
+            kept.append(roots)
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
         release(more)
     release(buckets, sets, edges)
@@ -332,7 +340,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"))
     by_digest = rooted.select("digest", "root").join(classes, "root").select("digest", F.col("first.id").alias("class_id"), F.col("first.mark").alias("class_mark"), "class_size")
     is_first = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("mark") == F.col("class_mark"))
-    return sign.select("id", "mark", "digest").join(by_digest, "digest").select(F.col("id").alias(id_col), "mark", "class_id", "class_size", is_first.alias("first"))
+    found = sign.select("id", "mark", "digest").join(by_digest, "digest").select(F.col("id").alias(id_col), "mark", "class_id", "class_size", is_first.alias("first"))
+    found = durable(found, "classes")
+    release(sign, texts, roots, *kept)
+    return found
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,25 @@ def test_chains_of_links_and_cross_class_pairs(spark):
     assert sorted((x["doc_id"], x["class_id"], x["class_size"]) for x in nd.near_duplicates(df).collect()) == classes(rows)
 
 
+def test_large_buckets_in_small_blocks(spark):
+    """Drifting chains about one start share buckets with texts of other classes; blocks of four texts, two multisets each, give what one block gives."""
+    r = random.Random(6)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows = []
+    for c in range(3):
+        base = [r.choice(vocab) for _ in range(150)]
+        for k in range(14):
+            copy = list(base)
+            for _ in range(r.choice([2, 3, 5])):
+                copy[r.randrange(150)] = r.choice(vocab)
+            rows.append((100 * c + k, " ".join(copy)))
+        for k in range(14):
+            rows.append((100 * c + 50 + k, " ".join(base[4 * k :] + [r.choice(vocab) for _ in range(2 * k)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    whole, blocks = (sorted((x["doc_id"], x["class_id"], x["class_size"]) for x in nd.near_duplicates(df, **how).collect()) for how in ({}, {"block_texts": 4, "block_items": 300}))
+    assert whole == blocks == classes(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (103, 103), (5, 100)] + [(200, 200 + i) for i in range(1, 30)]
     got = {r["node"]: r["root"] for r in nd.components(spark.createDataFrame(edges, "a long, b long")).collect()}
