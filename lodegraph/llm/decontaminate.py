@@ -1,7 +1,7 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised test items.
 
-Every window of consecutive item words is a pattern, in which a word is one character of the items' own
-vocabulary; each document is normalised, read off in the same characters and scanned once, and matches are
+Every window of consecutive item words is a pattern, in which a word stands as a short code from the items'
+own vocabulary; each document is normalised, read off in the same codes and scanned once, and matches are
 mapped back to offsets of the original text.
 """
 
@@ -19,9 +19,11 @@ from pyspark.sql import types as T
 from lodegraph.llm.common import WORD, by_bytes, char_offsets, durable, release, table, word_bounds, words_of
 
 #: Words in a window, and the item words that one automaton may hold; more items make further automata, each of which
-#: scans the texts in a pass of its own. A word of an item costs a node or two for each word of a window, about 2 KB in all.
+#: scans the texts in a pass of its own. A word of an item costs about 2 KB: up to three nodes for each word of a window.
 WINDOW = 10
 AUTOMATON_WORDS = 250_000
+#: Characters that one place of a word's code can have.
+DIGITS = 64
 _built: dict = {}
 
 
@@ -32,20 +34,27 @@ def windows_of(raw: bytes, window: int) -> list[list[bytes]]:
 
 
 def build(items: list[tuple[int, bytes]], window: int):
-    """(vocabulary, automaton): every word of the items is one character to the automaton, whose values are (words in the pattern, item ids); None without patterns."""
-    codes: dict[bytes, str] = {}
+    """(code by word, characters of a code, automaton with values (words in the pattern, item ids)); None without patterns.
+
+    Every word of the items has a code of a few characters, each place of it with DIGITS characters of its own:
+    nodes have few children, and no match begins or ends inside a code.
+    """
+    vocabulary = dict.fromkeys(x for _, raw in items for x in words_of(raw))
+    width = 1
+    while DIGITS**width < len(vocabulary):
+        width += 1
+    codes = {w: "".join(chr(1 + p * DIGITS + i // DIGITS**p % DIGITS) for p in range(width)) for i, w in enumerate(vocabulary)}
     found: dict[str, set] = {}
     for item, raw in items:
         for w in windows_of(raw, window):
-            key = "".join([codes.setdefault(x, chr(1 + len(codes) + 0x800 * (len(codes) >= 0xD7FF))) for x in w])  # past the surrogates
-            found.setdefault(key, set()).add(item)
+            found.setdefault("".join([codes[x] for x in w]), set()).add(item)
     if not found:
         return None
     a = ahocorasick.Automaton()
     for key, ids in found.items():
-        a.add_word(key, (len(key), tuple(ids)))
+        a.add_word(key, (len(key) // width, tuple(ids)))
     a.make_automaton()
-    return codes, a
+    return codes, width, a
 
 
 def scan(raw: bytes, built) -> tuple[int, set, list[tuple[int, int, int, int]]]:
@@ -53,15 +62,16 @@ def scan(raw: bytes, built) -> tuple[int, set, list[tuple[int, int, int, int]]]:
     words = words_of(raw)
     if not words or built is None:
         return len(words), set(), []
-    codes, automaton = built
-    get = codes.get
+    codes, width, automaton = built
+    get, unknown = codes.get, "\0" * width
     items: set = set()
     step = None
-    for end, (n, ids) in automaton.iter("".join([get(w, "\0") for w in words])):
+    for at, (n, ids) in automaton.iter("".join([get(w, unknown) for w in words])):
         if step is None:
             step = np.zeros(len(words) + 1, dtype=np.int64)
-        step[end + 1 - n] += 1
-        step[end + 1] -= 1
+        end = (at + 1) // width
+        step[end - n] += 1
+        step[end] -= 1
         items.update(ids)
     if step is None:
         return len(words), items, []

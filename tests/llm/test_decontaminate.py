@@ -47,12 +47,12 @@ def test_passages_of_several_scans_are_one():
     assert d.merged([(5, 8, 50, 80), (0, 2, 0, 20), (7, 12, 70, 120), (2, 3, 21, 30), (6, 7, 60, 70)]) == [(0, 3, 0, 30), (5, 12, 50, 120)]
 
 
-def test_vocabulary_passes_over_surrogates():
-    items = [(1, " ".join(f"w{i}" for i in range(60_000)).encode())]
-    built = d.build(items, 10)
-    assert len(built[0]) == 60_000 and not any(0xD800 <= ord(c) < 0xE000 for c in built[0].values())
-    text = " ".join(f"w{i}" for i in range(55_290, 55_310)).encode()
-    assert d.scan(text, built)[2][0][:2] == (0, 20)
+def test_codes_of_large_and_small_vocabularies():
+    for n, width in ((5, 1), (64, 1), (65, 2), (5000, 3)):
+        built = d.build([(1, " ".join(f"w{i}" for i in range(n)).encode())], 10)
+        assert built[1] == width and len(set(built[0].values())) == n
+        text = "no " + " ".join(f"w{i}" for i in range(max(0, n - 20), n)) + " w0 end"
+        assert d.scan(text.encode(), built)[2][0][:2] == (1, 1 + min(n, 20))
 
 
 def test_long_texts_take_time_in_proportion():
