@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegraph.functions.text import LICENSE_WORDS, lines, path_tokens
+from lodegraph.functions.text import LICENSE_PHRASES, lines, path_tokens
 
 #: Declarations by language: (kind, pattern with the name in group 1), read line by line.
 DECLARATIONS = {
@@ -17,8 +17,8 @@ DECLARATIONS = {
     "java": (("class", r"^\s*(?:public|private|protected|abstract|final|static|\s)*(?:class|interface|enum|record)\s+(\w+)"), ("method", r"^\s+(?:public|private|protected|static|final|abstract|synchronized|\s)*[A-Z\w<>\[\]]+\s+(\w+)\s*\([^;]*\)\s*(?:throws\s[\w, ]+)?\{")),
 }
 DECLARATIONS["js"] = DECLARATIONS["vue"] = DECLARATIONS["ts"]
-#: Fixed value: the form of an import line.
-IMPORT_LINE = r"^\s*(?:import\b|from\s+\S+\s+import\b|export\s+.*\bfrom\b|using\s+[A-Za-z0-9_.:]+\s*$|(?:const|let|var)\s+[\w{}\s,:]+=\s*require\()"
+#: Libraries so common in one language that a file's list of imports leaves them out.
+COMMON_LIBRARIES = ("sys", "concurrent", "util", "inet", "web", "wisp", "xml")
 
 
 def declarations(files: DataFrame, path: str = "path", language: str = "language", text: str = "text") -> DataFrame:
@@ -38,29 +38,67 @@ def declarations(files: DataFrame, path: str = "path", language: str = "language
     return found.withColumn("owner", owner)
 
 
+#: The comment block that a text begins with: a bracketed one with the rest of its last line, or lines that begin with a mark.
+LEADING_COMMENT = r"^\s*(/\*(?s:.*?)\*/[^\n]*\n?|(?:[^\S\n]*(?://|\*\*|#)[^\n]*(?:\n|$))+)"
+
+
+def speaks_of_license(text: Column) -> Column:
+    """Whether a text holds one of LICENSE_PHRASES, however its words are spaced, or a (c) before a year."""
+    plain = F.regexp_replace(F.lower(text), r"\s+", " ")
+    found = plain.rlike(r"\(c\) ?[0-9]{4}")
+    for phrase in LICENSE_PHRASES:
+        found = found | plain.contains(phrase)
+    return found
+
+
 def without_license(text: Column) -> Column:
     """A text without its first comment block, if that speaks of a license."""
-    head = F.regexp_extract(text, r"(?s)^\s*(/\*.*?\*/[^\n]*\n?|(?:[^\S\n]*(?://|\*\*|#)[^\n]*(?:\n|$))+)", 1)
-    return F.when((head != "") & head.rlike(LICENSE_WORDS), F.substr(F.ltrim(text), F.length(F.ltrim(head)) + 1, F.length(text))).otherwise(text)
+    head = F.regexp_extract(text, LEADING_COMMENT, 0)
+    return F.when((head != "") & speaks_of_license(head), F.substr(text, F.length(head) + 1, F.length(text))).otherwise(text)
+
+
+def _read_line(line: Column) -> Column:
+    """(drop, name) of a line of code: whether it only imports, and what. The line is told by its first word."""
+    words = F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
+    first, second = F.get(words, F.lit(0)), F.coalesce(F.get(words, F.lit(1)), F.lit(""))
+    quoted = lambda t: F.regexp_extract(t, "[\"']([^\"']+)[\"']", 1)
+    has = lambda w: F.array_contains(words, w)
+    module = first.isin("import", "export")
+    # the specifier of a module may touch its "from"; a call of require stands anywhere
+    sourced = module & line.rlike("\\bfrom\\b *[\"']")
+    required = line.rlike("require\\( *[\"']")
+    quoted_at_once = (first == "import") & second.rlike("^[\"']")
+    name = (
+        F.when(sourced, quoted(F.element_at(F.split(line, "\\bfrom\\b"), -1)))
+        .when(quoted_at_once | first.rlike("^import[\"']"), quoted(line))
+        .when(required, quoted(F.element_at(F.split(line, "require\\("), 2)))
+        .when((first == "using") & second.rlike("^[A-Za-z0-9_.]"), F.regexp_extract(second, "^[A-Za-z0-9_.]+", 0))
+        .when((first == "from") & has("import") | (first == "import") & second.rlike("^[A-Za-z0-9_.]"), F.element_at(F.split(F.regexp_extract(second, "^[A-Za-z0-9_.]+", 0), r"\."), 1))
+        .otherwise("")
+    )
+    binding = first.isin("const", "let", "var") & required & line.rlike("= *require")
+    drop = (first == "import") | first.rlike("^import[^\\w]") | (first == "export") & has("from") | (first == "using") & (F.size(words) == 2) & second.rlike("^[A-Za-z0-9_.:]+$") | binding
+    return F.struct(drop.alias("drop"), name.alias("name"))
 
 
 def clean_body(text: Column) -> Column:
     """Import lines dropped, line ends trimmed, runs of blank lines made one, blank ends cut."""
-    kept = F.filter(F.transform(lines(text), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: ~x.rlike(IMPORT_LINE))
+    kept = F.filter(F.transform(lines(text), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: ~_read_line(x)["drop"])
     return F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
 
 
 def imports(text: Column, scan: int = 120, cap: int = 120) -> Column:
-    """What the first lines import, each once, as a list of at most cap characters; relative ones by their last name."""
-    head = F.array_join(F.slice(lines(text), 1, scan), "\n")
-    every = F.concat(
-        F.regexp_extract_all(head, F.lit(r"""(?m)^\s*(?:import|export)\b[^'"\n]*from\s*['"]([^'"]+)['"]"""), F.lit(1)), F.regexp_extract_all(head, F.lit(r"""(?m)^\s*import\s*['"]([^'"]+)['"]"""), F.lit(1)),
-        F.regexp_extract_all(head, F.lit(r"""require\(\s*['"]([^'"]+)['"]\s*\)"""), F.lit(1)), F.regexp_extract_all(head, F.lit(r"(?m)^\s*using\s+([A-Za-z0-9_.]+)"), F.lit(1)),
-        F.regexp_extract_all(head, F.lit(r"(?m)^\s*from\s+([A-Za-z0-9_]+)[\w.]*\s+import"), F.lit(1)), F.regexp_extract_all(head, F.lit(r"(?m)^\s*import\s+([A-Za-z0-9_]+)(?:[.\w]*)\s*(?:$|as\b|,)"), F.lit(1)),
-    )
+    """What the first lines import, in their order and each once, up to the first that would make the list longer than cap; relative ones by their last name, COMMON_LIBRARIES left out."""
+    every = F.transform(F.slice(lines(text), 1, scan), lambda x: _read_line(x)["name"])
     bare = F.transform(every, lambda s: F.when(s.startswith("."), F.regexp_replace(F.element_at(F.split(s, "/"), -1), r"\.[^.]+$", "")).otherwise(s))
-    step = lambda acc, s: F.when(acc == "", s).when(F.length(acc) + 2 + F.length(s) <= cap, F.concat(acc, F.lit(", "), s)).otherwise(acc)
-    return F.aggregate(F.array_distinct(F.filter(bare, lambda s: s != "")), F.lit(""), step)
+    wanted = F.array_distinct(F.filter(bare, lambda s: (s != "") & ~s.isin(*COMMON_LIBRARIES)))
+    longer = lambda acc, s: F.when(acc["list"] == "", s).otherwise(F.concat(acc["list"], F.lit(", "), s))
+
+    def step(acc: Column, s: Column) -> Column:
+        full = acc["full"] | (F.length(longer(acc, s)) > cap)
+        return F.struct(F.when(full, acc["list"]).otherwise(longer(acc, s)).alias("list"), full.alias("full"))
+
+    return F.aggregate(wanted, F.struct(F.lit("").alias("list"), F.lit(False).alias("full")), step, lambda acc: acc["list"])
 
 
 def header(path: Column, text: Column) -> Column:

@@ -1,6 +1,6 @@
 """The driver's tables, and the shapes of a code graph that are bound to them.
 
-events    -> typed edges between users (consecutive events of a type within a day), the change log, usage events
+events    -> typed edges between users (consecutive events of a type within an hour), the change log, usage events
 customer  -> graph nodes; part -> symbols; documents -> code and document texts; embeddings -> vectors
 region, nation, customer, orders, supplier -> the containment tree
 """
@@ -15,23 +15,21 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def edges(spark: SparkSession, sf_dir: str, min_value: float | None = None) -> DataFrame:
-    """edge_id, src, dst, edge_type, confidence, day. Dealt by (type, day), so no partition grows with the log's length; min_value thins it."""
-    e = load(spark, sf_dir, "events").withColumn("day", F.date_trunc("day", "ts"))
-    w = Window.partitionBy("event_type", "day").orderBy("ts", "event_id")
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """edge_id, src, dst, edge_type, confidence, hour: each event leads to the next one of its type in its hour. Dealt by (type, hour), so no sort grows with the log's length."""
+    e = load(spark, sf_dir, "events").withColumn("hour", F.date_trunc("hour", "ts"))
+    w = Window.partitionBy("event_type", "hour").orderBy("ts", "event_id")
     e = e.withColumn("dst", F.lead("user_id").over(w)).where(F.col("dst").isNotNull())
-    if min_value is not None:
-        e = e.where(F.col("value") >= min_value)
-    return e.select(F.col("event_id").alias("edge_id"), F.col("user_id").alias("src"), "dst", F.col("event_type").alias("edge_type"), (F.col("value") / 100).alias("confidence"), "day")
+    return e.select(F.col("event_id").alias("edge_id"), F.col("user_id").alias("src"), "dst", F.col("event_type").alias("edge_type"), (F.col("value") / 100).alias("confidence"), "hour")
 
 
-#: The same edges for the SQL side; {cut} is a condition on the events.
-EDGES_SQL = """edges AS (SELECT event_id AS edge_id, user_id AS src, dst, event_type AS edge_type, value / 100 AS confidence, day FROM
- (SELECT *, lead(user_id) OVER (PARTITION BY event_type, day ORDER BY ts, event_id) AS dst FROM (SELECT *, date_trunc('day', ts) AS day FROM events)) WHERE dst IS NOT NULL AND {cut})"""
+#: The same edges for the SQL side.
+EDGES_SQL = """edges AS (SELECT event_id AS edge_id, user_id AS src, dst, event_type AS edge_type, value / 100 AS confidence, hour FROM
+ (SELECT *, lead(user_id) OVER (PARTITION BY event_type, hour ORDER BY ts, event_id) AS dst FROM (SELECT *, date_trunc('hour', ts) AS hour FROM events)) WHERE dst IS NOT NULL)"""
 
 
-def edges_sql(cut: str = "true") -> str:
-    return EDGES_SQL.format(cut=cut)
+def edges_sql() -> str:
+    return EDGES_SQL
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
