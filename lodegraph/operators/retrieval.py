@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,22 +43,77 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def bm25(docs: DataFrame, query: str, id_col: str, text_col: str, k1: float = K1, b: float = B) -> DataFrame:
     """id, score, normalised (by the best). Only the query's terms are counted in a document; idf = ln(1 + (N - df + 0.5) / (df + 0.5))."""
-    terms = sorted({t.lower() for t in query.split()})
-    t = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("ts"))
-    t = settle(_term_counts(t, terms))  # a few numbers for each document; the texts are read once
-    stats = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
-    hit = t.where(reduce(lambda x, y: x | y, (F.col(f"tf{i}") > 0 for i in range(len(terms))))).crossJoin(F.broadcast(stats))  # one row of statistics
-    part = lambda i: F.when(F.col(f"tf{i}") > 0, F.ln(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
-    scored = hit.select("id", reduce(lambda x, y: x + y, (part(i) for i in range(len(terms)))).alias("score"))
+    terms = query_terms(query)
+    return bm25_scores(settle(text_counts(docs, id_col, text_col, terms)), len(terms), k1, b)
+
+
+def query_terms(query: str) -> list[str]:
+    return sorted({t.lower() for t in query.split()})
+
+
+def text_counts(docs: DataFrame, id_col: str, text_col: str, terms: list[str], prefixes: tuple[str, ...] = (), keep: dict[str, Column] | None = None) -> DataFrame:
+    """id, dl, tf0 .. (a term's count each), hits (tokens that begin with one of prefixes) and the columns of keep: a few numbers for each document, from one reading of its text."""
+    ts = tokens(F.coalesce(F.col(text_col), F.lit("")))
+    t = docs.select(F.col(id_col).alias("id"), ts.alias("ts"), *(c.alias(n) for n, c in (keep or {}).items()))
+    begins = reduce(lambda x, y: lambda w: x(w) | y(w), ((lambda p: lambda w: w.startswith(p))(p) for p in prefixes), lambda w: F.lit(False))
+    counts = [F.size(F.filter("ts", (lambda term: lambda x: x == F.lit(term))(term))).alias(f"tf{i}") for i, term in enumerate(terms)]
+    hits = [F.size(F.filter("ts", begins)).alias("hits")] if prefixes else []
+    return t.select("id", F.size("ts").alias("dl"), *counts, *hits, *(keep or {}))
+
+
+def bm25_scores(t: DataFrame, terms: int, k1: float = K1, b: float = B) -> DataFrame:
+    """id, score, normalised of the documents with a term. t: text_counts() of all documents, settled."""
+    stats = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(terms)))
+    hit = t.where(reduce(lambda x, y: x | y, (F.col(f"tf{i}") > 0 for i in range(terms)))).crossJoin(F.broadcast(stats))  # one row of statistics
+    part = lambda i: F.when(F.col(f"tf{i}") > 0, _weight(F.col(f"tf{i}"), F.col(f"df{i}"), F.col("n"), F.col("dl"), F.col("avgdl"), k1, b)).otherwise(0.0)
+    scored = hit.select("id", reduce(lambda x, y: x + y, (part(i) for i in range(terms))).alias("score"))
     best = scored.agg(F.max("score").alias("best"))  # one row
     return scored.crossJoin(F.broadcast(best)).select("id", "score", (F.col("score") / F.col("best")).alias("normalised"))
 
 
-def _term_counts(t: DataFrame, terms: list[str]) -> DataFrame:
-    def count(term: str) -> Column:
-        return F.size(F.filter("ts", lambda x: x == F.lit(term)))
+def _weight(tf: Column, df: Column, n: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
+    return F.ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
-    return t.select("id", F.size("ts").alias("dl"), *(count(w).alias(f"tf{i}") for i, w in enumerate(terms)))
+
+@dataclass(frozen=True)
+class Index:
+    """An inverted index: postings (term, id, tf, dl) in files by ranges of terms, sorted by term, so that a search reads the parts that hold its terms; documents, and their mean length."""
+
+    postings: DataFrame
+    documents: int
+    mean_length: float
+
+
+def build_index(docs: DataFrame, id_col: str, text_col: str, path: str | None = None) -> Index:
+    """Writes the index of docs, to path if given, else to the shared folder."""
+    t = postings(docs, id_col, text_col).select("term", "id", "tf", "dl")
+    # ids are part of the range, so that the postings of one very common term are dealt to several files
+    dealt = t.repartitionByRange(F.col("term"), F.col("id")).sortWithinPartitions("term", "id")
+    if path:
+        dealt.write.mode("overwrite").parquet(path)
+        kept = t.sparkSession.read.parquet(path)
+    else:
+        kept = settle(dealt)
+    # every posting of a document holds its length; documents without a token count too
+    n = docs.count()
+    total = kept.groupBy("id").agg(F.first("dl").alias("dl")).agg(F.sum("dl")).first()[0] or 0
+    return Index(kept, n, total / n if n else 0.0)
+
+
+def search_index(index: Index, query: str) -> DataFrame:
+    """id, score, normalised: BM25 of a query's terms from the postings alone."""
+    hits = index.postings.where(F.col("term").isin(query_terms(query)))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
+    scored = hits.join(F.broadcast(df), "term").select("id", _weight(F.col("tf"), F.col("df"), F.lit(index.documents), F.col("dl"), F.lit(index.mean_length)).alias("w")).groupBy("id").agg(F.sum("w").alias("score"))
+    best = scored.agg(F.max("score").alias("best"))  # one row
+    return scored.crossJoin(F.broadcast(best)).select("id", "score", (F.col("score") / F.col("best")).alias("normalised"))
+
+
+def search_prefixes(index: Index, words: list[str]) -> DataFrame:
+    """id, hits: documents that have, for every word, a term that begins with it; hits counts such tokens."""
+    met = [index.postings.where(F.col("term").startswith(w)).groupBy("id").agg(F.sum("tf").alias(f"h{i}")) for i, w in enumerate(words)]
+    every = reduce(lambda a, b: a.join(b, "id"), met)
+    return every.select("id", reduce(lambda a, b: a + b, (F.col(f"h{i}") for i in range(len(words)))).alias("hits"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -96,7 +152,7 @@ def exact_nearest(vectors: DataFrame, queries: DataFrame, k: int, block_rows: in
 
 
 def rrf(lists: dict[str, DataFrame], weights: dict[str, float] | None = None, k: int = RRF_K) -> DataFrame:
-    """key, score, best_rank, first_list, normalised. lists: name -> (key, rank).
+    """key, score, best_rank, first_list, normalised. lists: name -> (key, rank), settled if they cost much: each is read twice.
 
     score = sum of weight / (k + rank); a key counts once in a list, at its first rank; normalised by what a
     key first in every list that has rows would score; ties by best rank, then key.
@@ -108,14 +164,43 @@ def rrf(lists: dict[str, DataFrame], weights: dict[str, float] | None = None, k:
     return fused.crossJoin(F.broadcast(attainable)).withColumn("normalised", F.col("score") / F.col("most")).drop("most")
 
 
-def fold(hits: DataFrame, key: list[str], within: str, rank: str = "rank") -> DataFrame:
-    """The best hit of each key, with also_in: the other values of within among its hits, in rank order. Hits that share the best one's value stay hits of their own."""
+def fold(hits: DataFrame, key: list[str], project: str, rank: str = "rank") -> DataFrame:
+    """hits without the copies of other versions, with also_in: the projects, in rank order, whose copies a hit stands for.
+
+    The first hit of a key leads; the first hit of each other project with that key is folded under it. Hits
+    of the leading project, further ones of a folded project, and hits without a project or a key stay.
+    """
+    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in (*key, project)))
     w = Window.partitionBy(*key).orderBy(rank)
-    h = hits.withColumn("lead", F.first(within).over(w)).withColumn("place", F.row_number().over(w))
-    heads = h.where((F.col("place") == 1) | (F.col(within) == F.col("lead"))).drop("lead")
-    rest = h.where((F.col("place") > 1) & (F.col(within) != F.col("lead"))).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(rank, within))).alias("r"))
-    rest = rest.select(*key, F.array_distinct(F.transform("r", lambda x: x[within])).alias("also"))
-    return heads.join(rest, key, "left").withColumn("also_in", F.when(F.col("place") == 1, F.array_join("also", ",")).otherwise(None)).drop("also", "place")
+    own = Window.partitionBy(*key, project).orderBy(rank)
+    h = hits.where(known).withColumns({"lead": F.first(project).over(w), "place": F.row_number().over(w), "nth": F.row_number().over(own)})
+    folded = (F.col(project) != F.col("lead")) & (F.col("nth") == 1)
+    rest = h.where(folded).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(rank, project))).alias("r"))  # a row for each project of a key
+    also = rest.select(*key, F.array_join(F.transform("r", lambda x: x[project].cast("string")), ",").alias("also"))
+    heads = h.where(~folded).join(also, key, "left").withColumn("also_in", F.when(F.col("place") == 1, F.col("also")))
+    return heads.select(*hits.columns, "also_in").unionByName(hits.where(~known).withColumn("also_in", F.lit(None).cast("string")))
+
+
+def semantic_search(
+    legs: dict[str, DataFrame], rows: DataFrame, related_to: DataFrame | None = None, weights: dict[str, float] | None = None, limit: int = 30, location: tuple[str, ...] = ("file", "line"), key: tuple[str, ...] = ("name",), project: str = "project", k_related: int = 3
+) -> DataFrame:
+    """key, score, normalised, best_rank, also_in, related and the columns of rows, for the limit best.
+
+    legs: name -> (key, rank), each of a few dozen rows, fused by weighted reciprocal ranks. The hits get
+    their rows (key and more), the best of each location stays, copies in other projects are folded, and the
+    first limit get the first k_related ids that related_to (key, other, rank) has for them.
+    """
+    fused = rrf(legs, weights or WEIGHTS)
+    hits = fused.withColumns({"score": F.round("score", 9), "normalised": F.round("normalised", 6)}).drop("first_list").join(rows, "key")
+    order = F.struct(-F.col("score"), F.col("best_rank"), F.col("key"))
+    placed = hits.groupBy(*location).agg(F.min_by(F.struct(*(c for c in hits.columns if c not in location)), order).alias("b")).select(*location, "b.*")
+    ranked = placed.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "best_rank", "key")))  # at most the legs' rows
+    best = fold(ranked, list(key), project).orderBy("rank").limit(limit).drop("rank")
+    if related_to is None:
+        return best
+    near = related_to.join(F.broadcast(best.select("key")), "key", "left_semi").where(F.col("rank") <= k_related)  # limit rows
+    lists = near.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "other"))).alias("r")).select("key", F.array_join(F.transform("r", lambda x: x["other"].cast("string")), ",").alias("related"))
+    return best.join(lists, "key", "left")
 
 
 def keyword_score(name: Column, qualified: Column, description: Column, query: str) -> Column:
@@ -152,8 +237,13 @@ def field_scores(symbols: DataFrame, query: str, fields: dict[str, float]) -> Da
         return F.exists("ts", lambda t: t.startswith(word))
 
     hits = long.select("id", "field", "weight", F.explode(F.filter(F.array(*(F.when(met(w), F.lit(w)) for w in words)), lambda x: x.isNotNull())).alias("word"))
-    w = Window.partitionBy("word", "field")
-    ranked = hits.withColumn("i", F.row_number().over(w.orderBy("id")) - 1).withColumn("n", F.count("*").over(w))
+    # places by id: each range of ids is counted, and a row's place is the ranges before plus its place in its own
+    hits = settle(hits.repartitionByRange(F.col("id")).withColumn("part", F.spark_partition_id()))
+    per = hits.groupBy("word", "field", "part").agg(F.count("*").alias("c"))
+    by = Window.partitionBy("word", "field")
+    start = per.withColumns({"before": F.sum("c").over(by.orderBy("part")) - F.col("c"), "n": F.sum("c").over(by)}).drop("c")
+    within = Window.partitionBy("word", "field", "part").orderBy("id")
+    ranked = hits.withColumn("j", F.row_number().over(within) - 1).join(start, ["word", "field", "part"]).withColumn("i", F.col("before") + F.col("j"))
     return ranked.groupBy("id").agg(F.sum(F.col("weight") * (1 - F.col("i") / F.col("n"))).alias("score"), F.countDistinct("field").alias("fields"))
 
 
@@ -176,6 +266,11 @@ def callable_importance(callers: Column) -> Column:
     return F.when(callers <= 0, 0.1).otherwise(F.least(F.lit(1.0), 0.3 + 0.3 * F.log10(callers + 1)))
 
 
+def combined_score(similarity: Column, importance: Column) -> Column:
+    """What a hit of the vector leg is ranked by."""
+    return F.round(0.7 * similarity + 0.3 * importance, 6)
+
+
 def type_importance(used_by: Column, contains: Column, extends: Column, implements: Column) -> Column:
     weight = 2 * used_by + contains + 3 * extends + 3 * implements
     return F.when(weight <= 0, 0.1).otherwise(F.least(F.lit(1.0), 0.2 + 0.3 * F.log10(weight + 1)))

@@ -9,6 +9,7 @@ from lodegraph.functions import text as T
 from lodegraph.operators import incremental, retrieval
 from lodegraph.operators.retrieval import cosine, rrf, tokens, top_k
 from lodegraph.registry import query
+from lodegraph.session import settle
 from lodegraph.sources.tables import SYMBOLS_SQL, load, symbols
 
 QUERY, WORDS = "the erst license", ("the", "erst", "license")
@@ -44,6 +45,18 @@ def postings_stats(spark, sf):
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf")).where("df >= 20")
 
 
+@query("r5_index_search", f"WITH {_BM25}, b AS (SELECT id, round(score, 6) AS score, round(score / max(score) OVER (), 6) AS normalised FROM sc) SELECT * FROM b")
+def index_search(spark, sf):
+    """The same scores from an inverted index: the texts are read when it is built, and not again."""
+    s = retrieval.search_index(retrieval.build_index(docs(spark, sf), "doc_id", "text"), QUERY)
+    return s.select("id", F.round("score", 6).alias("score"), F.round("normalised", 6).alias("normalised"))
+
+
+@query("r2_index_prefixes", "WITH d AS (SELECT doc_id AS id, " + TOKENS_SQL.format(c="coalesce(text, '')") + " AS ts FROM documents), h AS (SELECT id, len(list_filter(ts, lambda x: starts_with(x, 'licen'))) AS a, len(list_filter(ts, lambda x: starts_with(x, 'gen'))) AS b FROM d) SELECT id, (a + b)::BIGINT AS hits FROM h WHERE a > 0 AND b > 0")
+def index_prefixes(spark, sf):
+    return retrieval.search_prefixes(retrieval.build_index(docs(spark, sf), "doc_id", "text"), ["licen", "gen"])
+
+
 @query("r7_snippets", f"WITH {_BM25}, k AS (SELECT id FROM sc ORDER BY round(score, 6) DESC, id LIMIT 20) SELECT id, regexp_replace(substr(text, greatest(instr(lower(text), 'license') - 30, 1), 60), '(license)', '<mark>\\1</mark>', 'gi') AS snippet FROM k JOIN documents ON doc_id = id WHERE instr(lower(text), 'license') > 0")
 def snippets(spark, sf):
     k = top_k(retrieval.bm25(docs(spark, sf), QUERY, "doc_id", "text").withColumn("score", F.round("score", 6)), 20, F.desc("score"), F.col("id"))
@@ -114,45 +127,74 @@ def docs_by_type(spark, sf):
     return symbols(spark, sf).groupingSets([[F.col("node_type")], [F.col("project")], []], "node_type", "project").agg(F.count("*").alias("n"))
 
 
-def _legs_sql() -> str:
-    return f"WITH {_BM25}, b AS (SELECT id AS key, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank FROM sc ORDER BY rank LIMIT 50), kw AS (SELECT id, len(list_filter(ts, lambda x: starts_with(x, 'licens'))) AS hits FROM d), k AS (SELECT id AS key, row_number() OVER (ORDER BY hits DESC, id) AS rank FROM kw WHERE hits > 0 ORDER BY rank LIMIT 50), f AS (SELECT key, sum(w / (60 + rank)) AS score, min(rank) AS best_rank FROM (SELECT key, rank, 0.8 AS w FROM b UNION ALL SELECT key, rank, 0.7 FROM k) GROUP BY 1), most AS (SELECT sum(w / 61) AS most FROM (SELECT 0.8 AS w WHERE EXISTS (SELECT 1 FROM b) UNION ALL SELECT 0.7 WHERE EXISTS (SELECT 1 FROM k)))"
+#: The row whose vector stands for the query's.
+ASKED = 0
+_LEGS_SQL = (
+    f"WITH {_BM25}, b AS (SELECT id AS key, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank FROM sc ORDER BY rank LIMIT 50), kw AS (SELECT id, len(list_filter(ts, lambda x: starts_with(x, 'licens'))) AS hits FROM d), k AS (SELECT id AS key, row_number() OVER (ORDER BY hits DESC, id) AS rank FROM kw WHERE hits > 0 ORDER BY rank LIMIT 50), "
+    f"g AS (SELECT user_id AS id, count(*) AS c FROM events GROUP BY 1), near AS (SELECT e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS sim FROM embeddings q, embeddings e WHERE q.vec_id = {ASKED} AND e.vec_id <> {ASKED} ORDER BY 2 DESC, 1 LIMIT 50), "
+    "vs AS (SELECT id, round(0.7 * round(sim, 6) + 0.3 * CASE WHEN coalesce(c, 0) <= 0 THEN 0.1 ELSE least(1.0, 0.3 + 0.3 * log10(c + 1)) END, 6) AS score FROM near LEFT JOIN g USING (id)), v AS (SELECT id AS key, row_number() OVER (ORDER BY score DESC, id) AS rank FROM vs), "
+    "every AS (SELECT key, rank, 1.0 AS w FROM v UNION ALL SELECT key, rank, 0.8 FROM b UNION ALL SELECT key, rank, 0.7 FROM k), f AS (SELECT key, sum(w / (60 + rank)) AS score, min(rank) AS best_rank FROM every GROUP BY 1), most AS (SELECT sum(w / 61) AS most FROM (SELECT DISTINCT w FROM every))"
+)
+
+
+def _ranked(df, *order):
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select(F.col("id").alias("key"), "rank")  # fifty rows
 
 
 def _legs(spark, sf):
-    d = docs(spark, sf)
-    b = top_k(retrieval.bm25(d, QUERY, "doc_id", "text").withColumn("score", F.round("score", 6)), 50, F.desc("score"), F.col("id"))
-    hits = d.select(F.col("doc_id").alias("id"), F.size(F.filter(tokens(F.coalesce("text", F.lit(""))), lambda x: x.startswith("licens"))).alias("hits")).where("hits > 0")
-    k = top_k(hits, 50, F.desc("hits"), F.col("id"))
-    ranked = lambda df, o: df.withColumn("rank", F.row_number().over(Window.orderBy(*o))).select(F.col("id").alias("key"), "rank")  # noqa: E731  fifty rows
-    return {"bm25": ranked(b, (F.desc("score"), "id")), "keyword": ranked(k, (F.desc("hits"), "id"))}
+    """Vector, BM25 and keyword legs of fifty rows each. The texts are read once for both of theirs; the vector leg goes by similarity and importance together."""
+    terms = retrieval.query_terms(QUERY)
+    t = settle(retrieval.text_counts(docs(spark, sf), "doc_id", "text", terms, ("licens",)))
+    b = top_k(retrieval.bm25_scores(t, len(terms)).withColumn("score", F.round("score", 6)), 50, F.desc("score"), F.col("id"))
+    k = top_k(t.where("hits > 0").select("id", "hits"), 50, F.desc("hits"), F.col("id"))
+    v = vectors(spark, sf)
+    near = retrieval.exact_nearest(v, v.where(F.col("id") == ASKED), 50).select("id", F.round("score", 6).alias("sim"))
+    calls = load(spark, sf, "events").select(F.col("user_id").alias("id")).join(F.broadcast(near.select("id")), "id", "left_semi").groupBy("id").agg(F.count("*").alias("c"))  # fifty ids
+    combined = near.join(calls, "id", "left").select("id", retrieval.combined_score(F.col("sim"), retrieval.callable_importance(F.coalesce("c", F.lit(0)))).alias("score"))
+    return {"vector": settle(_ranked(combined, F.desc("score"), "id")), "bm25": settle(_ranked(b, F.desc("score"), "id")), "keyword": settle(_ranked(k, F.desc("hits"), "id"))}
+
 
+_SEARCH_SQL = _LEGS_SQL + """, h AS (SELECT key, round(score, 9) AS score, round(score / (SELECT most FROM most), 6) AS normalised, best_rank, source AS project, lang, md5(text) AS name, n_chars AS line FROM f JOIN documents ON doc_id = key),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project, line ORDER BY score DESC, best_rank, key) AS r FROM h) WHERE r = 1), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, best_rank, key) AS rank FROM l),
+x AS (SELECT *, first_value(project) OVER (PARTITION BY name ORDER BY rank) AS lead, row_number() OVER (PARTITION BY name ORDER BY rank) AS place, row_number() OVER (PARTITION BY name, project ORDER BY rank) AS nth FROM r),
+o AS (SELECT name, string_agg(project, ',' ORDER BY rank) AS also FROM x WHERE project <> lead AND nth = 1 GROUP BY 1),
+best AS (SELECT key, score, normalised, best_rank, project, lang, CASE WHEN place = 1 THEN also END AS also_in FROM x LEFT JOIN o USING (name) WHERE NOT (project <> lead AND nth = 1) ORDER BY rank LIMIT 30),
+e AS (SELECT DISTINCT o_custkey AS key, l_partkey AS other FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT key FROM best)), er AS (SELECT key, other, row_number() OVER (PARTITION BY key ORDER BY other) AS rank FROM e), rel AS (SELECT key, string_agg(other::VARCHAR, ',' ORDER BY rank) AS related FROM er WHERE rank <= 3 GROUP BY 1)
+SELECT key AS doc_id, lang, project, score, normalised, best_rank::INTEGER AS best_rank, also_in, related FROM best LEFT JOIN rel USING (key)"""
 
-@query("hybrid_search_rrf", _legs_sql() + " SELECT key AS doc_id, lang, source, round(score, 9) AS score, round(score / most, 6) AS normalised, best_rank::INTEGER AS best_rank FROM f JOIN documents ON doc_id = key, most ORDER BY score DESC, best_rank, doc_id LIMIT 30")
+
+@query("hybrid_search_rrf", _SEARCH_SQL)
 def hybrid(spark, sf):
-    """BM25 and keyword legs, fused by reciprocal ranks, with the documents' metadata joined to the few that remain."""
-    f = rrf(_legs(spark, sf), retrieval.WEIGHTS).select(F.col("key").alias("doc_id"), F.round("score", 9).alias("score"), F.round("normalised", 6).alias("normalised"), "best_rank")
-    top = f.join(docs(spark, sf).select("doc_id", "lang", "source"), "doc_id")
-    return top.orderBy(F.desc("score"), "best_rank", "doc_id").limit(30).select("doc_id", "lang", "source", "score", "normalised", "best_rank")
+    """Vector, BM25 and keyword legs fused by reciprocal ranks; one hit of a place (source and length), copies of a text in other sources folded, the first thirty with their related ids."""
+    rows = docs(spark, sf).select(F.col("doc_id").alias("key"), "lang", F.col("source").alias("project"), F.md5("text").alias("name"), F.col("n_chars").alias("line"))
+    legs = _legs(spark, sf)
+    keys = F.broadcast(legs["vector"].union(legs["bm25"]).union(legs["keyword"]).select("key").distinct())  # 150 rows at most
+    rows = settle(rows.join(keys, "key", "left_semi"))
+    orders = load(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("l_orderkey")).join(keys, "key", "left_semi")
+    other = orders.join(load(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("other")), "l_orderkey").select("key", "other").distinct()
+    related = other.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("other")))
+    found = retrieval.semantic_search(legs, rows, related, location=("project", "line"))
+    return found.select(F.col("key").alias("doc_id"), "lang", "project", "score", "normalised", "best_rank", "also_in", "related")
 
 
-@query("r30_weighted_rrf", _legs_sql() + " SELECT key, round(score, 9) AS score, best_rank::INTEGER AS best_rank FROM f")
+@query("r30_weighted_rrf", _LEGS_SQL + " SELECT key, round(score, 9) AS score, best_rank::INTEGER AS best_rank FROM f")
 def weighted_rrf(spark, sf):
     return rrf(_legs(spark, sf), retrieval.WEIGHTS).select("key", F.round("score", 9).alias("score"), "best_rank")
 
 
-@query("r20_unweighted_rrf", _legs_sql() + ", g AS (SELECT key, sum(1 / (60 + rank)) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM k) GROUP BY 1) SELECT key, round(score, 9) AS score FROM g")
+@query("r20_unweighted_rrf", _LEGS_SQL + ", z AS (SELECT key, sum(1 / (60 + rank)) AS score FROM every GROUP BY 1) SELECT key, round(score, 9) AS score FROM z")
 def unweighted_rrf(spark, sf):
     return rrf(_legs(spark, sf)).select("key", F.round("score", 9).alias("score"))
 
 
-@query("r34_changed_positions", _legs_sql() + " SELECT count(*) FILTER (x.key IS DISTINCT FROM y.key) AS changed FROM (SELECT * FROM b WHERE rank <= 20) x FULL JOIN (SELECT * FROM k WHERE rank <= 20) y USING (rank)")
+@query("r34_changed_positions", _LEGS_SQL + " SELECT count(*) FILTER (x.key IS DISTINCT FROM y.key) AS changed FROM (SELECT * FROM b WHERE rank <= 20) x FULL JOIN (SELECT * FROM k WHERE rank <= 20) y USING (rank)")
 def changed_positions(spark, sf):
     legs = _legs(spark, sf)
     a, b = (legs[n].where("rank <= 20").select("rank", F.col("key").alias(n)) for n in ("bm25", "keyword"))
     return a.join(b, "rank", "full_outer").agg(F.count_if(~F.col("bm25").eqNullSafe(F.col("keyword"))).alias("changed"))
 
 
-@query("r40_hybrid_merge", _legs_sql() + " SELECT coalesce(b.key, k.key) AS key, round(greatest(0.6 / coalesce(b.rank, 1000), 0.4 / coalesce(k.rank, 1000)), 9) AS score, CASE WHEN b.key IS NOT NULL AND k.key IS NOT NULL THEN 'both' WHEN b.key IS NOT NULL THEN 'fts' ELSE 'memory' END AS source FROM b FULL JOIN k USING (key)")
+@query("r40_hybrid_merge", _LEGS_SQL + " SELECT coalesce(b.key, k.key) AS key, round(greatest(0.6 / coalesce(b.rank, 1000), 0.4 / coalesce(k.rank, 1000)), 9) AS score, CASE WHEN b.key IS NOT NULL AND k.key IS NOT NULL THEN 'both' WHEN b.key IS NOT NULL THEN 'fts' ELSE 'memory' END AS source FROM b FULL JOIN k USING (key)")
 def hybrid_merge(spark, sf):
     legs = _legs(spark, sf)
     b, k = legs["bm25"].withColumnRenamed("rank", "br"), legs["keyword"].withColumnRenamed("rank", "kr")
@@ -164,7 +206,7 @@ def hybrid_merge(spark, sf):
 # --- vectors ------------------------------------------------------------------------------------
 
 _COS = "round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6)"
-_NEAR = f"n AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 25 = 0 AND e.vec_id <> q.vec_id)"
+_NEAR = f"n AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id)"
 
 
 def vectors(spark, sf):
@@ -174,14 +216,14 @@ def vectors(spark, sf):
 @query("r22_exact_nearest", f"WITH {_NEAR} SELECT query_id, id, score, rank::INTEGER AS rank FROM n WHERE rank <= 10")
 def exact_nearest(spark, sf):
     v = vectors(spark, sf)
-    return retrieval.exact_nearest(v, v.where("id % 25 = 0"), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.exact_nearest(v, v.where("id % 20 = 0"), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("r22_best_chunk_per_node", f"WITH {_NEAR}, c AS (SELECT query_id, id // 4 AS node, arg_max(id, (round(score, 6), -id)) AS chunk, max(score) AS score FROM n GROUP BY 1, 2) SELECT query_id, node, chunk, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS r FROM c) WHERE r <= 5")
 def best_chunk(spark, sf):
     """Vectors are chunks of nodes, four to a node; each node counts at its best chunk."""
     v = vectors(spark, sf)
-    q = v.where("id % 25 = 0")
+    q = v.where("id % 20 = 0")
     # 20 candidates hold the five best nodes, since no node has more than four chunks
     n = retrieval.exact_nearest(v, q, 20).withColumn("score", F.round("score", 6)).withColumn("node", F.floor(F.col("id") / 4))
     c = n.groupBy("query_id", "node").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("chunk"), F.max("score").alias("score"))
@@ -202,20 +244,19 @@ def point_get(spark, sf):
     return vectors(spark, sf).where("id = 42").select("id", F.size("v").alias("dims"), F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("first"))
 
 
-@query("r25_similar_items", f"WITH {_NEAR} SELECT n.id, score, label FROM n JOIN embeddings e ON e.vec_id = n.id WHERE query_id = 50 AND rank <= 10")
+@query("r25_similar_items", f"WITH {_NEAR} SELECT n.id, score, label FROM n JOIN embeddings e ON e.vec_id = n.id WHERE query_id = 40 AND rank <= 10")
 def similar_items(spark, sf):
     v = vectors(spark, sf)
-    near = retrieval.exact_nearest(v, v.where("id = 50"), 10)
+    near = retrieval.exact_nearest(v, v.where("id = 40"), 10)
     return near.join(v.select("id", "label"), "id").select("id", F.round("score", 6).alias("score"), "label")
 
 
 @query("r27_combined_score", f"WITH {_NEAR}, g AS (SELECT user_id AS id, count(*) AS c FROM events GROUP BY 1) SELECT query_id, n.id, round(0.7 * score + 0.3 * CASE WHEN coalesce(c, 0) <= 0 THEN 0.1 ELSE least(1.0, 0.3 + 0.3 * log10(c + 1)) END, 6) AS score FROM n LEFT JOIN g ON g.id = n.id WHERE rank <= 5")
 def combined_score(spark, sf):
     v = vectors(spark, sf)
-    n = retrieval.exact_nearest(v, v.where("id % 25 = 0"), 5)
+    n = retrieval.exact_nearest(v, v.where("id % 20 = 0"), 5)
     c = load(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("c"))
-    j = n.join(c, "id", "left")
-    return j.select("query_id", "id", F.round(0.7 * F.round("score", 6) + 0.3 * retrieval.callable_importance(F.coalesce("c", F.lit(0))), 6).alias("score"))
+    return n.join(c, "id", "left").select("query_id", "id", retrieval.combined_score(F.round("score", 6), retrieval.callable_importance(F.coalesce("c", F.lit(0)))).alias("score"))
 
 
 @query("r29_type_importance", "SELECT s_suppkey AS id, round(CASE WHEN w <= 0 THEN 0.1 ELSE least(1.0, 0.2 + 0.3 * log10(w + 1)) END, 6) AS importance FROM (SELECT s_suppkey, 2 * count(l_orderkey) + count(DISTINCT l_partkey) + 3 * count(*) FILTER (l_returnflag = 'R') + 3 * count(*) FILTER (l_linestatus = 'F') AS w FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1)")
@@ -231,11 +272,11 @@ def location_dedupe(spark, sf):
     return e.groupBy("file", "line").agg(F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), "id")).alias("b")).select("file", "line", "b.id", "b.score")
 
 
-@query("r33_version_fold", f"""WITH {SYMBOLS_SQL}, h AS (SELECT id, name, project, row_number() OVER (ORDER BY weight DESC, id) AS rank FROM symbols ORDER BY rank LIMIT 200), x AS (SELECT *, first_value(project) OVER (PARTITION BY name ORDER BY rank) AS lead, row_number() OVER (PARTITION BY name ORDER BY rank) AS place FROM h),
-o AS (SELECT name, string_agg(project, ',' ORDER BY rank) AS also FROM (SELECT name, project, min(rank) AS rank FROM x WHERE place > 1 AND project <> lead GROUP BY 1, 2) GROUP BY 1) SELECT x.id, x.name, x.project, rank::INTEGER AS rank, CASE WHEN place = 1 THEN also END AS also_in FROM x LEFT JOIN o USING (name) WHERE place = 1 OR project = lead""")
+@query("r33_version_fold", f"""WITH {SYMBOLS_SQL}, h AS (SELECT id, name, CASE WHEN id % 11 <> 0 THEN project END AS project, row_number() OVER (ORDER BY weight DESC, id) AS rank FROM symbols ORDER BY rank LIMIT 200), x AS (SELECT *, first_value(project) OVER (PARTITION BY name ORDER BY rank) AS lead, row_number() OVER (PARTITION BY name ORDER BY rank) AS place, row_number() OVER (PARTITION BY name, project ORDER BY rank) AS nth FROM h WHERE project IS NOT NULL),
+o AS (SELECT name, string_agg(project, ',' ORDER BY rank) AS also FROM x WHERE project <> lead AND nth = 1 GROUP BY 1) SELECT x.id, x.name, x.project, rank::INTEGER AS rank, CASE WHEN place = 1 THEN also END AS also_in FROM x LEFT JOIN o USING (name) WHERE NOT (project <> lead AND nth = 1) UNION ALL SELECT id, name, project, rank::INTEGER, NULL FROM h WHERE project IS NULL""")
 def version_fold(spark, sf):
     top = symbols(spark, sf).orderBy(F.desc("weight"), "id").limit(200)
-    hits = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("weight"), "id"))).select("id", "name", "project", "rank")  # two hundred rows
+    hits = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("weight"), "id"))).select("id", "name", F.when(F.col("id") % 11 != 0, F.col("project")).alias("project"), "rank")  # two hundred rows
     return retrieval.fold(hits, ["name"], "project").select("id", "name", "project", "rank", "also_in")
 
 
@@ -255,9 +296,9 @@ def rerank_text(spark, sf):
     return symbols(spark, sf).select("id", F.concat_ws("\n", "qualified_name", "node_type", F.substring("name", 1, 5)).alias("text"))
 
 
-@query("r37_rerank_replies", "SELECT event_id AS id, (json_extract_string(props, '$.k')::BIGINT / 100)::DOUBLE AS score FROM events WHERE event_id < 500")
+@query("r37_rerank_replies", "SELECT event_id AS id, (json_extract_string(props, '$.k')::BIGINT / 100)::DOUBLE AS score FROM events")
 def rerank_replies(spark, sf):
-    e = load(spark, sf, "events").where("event_id < 500")
+    e = load(spark, sf, "events")
     return e.select(F.col("event_id").alias("id"), (F.from_json("props", "k bigint")["k"] / 100).alias("score"))
 
 
@@ -352,20 +393,20 @@ def evidence_budget(spark, sf):
     return incremental.within_budget(c, ["conv_id"], [F.col("turn")], "size", 2000).select("conv_id", "turn", "running")
 
 
-@query("r57_identifier_gates", "WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 12)) AS want FROM benchmark), h AS (SELECT list_distinct(flatten(list(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 12)))) AS have FROM conversations WHERE conv_id < 50) SELECT item_id, len(want)::BIGINT AS wanted, len(list_intersect(want, have))::BIGINT AS found FROM q, h")
+@query("r57_identifier_gates", "WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 12)) AS want FROM benchmark), h AS (SELECT list_distinct(flatten(list(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 12)))) AS have FROM conversations) SELECT item_id, len(want)::BIGINT AS wanted, len(list_intersect(want, have))::BIGINT AS found FROM q, h")
 def identifier_gates(spark, sf):
     """Long words of each question, and how many of them the evidence has."""
     words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.filter(tokens(F.col("text")), lambda x: F.length(x) >= 12))).alias("w"))
     b = load(spark, sf, "benchmark")
-    have = words(load(spark, sf, "conversations").where("conv_id < 50"), "conv_id").select("w").distinct().withColumn("hit", F.lit(1))
+    have = words(load(spark, sf, "conversations"), "conv_id").select("w").distinct().withColumn("hit", F.lit(1))
     per = words(b, "item_id").join(have, "w", "left").groupBy("item_id").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"))
     return b.select("item_id").join(per, "item_id", "left").na.fill(0, ["wanted", "found"])
 
 
-@query("r58_coverage", f"WITH {_NEAR} SELECT query_id, id, round(CASE WHEN rank <= 1 THEN 1.0 ELSE 1 - least(greatest((1 - score) / (10 - 1), 0), 1) END, 6)::DOUBLE AS coverage FROM n WHERE rank <= 10 AND query_id < 100")
+@query("r58_coverage", f"WITH {_NEAR} SELECT query_id, id, round(CASE WHEN rank <= 1 THEN 1.0 ELSE 1 - least(greatest((1 - score) / (10 - 1), 0), 1) END, 6)::DOUBLE AS coverage FROM n WHERE rank <= 10")
 def coverage(spark, sf):
     v = vectors(spark, sf)
-    n = retrieval.exact_nearest(v, v.where("id % 25 = 0 and id < 100"), 10).withColumn("score", F.round("score", 6))
+    n = retrieval.exact_nearest(v, v.where("id % 20 = 0"), 10).withColumn("score", F.round("score", 6))
     c = F.when(F.col("rank") <= 1, 1.0).otherwise(1 - F.least(F.greatest((1 - F.col("score")) / 9, F.lit(0.0)), F.lit(1.0)))
     return n.select("query_id", "id", F.round(c, 6).alias("coverage"))
 
@@ -374,7 +415,7 @@ def coverage(spark, sf):
 def recall_metrics(spark, sf):
     """Recall of a degraded list against the exact ten, its mean, median and 95th percentile by nearest rank."""
     v = vectors(spark, sf)
-    n = retrieval.exact_nearest(v, v.where("id % 25 = 0"), 12)
+    n = retrieval.exact_nearest(v, v.where("id % 20 = 0"), 12)
     a, b = n.where("rank <= 10").select("query_id", "id"), n.where("rank <= 8 or rank = 12").select("query_id", "id", F.lit(1).alias("hit"))
     r = a.join(b, ["query_id", "id"], "left").groupBy("query_id").agg((F.count("hit") / 10.0).alias("recall"))
     return r.agg(F.round(F.avg("recall"), 6).alias("mean"), F.expr("percentile_disc(0.5) within group (order by recall)").alias("median"), F.expr("percentile_disc(0.95) within group (order by recall)").alias("p95"))
