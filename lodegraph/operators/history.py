@@ -117,12 +117,22 @@ def run_at(runs: DataFrame, at) -> DataFrame:
     return runs.where(F.col("run") <= F.lit(at)).agg(F.max_by(F.struct(*runs.columns), "run").alias("r")).select("r.*").where(F.col("run").isNotNull())
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, left_at: str, right_at: str, values: list[str]) -> DataFrame:
-    """left with values of the latest right row of the same key at or before left_at. One sort by (key, time) of the union; no row meets more than its own key's running state."""
-    marks = right.select(by, F.col(right_at).alias("__t"), F.lit(0).alias("__side"), F.struct(*values).alias("__v"), *(F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in (by,)))
-    rows = left.select(by, F.col(left_at).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(marks.schema["__v"].dataType).alias("__v"), *(c for c in left.columns if c != by))
-    w = Window.partitionBy(by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return marks.union(rows).withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("__side = 1").select(*left.columns, *(F.col("__v")[v].alias(v) for v in values))
+def as_of(left: DataFrame, right: DataFrame, by: str, left_at: str, right_at: str, values: list[str], bucket: str = "month") -> DataFrame:
+    """left with values of the latest right row of the same key at or before left_at.
+
+    Rows are sorted by time within a key's bucket only; what held when a bucket began comes from the last rows
+    of the key's earlier buckets, one each. So a key of any length is dealt to many tasks.
+    """
+    at = lambda c: F.date_trunc(bucket, F.col(c))
+    marks = right.where(F.col(right_at).isNotNull()).select(by, F.col(right_at).alias("__t"), at(right_at).alias("__b"), F.lit(0).alias("__side"), F.struct(*values).alias("__v"), *(F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c != by))
+    rows = left.select(by, F.col(left_at).alias("__t"), at(left_at).alias("__b"), F.lit(1).alias("__side"), F.lit(None).cast(marks.schema["__v"].dataType).alias("__v"), *(c for c in left.columns if c != by))
+    w = Window.partitionBy(by, "__b").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = marks.union(rows).withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
+    ends = marks.groupBy(by, "__b").agg(F.max_by("__v", "__t").alias("__v"))
+    buckets = ends.unionByName(rows.select(by, "__b").distinct().withColumn("__v", F.lit(None).cast(ends.schema["__v"].dataType))).groupBy(by, "__b").agg(F.max("__v").alias("__v"))
+    carried = buckets.withColumn("__c", F.last("__v", ignorenulls=True).over(Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).where("__c is not null").select(F.col(by).alias("__k"), F.col("__b").alias("__kb"), "__c")
+    joined = found.join(carried, (found[by] == carried["__k"]) & (found["__b"] == carried["__kb"]), "left").withColumn("__v", F.coalesce("__v", "__c"))
+    return joined.select(*left.columns, *(F.col("__v")[v].alias(v) for v in values))
 
 
 def neighbours(symbols: DataFrame, by: str, order: list[Column], k: int, is_centre: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodegraph.session import settle
+
 
 def change_gate(stored: DataFrame, scanned: DataFrame, index_version: int) -> DataFrame:
     """path, state (added, modified, removed, unchanged). stored: path, mtime, size, sha, version; scanned: path, mtime, size, sha.
@@ -127,12 +129,33 @@ def resolve(refs: DataFrame, symbols: DataFrame, ambiguous: bool = False) -> Dat
     """ref, id, tier. refs: ref, name; symbols: id, qualified_name, name. Whole qualified name, else a name's end, else a bare name; a tier counts if it finds one symbol (or, with ambiguous, at its least id)."""
     tail = F.element_at(F.split(F.col("name"), r"::|\."), -1)
     r = refs.withColumn("tail", tail)
-    exact = r.join(symbols.select("id", F.col("qualified_name").alias("name")), "name").select("ref", "id", F.lit(1).alias("tier"))
+    # each name is one row with its number of symbols and the least, so no reference meets every symbol of a popular name
+    counted = lambda keys: keys.groupBy("name").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id"))
     # every suffix after a separator is a key, so the ends meet in an equality join
     parts = F.split(F.col("qualified_name"), "::")
     ends = symbols.select("id", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "::"))).alias("name")).where("name <> ''")
-    suffix = r.join(ends, "name").select("ref", "id", F.lit(2).alias("tier"))
-    bare = r.join(symbols.select("id", F.col("name").alias("tail")), "tail").select("ref", "id", F.lit(3).alias("tier"))
-    tiers = exact.union(suffix).union(bare).groupBy("ref", "tier").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id"))
+    exact = r.join(counted(symbols.select("id", F.col("qualified_name").alias("name"))), "name").select("ref", F.lit(1).alias("tier"), "n", "id")
+    suffix = r.join(counted(ends), "name").select("ref", F.lit(2).alias("tier"), "n", "id")
+    bare = r.join(counted(symbols.select("id", "name")).withColumnRenamed("name", "tail"), "tail").select("ref", F.lit(3).alias("tier"), "n", "id")
+    tiers = exact.union(suffix).union(bare)
     good = tiers if ambiguous else tiers.where("n = 1")
     return good.groupBy("ref").agg(F.min(F.struct("tier", "id")).alias("t")).select("ref", F.col("t.id").alias("id"), F.col("t.tier").alias("tier"))
+
+
+def pending(refs: DataFrame, known: DataFrame) -> DataFrame:
+    """References (ref, tail) whose tail is no known symbol's; they wait for a later patch."""
+    return refs.join(known.select("tail").distinct(), "tail", "left_anti")
+
+
+def running_total(rows: DataFrame, order: str, value: str) -> DataFrame:
+    """rows with before: the sum of value over all rows of lesser order (a key). Each range of keys is summed, and a row adds the ranges before to what stands before it in its own."""
+    dealt = settle(rows.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id()))
+    per = dealt.groupBy("__part").agg(F.sum(value).alias("__s"))  # a row for each partition
+    start = per.withColumn("__before", F.sum("__s").over(Window.orderBy("__part")) - F.col("__s")).drop("__s")
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("__in", inside).join(F.broadcast(start), "__part").withColumn("before", F.col("__before") + F.col("__in")).drop("__part", "__before", "__in")
+
+
+def grouped_batches(keys: DataFrame, rows: int) -> DataFrame:
+    """key, n, batch: keys (with n rows each) in batches of about so many rows; a key is never split."""
+    return running_total(keys, "key", "n").select("key", "n", F.floor(F.col("before") / rows).alias("batch"))

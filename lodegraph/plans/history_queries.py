@@ -148,11 +148,11 @@ def run_delete_plan(spark, sf):
     return c.where(F.col("run") == day).select("symbol").distinct().join(later, "symbol", "left").select("symbol", F.coalesce("l", F.lit(False)).alias("changed_later"))
 
 
-@query("j14_as_of_run", f"{C}, r AS (SELECT DISTINCT run FROM changes WHERE day(run) % 3 = 0) SELECT c.id, (SELECT max(run) FROM r WHERE r.run <= c.occurred) AS run FROM changes c WHERE symbol < 20")
+@query("j14_as_of_run", f"{C}, r AS (SELECT DISTINCT run FROM changes WHERE day(run) % 3 = 0) SELECT c.id, (SELECT max(run) FROM r WHERE r.run <= c.occurred) AS run FROM changes c")
 def as_of_run(spark, sf):
     """Each change with the latest run that began before it."""
     c = changes(spark, sf)
-    left = c.where("symbol < 20").select("id", "at", F.to_date("at").alias("d"))
+    left = c.select("id", "at", F.to_date("at").alias("d"))
     r = c.where(F.day("run") % 3 == 0).select("run").distinct()
     # runs are few for a day; every run serves the days up to the next one, so days meet runs in an equality join
     nxt = F.lead("run").over(Window.partitionBy(F.trunc("run", "year")).orderBy("run"))
@@ -161,12 +161,12 @@ def as_of_run(spark, sf):
     return best.withColumn("run", F.col("run").cast("timestamp_ntz"))
 
 
-@query("j14_as_of_price", "SELECT e.event_id, e.user_id, o.o_orderkey FROM events e ASOF LEFT JOIN (SELECT o_custkey, o_orderkey, o_orderdate + INTERVAL 9000 DAY AS occurred FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1) o ON o.o_custkey = e.user_id AND o.occurred <= e.ts WHERE e.event_id < 5000")
+@query("j14_as_of_price", "SELECT e.event_id, e.user_id, o.o_orderkey FROM events e ASOF LEFT JOIN (SELECT o_custkey, o_orderkey, o_orderdate + INTERVAL 9000 DAY AS occurred FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1) o ON o.o_custkey = e.user_id AND o.occurred <= e.ts")
 def as_of_price(spark, sf):
     """Events as of the user's latest order (moved on to the events' time)."""
     o = load(spark, sf, "orders").groupBy("o_custkey", "o_orderdate").agg(F.min("o_orderkey").alias("o_orderkey"))
     o = o.select(F.col("o_custkey").alias("user_id"), (F.col("o_orderdate") + F.expr("interval 9000 days")).alias("at"), "o_orderkey")
-    e = load(spark, sf, "events").where("event_id < 5000").select("event_id", "user_id", "ts")
+    e = load(spark, sf, "events").select("event_id", "user_id", "ts")
     return history.as_of(e, o, "user_id", "ts", "at", ["o_orderkey"]).select("event_id", "user_id", "o_orderkey")
 
 
@@ -221,11 +221,11 @@ def project_calls(spark, sf):
     return g.where("calls >= 5").withColumn("confidence", F.least(F.lit(1.0), F.col("calls") / 20.0))
 
 
-@query("a13_dependency_badges", "WITH e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM customer, supplier WHERE c_custkey % 50 = s_suppkey % 50 AND c_custkey < 300) SELECT n_nationkey AS project, (SELECT count(*) FROM e WHERE src = n_nationkey) AS outgoing, (SELECT count(*) FROM e WHERE dst = n_nationkey) AS incoming FROM nation")
+@query("a13_dependency_badges", "WITH e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM customer, supplier WHERE c_custkey % 50 = s_suppkey % 50) SELECT n_nationkey AS project, (SELECT count(*) FROM e WHERE src = n_nationkey) AS outgoing, (SELECT count(*) FROM e WHERE dst = n_nationkey) AS incoming FROM nation")
 def badges(spark, sf):
     from lodegraph.operators.graph import degrees
 
-    c = load(spark, sf, "customer").where("c_custkey < 300").select(F.col("c_nationkey").alias("src"), (F.col("c_custkey") % 50).alias("k"))
+    c = load(spark, sf, "customer").select(F.col("c_nationkey").alias("src"), (F.col("c_custkey") % 50).alias("k"))
     e = c.join(load(spark, sf, "supplier").select(F.col("s_nationkey").alias("dst"), (F.col("s_suppkey") % 50).alias("k")), "k").select("src", "dst").distinct()
     d = degrees(e).select(F.col("id").alias("project"), F.col("out_degree").alias("outgoing"), F.col("in_degree").alias("incoming"))
     return load(spark, sf, "nation").select(F.col("n_nationkey").alias("project")).join(d, "project", "left").na.fill(0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions import code
 from lodegraph.functions import text as T
-from lodegraph.operators import catalog, retrieval
+from lodegraph.operators import catalog, incremental, retrieval
 from lodegraph.registry import query
 from lodegraph.sources.tables import SYMBOLS_SQL, load, symbols
 
@@ -98,12 +98,16 @@ def evidence_headers(spark, sf):
     return h.select("id", F.regexp_extract("h", r"^### (.*?) \(", 1).alias("symbol"), F.regexp_extract("h", r"\(([^)]*)\)", 1).alias("kind"))
 
 
-@query("t2_without_license", "SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 3 = 1 THEN '/* plain note */' || chr(10) || text ELSE text END) AS digest FROM documents WHERE NOT regexp_matches(text, '^\\s') AND NOT regexp_matches(text, '^(//|\\*\\*|#|/\\*)')")
+#: Five ways that a file can begin.
+_HEADS = ("", "/* plain note */\n", "/* Copyright me\n * all rights reserved */\n", "// Licensed under X\n// by me\n", "# SPDX-License-Identifier: EPL-2.0\n")
+_HEADED_SQL = "(CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN {' || chr(10) || '.join(repr(x) for x in h.split(chr(10)))}" for i, h in enumerate(_HEADS)) + " END || text)"
+
+
+@query("t2_without_license", f"WITH s AS (SELECT doc_id, {_HEADED_SQL} AS t FROM documents), h AS (SELECT *, regexp_extract(t, '{code.LEADING_COMMENT}', 0) AS head FROM s), p AS (SELECT *, regexp_replace(lower(head), '\\s+', ' ', 'g') AS plain FROM h) SELECT doc_id, md5(CASE WHEN head <> '' AND (regexp_matches(plain, '\\(c\\) ?[0-9]{{4}}') OR " + " OR ".join(f"contains(plain, '{x}')" for x in T.LICENSE_PHRASES) + ") THEN substr(t, length(head) + 1) ELSE t END) AS digest FROM p")
 def without_license(spark, sf):
-    d = load(spark, sf, "documents").where(~F.col("text").rlike(r"^\s") & ~F.col("text").rlike(r"^(//|\*\*|#|/\*)"))
-    k = F.col("doc_id") % 3
-    source = F.when(k == 0, F.concat(F.lit("/* Copyright me\n * all rights reserved */\n"), "text")).when(k == 1, F.concat(F.lit("/* plain note */\n"), "text")).otherwise(F.concat(F.lit("// Licensed under X\n// by me\n"), "text"))
-    return d.select("doc_id", F.md5(code.without_license(source)).alias("digest"))
+    """All documents under five heads, of which three speak of a license."""
+    head = F.element_at(F.array(*(F.lit(h) for h in _HEADS)), (F.col("doc_id") % 5 + 1).cast("int"))
+    return load(spark, sf, "documents").select("doc_id", F.md5(code.without_license(F.concat(head, "text"))).alias("digest"))
 
 
 @query("t3_clean_body", "SELECT p_partkey AS id, 'x = ' || p_size || chr(10) || chr(10) || 'y' AS body FROM part")
@@ -112,10 +116,18 @@ def clean_body(spark, sf):
     return load(spark, sf, "part").select(F.col("p_partkey").alias("id"), code.clean_body(raw).alias("body"))
 
 
-@query("t7_imports", "SELECT p_partkey AS id, 'lib' || p_size || ', types, os' AS imports FROM part")
+@query("t7_imports", "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'lib' || p_size || ', types, os' WHEN 1 THEN 'haystack, b, os, z' WHEN 2 THEN 'fs, style, brand' || p_size ELSE repeat('x', 100) END AS imports FROM part")
 def imports(spark, sf):
-    raw = F.concat(F.lit("import {a} from 'lib"), F.col("p_size").cast("string"), F.lit("'\nimport b from './x/types.ts'\nfrom os.path import join\nimport os\n"))
-    return load(spark, sf, "part").select(F.col("p_partkey").alias("id"), code.imports(raw).alias("imports"))
+    """Four files: modules, another language with a common library among them, calls of require, and a list that is cut where it grows too long."""
+    size = F.col("p_size").cast("string")
+    long = "import '" + "x" * 100 + "'\nimport '" + "y" * 30 + "'\nimport 'z'\n"
+    raw = F.array(
+        F.concat(F.lit("import {a} from 'lib"), size, F.lit("'\nimport b from './x/types.ts'\nfrom os.path import join\nimport os\n")),
+        F.lit("using haystack::Foo\nusing sys\nimport c from './b'\nimport os.path\nfrom z import y\n"),
+        F.concat(F.lit("const f = require('fs')\nimport './style.css'\nexport { q } from \"brand"), size, F.lit("\"\nexport const n = 'none'\n")),
+        F.lit(long),
+    )
+    return load(spark, sf, "part").select(F.col("p_partkey").alias("id"), code.imports(F.element_at(raw, F.col("p_size") % 4 + 1)).alias("imports"))
 
 
 @query("t8_headers", "SELECT p_partkey AS id, 'src page loader | imports: lib' || p_size AS header FROM part")
@@ -148,11 +160,11 @@ def declarations(spark, sf):
     return code.declarations(f)
 
 
-@query("io28_usage_export", """SELECT '"' || event_id || '","' || event_type || '","' || replace(props, '"', '""') || '"' AS line FROM events WHERE event_id < 1000""")
+@query("io28_usage_export", """SELECT '"' || event_id || '","' || event_type || '","' || replace(props, '"', '""') || '"' AS line FROM events""")
 def usage_export(spark, sf):
     """Lines of CSV, quotes doubled."""
     quoted = lambda c: F.concat(F.lit('"'), F.replace(c.cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))
-    e = load(spark, sf, "events").where("event_id < 1000")
+    e = load(spark, sf, "events")
     return e.select(F.concat_ws(",", quoted(F.col("event_id")), quoted(F.col("event_type")), quoted(F.col("props"))).alias("line"))
 
 
@@ -183,10 +195,10 @@ def like(spark, sf):
     return symbols(spark, sf).select("id", predicate(("name", "like", "blue*")).alias("a"), predicate(("name", "like", "*ring")).alias("b"), predicate(("name", "like", "*d*")).alias("c"))
 
 
-@query("p11_projections", f"{S} SELECT id, name, project, CASE WHEN id % 2 = 0 THEN qualified_name END AS qualified_name FROM symbols WHERE id < 100")
+@query("p11_projections", f"{S} SELECT id, name, project, CASE WHEN id % 2 = 0 THEN qualified_name END AS qualified_name FROM symbols")
 def projections(spark, sf):
     """Compact rows lack what full rows have."""
-    return symbols(spark, sf).where("id < 100").select("id", "name", "project", F.when(F.col("id") % 2 == 0, F.col("qualified_name")).alias("qualified_name"))
+    return symbols(spark, sf).select("id", "name", "project", F.when(F.col("id") % 2 == 0, F.col("qualified_name")).alias("qualified_name"))
 
 
 @query("p14_types_by_project", f"{S} SELECT id, name FROM symbols WHERE project = 'Brand#9' AND node_type IN ('SMALL', 'LARGE', 'PROMO', 'ECONOMY') ORDER BY name, id")
@@ -198,7 +210,7 @@ def types_by_project(spark, sf):
 def symbol_lookup(spark, sf):
     """The first of three readings that finds something, and in how many projects: more than one is an error to the caller."""
     tier = F.when(F.col("qualified_name") == "Brand#2::red ring", 1).when(F.col("qualified_name").endswith("::red ring"), 2).when(F.col("name") == "red ring", 3)
-    x = symbols(spark, sf).select("project", tier.alias("tier")).where("tier is not null").groupBy("tier").agg(F.countDistinct("project").alias("n"), F.collect_set("project").alias("p"))
+    x = symbols(spark, sf).select("project", tier.alias("tier")).where("tier is not null").groupBy("tier").agg(F.countDistinct("project").alias("n"))
     best = x.agg(F.min(F.struct("tier", "n")).alias("b"))
     return best.select("b.tier", F.col("b.n").alias("projects"))
 
@@ -248,9 +260,9 @@ def manifest_edges(spark, sf):
     return symbols(spark, sf).select(F.col("project").alias("src"), F.explode(manifest(text)["depends"]).alias("dst")).distinct()
 
 
-@query("k5_match_symbol", f"{S}, x AS (SELECT c_custkey AS card, CASE WHEN c_custkey % 2 = 0 THEN 'RED RING' ELSE 'none' END AS asked FROM customer WHERE c_custkey < 50) SELECT card, (SELECT min(id) FROM symbols WHERE ends_with(lower(qualified_name), '::' || lower(asked))) AS id FROM x")
+@query("k5_match_symbol", f"{S}, x AS (SELECT c_custkey AS card, CASE WHEN c_custkey % 2 = 0 THEN 'RED RING' ELSE 'none' END AS asked FROM customer) SELECT card, (SELECT min(id) FROM symbols WHERE ends_with(lower(qualified_name), '::' || lower(asked))) AS id FROM x")
 def match_symbol(spark, sf):
-    x = load(spark, sf, "customer").where("c_custkey < 50").select(F.col("c_custkey").alias("card"), F.lower(F.when(F.col("c_custkey") % 2 == 0, "RED RING").otherwise("none")).alias("tail"))
+    x = load(spark, sf, "customer").select(F.col("c_custkey").alias("card"), F.lower(F.when(F.col("c_custkey") % 2 == 0, "RED RING").otherwise("none")).alias("tail"))
     s = symbols(spark, sf).groupBy(F.lower(F.split("qualified_name", "::")[1]).alias("tail")).agg(F.min("id").alias("id"))
     return x.join(s, "tail", "left").select("card", "id")
 
@@ -314,12 +326,13 @@ def function_plan(spark, sf):
     return a.join(b, "id", "full_outer").select("id", F.when(F.col("a").isNull(), "drop").when(F.col("b").isNull(), "encode").when(F.col("label") % 2 == 0, "keep").otherwise("encode").alias("action"))
 
 
-@query("i16_pending_refs", "WITH refs AS (SELECT p_partkey AS ref, p_name AS tail FROM part WHERE p_partkey % 5 = 0), known AS (SELECT DISTINCT p_name AS tail FROM part WHERE p_partkey < 10), later AS (SELECT p_name AS tail, min(p_partkey) AS id FROM part WHERE p_partkey BETWEEN 10 AND 40 GROUP BY 1) SELECT ref, id FROM refs LEFT JOIN later USING (tail) WHERE tail NOT IN (SELECT tail FROM known)")
+@query("i16_pending_refs", "WITH refs AS (SELECT p_partkey AS ref, p_name AS tail FROM part), known AS (SELECT DISTINCT p_name AS tail FROM part WHERE p_brand = 'Brand#1'), later AS (SELECT p_name AS tail, min(p_partkey) AS id FROM part WHERE p_brand = 'Brand#2' GROUP BY 1) SELECT ref, id FROM refs LEFT JOIN later USING (tail) WHERE tail NOT IN (SELECT tail FROM known)")
 def pending_refs(spark, sf):
     """References that resolved to nothing wait, and meet the symbols of a later patch by their tail."""
-    p = load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("tail"))
-    waiting = p.where("id % 5 = 0").select(F.col("id").alias("ref"), "tail").join(p.where("id < 10").select("tail").distinct(), "tail", "left_anti")
-    later = p.where("id between 10 and 40").groupBy("tail").agg(F.min("id").alias("id"))
+    p = load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("tail"), F.col("p_brand").alias("brand"))
+    refs, known = p.select(F.col("id").alias("ref"), "tail"), p.where("brand = 'Brand#1'").select("tail").distinct()
+    waiting = incremental.pending(refs, known)
+    later = p.where("brand = 'Brand#2'").groupBy("tail").agg(F.min("id").alias("id"))
     return waiting.join(later, "tail", "left").select("ref", "id")
 
 
@@ -327,13 +340,12 @@ def pending_refs(spark, sf):
 def grouped_batches(spark, sf):
     """Keys in batches of about 120 rows; a key is never split. The running sum is over keys, not rows."""
     g = load(spark, sf, "embeddings").groupBy(F.col("label").alias("key")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
-    return g.withColumn("batch", F.floor(F.coalesce(before, F.lit(0)) / 120))
+    return incremental.grouped_batches(g, 120)
 
 
-@query("x7_focus_related", "SELECT src, other, kind FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY kind, other) AS r FROM (SELECT DISTINCT l_partkey AS src, l_suppkey AS other, CASE WHEN l_returnflag = 'R' THEN 'caller' ELSE 'callee' END AS kind FROM lineitem WHERE l_partkey < 50)) WHERE r <= 5")
+@query("x7_focus_related", "SELECT src, other, kind FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY kind, other) AS r FROM (SELECT DISTINCT l_partkey AS src, l_suppkey AS other, CASE WHEN l_returnflag = 'R' THEN 'caller' ELSE 'callee' END AS kind FROM lineitem)) WHERE r <= 5")
 def focus_related(spark, sf):
-    li = load(spark, sf, "lineitem").where("l_partkey < 50")
+    li = load(spark, sf, "lineitem")
     e = li.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("other"), F.when(F.col("l_returnflag") == "R", "caller").otherwise("callee").alias("kind")).distinct()
     return retrieval.top_k(e, 5, F.col("kind"), F.col("other"), by=("src",)).select("src", "other", "kind")
 

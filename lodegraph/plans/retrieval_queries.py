@@ -439,10 +439,18 @@ def chunk_windows(spark, sf):
     return d.select("doc_id", "chunk", "first_line", "last_line", F.md5(F.replace("text", F.lit("\u0001"), F.lit("\n"))).alias("digest"))
 
 
-@query("t4_clean_text", "SELECT doc_id, md5(substr(regexp_replace(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), 1, 800)) AS digest FROM documents WHERE NOT regexp_matches(text, '[/#*]|[ \\t]\\n')")
+def _clean_sql(t: str) -> str:
+    for pattern in T.COMMENT_MARKS:
+        t = f"regexp_replace({t}, '{pattern}', '', 'g')"
+    return f"substr(regexp_replace(regexp_replace({t}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), 1, 800)"
+
+
+@query("t4_clean_text", "SELECT doc_id, md5(" + _clean_sql("(CASE doc_id % 3 WHEN 0 THEN '/** ' || text || chr(10) || ' */' WHEN 1 THEN '// ' || replace(text, chr(10), chr(10) || '// ') ELSE text END)") + ") AS digest FROM documents")
 def clean_text(spark, sf):
-    d = docs(spark, sf).where(~F.col("text").rlike(r"[/#*]|[ \t]\n"))
-    return d.select("doc_id", F.md5(T.clean_documentation(F.col("text"))).alias("digest"))
+    """All documents: as block comments, as line comments, and as they are."""
+    k = F.col("doc_id") % 3
+    source = F.when(k == 0, F.concat(F.lit("/** "), "text", F.lit("\n */"))).when(k == 1, F.concat(F.lit("// "), F.replace("text", F.lit("\n"), F.lit("\n// ")))).otherwise(F.col("text"))
+    return docs(spark, sf).select("doc_id", F.md5(T.clean_documentation(source)).alias("digest"))
 
 
 @query("t5_kind_labels", "SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'method' WHEN 1 THEN 'field' WHEN 2 THEN 'type' WHEN 3 THEN 'mixin' ELSE 'symbol' END AS label FROM part")
