@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodegraph.operators import history, incremental
+from lodegraph.operators import history, incremental, services
 from lodegraph.registry import query
 from lodegraph.sources.tables import CHANGES_SQL, SYMBOLS_SQL, changes, load, symbols
 
@@ -209,9 +209,7 @@ def index_stats(spark, sf):
 @query("a11_index_health", "SELECT source, count(*) AS documents, count(l.doc_id) AS labelled, round(100.0 * count(l.doc_id) / count(*), 2)::DOUBLE AS coverage, CASE WHEN count(l.doc_id) = 0 THEN 'empty' WHEN count(l.doc_id) * 100 < 35 * count(*) THEN 'thin' ELSE 'healthy' END AS state FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
 def index_health(spark, sf):
     d = load(spark, sf, "documents").select("doc_id", "source").join(load(spark, sf, "labels").select("doc_id", F.lit(1).alias("l")), "doc_id", "left")
-    g = d.groupBy("source").agg(F.count("*").alias("documents"), F.count("l").alias("labelled"))
-    state = F.when(F.col("labelled") == 0, "empty").when(F.col("labelled") * 100 < 35 * F.col("documents"), "thin").otherwise("healthy")
-    return g.select("source", "documents", "labelled", F.round(100.0 * F.col("labelled") / F.col("documents"), 2).alias("coverage"), state.alias("state"))
+    return services.health(d, "source", F.col("l"))
 
 
 @query("a12_project_calls", "SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS calls, least(1.0, count(*) / 20.0)::DOUBLE AS confidence FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2 HAVING count(*) >= 5")
@@ -223,12 +221,9 @@ def project_calls(spark, sf):
 
 @query("a13_dependency_badges", "WITH e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM customer, supplier WHERE c_custkey % 50 = s_suppkey % 50) SELECT n_nationkey AS project, (SELECT count(*) FROM e WHERE src = n_nationkey) AS outgoing, (SELECT count(*) FROM e WHERE dst = n_nationkey) AS incoming FROM nation")
 def badges(spark, sf):
-    from lodegraph.operators.graph import degrees
-
-    c = load(spark, sf, "customer").select(F.col("c_nationkey").alias("src"), (F.col("c_custkey") % 50).alias("k"))
-    e = c.join(load(spark, sf, "supplier").select(F.col("s_nationkey").alias("dst"), (F.col("s_suppkey") % 50).alias("k")), "k").select("src", "dst").distinct()
-    d = degrees(e).select(F.col("id").alias("project"), F.col("out_degree").alias("outgoing"), F.col("in_degree").alias("incoming"))
-    return load(spark, sf, "nation").select(F.col("n_nationkey").alias("project")).join(d, "project", "left").na.fill(0)
+    c = load(spark, sf, "customer").select(F.col("c_nationkey").alias("src"), (F.col("c_custkey") % 50).alias("k")).distinct()
+    e = c.join(load(spark, sf, "supplier").select(F.col("s_nationkey").alias("dst"), (F.col("s_suppkey") % 50).alias("k")).distinct(), "k").select("src", "dst")
+    return services.badges(load(spark, sf, "nation").select(F.col("n_nationkey").alias("project")), e)
 
 
 @query("a15_coverage_totals", "SELECT source, count(*) AS functions, count(l.doc_id) AS vectors, round(100.0 * count(l.doc_id) / count(*), 1)::DOUBLE AS percent FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY ROLLUP (source)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions import code
 from lodegraph.functions import text as T
-from lodegraph.operators import catalog, incremental, retrieval
+from lodegraph.operators import catalog, incremental, retrieval, services
 from lodegraph.registry import query
 from lodegraph.sources.tables import SYMBOLS_SQL, load, symbols
 
@@ -17,18 +17,13 @@ S = f"WITH {SYMBOLS_SQL}"
 @query("r1_query_analysis", "SELECT item_id, len(list_filter(string_split(lower(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> ''))::INTEGER AS tokens, contains(text, '\"') AS phrase, regexp_matches(text, '\\b(AND|OR|NOT)\\b') AS operators, contains(text, '*') AS wildcard, CASE WHEN contains(text, '\"') OR contains(text, '*') OR regexp_matches(text, '\\b(AND|OR|NOT)\\b') THEN 'fts' WHEN len(list_filter(string_split(lower(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) <= 2 THEN 'memory' ELSE 'both' END AS backend FROM benchmark")
 def query_analysis(spark, sf):
     """What a query holds and which backend answers it."""
-    t = F.col("text")
-    n = F.size(F.filter(F.split(F.lower(F.regexp_replace("text", r"\s+", " ")), " "), lambda x: x != ""))
-    phrase, ops, wild = t.contains('"'), t.rlike(r"\b(AND|OR|NOT)\b"), t.contains("*")
-    return load(spark, sf, "benchmark").select("item_id", n.alias("tokens"), phrase.alias("phrase"), ops.alias("operators"), wild.alias("wildcard"), F.when(phrase | wild | ops, "fts").when(n <= 2, "memory").otherwise("both").alias("backend"))
+    return load(spark, sf, "benchmark").select("item_id", services.query_shape(F.col("text")).alias("x")).select("item_id", "x.*")
 
 
 @query("r2_prefix_query", "SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: starts_with(x, 'licen'))) > 0 AND len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: starts_with(x, 'apach'))) > 0")
 def prefix_query(spark, sf):
     """A fuzzy query: each word is a prefix, all must be met."""
-    t = retrieval.tokens(F.col("text"))
-    d = load(spark, sf, "documents").select("doc_id", t.alias("ts"))
-    return d.where(F.exists("ts", lambda x: x.startswith("licen")) & F.exists("ts", lambda x: x.startswith("apach"))).select("doc_id")
+    return load(spark, sf, "documents").where(services.begin_all(retrieval.tokens(F.col("text")), ["licen", "apach"])).select("doc_id")
 
 
 @query("r14_path_words", "SELECT page_id, list_filter(string_split(regexp_replace(regexp_extract(url, '://[^/]+/([^?#]*)', 1), '[/._-]+', ' ', 'g'), ' '), lambda x: x <> '')[1] AS first_word FROM pages")
@@ -38,15 +33,12 @@ def path_words(spark, sf):
     return load(spark, sf, "pages").select("page_id", F.get(words, F.lit(0)).alias("first_word"))
 
 
-@query("r19_docs_keyword_leg", f"{S}, x AS (SELECT id, (CASE WHEN lower(name) = 'red' THEN 2.0 WHEN starts_with(lower(name), 'red') THEN 1.5 WHEN contains(lower(name), 'red') THEN 1.0 WHEN contains(lower(qualified_name), 'red') THEN 0.8 WHEN contains(lower(node_type), 'red') THEN 0.5 ELSE 0 END) AS a, (CASE WHEN lower(name) = 'gear' THEN 2.0 WHEN starts_with(lower(name), 'gear') THEN 1.5 WHEN contains(lower(name), 'gear') THEN 1.0 WHEN contains(lower(qualified_name), 'gear') THEN 0.8 WHEN contains(lower(node_type), 'gear') THEN 0.5 ELSE 0 END) AS b FROM symbols) SELECT id, (a + b + CASE WHEN a > 0 AND b > 0 THEN 1 ELSE 0 END)::DOUBLE AS score FROM x WHERE a + b > 0")
+@query("r19_docs_keyword_leg", f"{S}, x AS (SELECT id, (CASE WHEN lower(name) = 'red' THEN 2.0 WHEN starts_with(lower(name), 'red') THEN 1.5 WHEN contains(lower(name), 'red') THEN 1.0 WHEN contains(lower(qualified_name), 'red') THEN 0.8 WHEN contains(lower(node_type), 'red') THEN 0.5 ELSE 0 END) AS a, (CASE WHEN lower(name) = 'gear' THEN 2.0 WHEN starts_with(lower(name), 'gear') THEN 1.5 WHEN contains(lower(name), 'gear') THEN 1.0 WHEN contains(lower(qualified_name), 'gear') THEN 0.8 WHEN contains(lower(node_type), 'gear') THEN 0.5 ELSE 0 END) AS b, (CASE WHEN lower(name) = 'ring' THEN 2.0 WHEN starts_with(lower(name), 'ring') THEN 1.5 WHEN contains(lower(name), 'ring') THEN 1.0 WHEN contains(lower(qualified_name), 'ring') THEN 0.8 WHEN contains(lower(node_type), 'ring') THEN 0.5 ELSE 0 END) AS c FROM symbols) SELECT 'red gear' AS query, id, (a + b + CASE WHEN a > 0 AND b > 0 THEN 1 ELSE 0 END)::DOUBLE AS score FROM x WHERE a + b > 0 UNION ALL SELECT 'ring', id, c::DOUBLE FROM x WHERE c > 0")
 def docs_leg(spark, sf):
-    n = F.lower("name")
-
-    def tier(w):
-        return F.when(n == w, 2.0).when(n.startswith(w), 1.5).when(n.contains(w), 1.0).when(F.lower("qualified_name").contains(w), 0.8).when(F.lower("node_type").contains(w), 0.5).otherwise(0.0)
-
-    x = symbols(spark, sf).select("id", tier("red").alias("a"), tier("gear").alias("b")).where("a + b > 0")
-    return x.select("id", (F.col("a") + F.col("b") + F.when((F.col("a") > 0) & (F.col("b") > 0), 1.0).otherwise(0.0)).alias("score"))
+    """Two queries: two words, which gain where both are met, and one."""
+    q = symbols(spark, sf)
+    score = lambda text: services.doc_keyword_score(F.col("name"), F.col("qualified_name"), F.col("node_type"), text)
+    return q.select(F.inline(F.array(*(F.struct(F.lit(t).alias("query"), F.col("id").alias("id"), score(t).alias("score")) for t in ("red gear", "ring"))))).where("score > 0")
 
 
 @query("r23_text_leg_per_node", "WITH c AS (SELECT doc_id // 5 AS node, doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x = 'the')) AS hits FROM documents) SELECT node, max(hits) AS hits, arg_max(doc_id, (hits, -doc_id)) AS chunk FROM c GROUP BY 1 HAVING max(hits) > 0")
@@ -58,23 +50,24 @@ def text_leg(spark, sf):
 
 @query("r41_search_statistics", "SELECT event_type AS backend, count(*) AS searches, round(avg(value), 6) AS mean_ms, count(*) FILTER (value < 10) > 0.3 * count(*) AS hot FROM events GROUP BY 1")
 def search_statistics(spark, sf):
-    return load(spark, sf, "events").groupBy(F.col("event_type").alias("backend")).agg(F.count("*").alias("searches"), F.round(F.avg("value"), 6).alias("mean_ms"), (F.count_if(F.col("value") < 10) > 0.3 * F.count("*")).alias("hot"))
+    return services.search_statistics(load(spark, sf, "events").select(F.col("event_type").alias("backend"), F.col("value").alias("ms")))
 
 
 @query("r42_versioned_legs", f"{S} SELECT 'api' AS leg, id, name AS title, NULL AS lang FROM symbols WHERE starts_with(name, 'red') UNION ALL SELECT 'samples', doc_id, source, lang FROM documents WHERE contains(text, 'License') UNION ALL SELECT 'graph', c_custkey, c_name, NULL FROM customer WHERE c_acctbal > 9900")
 def versioned_legs(spark, sf):
     """Legs of different columns, side by side."""
-    a = symbols(spark, sf).where("startswith(name, 'red')").select(F.lit("api").alias("leg"), "id", F.col("name").alias("title"))
-    b = load(spark, sf, "documents").where(F.col("text").contains("License")).select(F.lit("samples").alias("leg"), F.col("doc_id").alias("id"), F.col("source").alias("title"), "lang")
-    c = load(spark, sf, "customer").where("c_acctbal > 9900").select(F.lit("graph").alias("leg"), F.col("c_custkey").alias("id"), F.col("c_name").alias("title"))
-    return a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True).select("leg", "id", "title", "lang")
+    a = symbols(spark, sf).where("startswith(name, 'red')").select("id", F.col("name").alias("title"))
+    b = load(spark, sf, "documents").where(F.col("text").contains("License")).select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "lang")
+    c = load(spark, sf, "customer").where("c_acctbal > 9900").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"))
+    return services.side_by_side({"api": a, "samples": b, "graph": c}).select("leg", "id", "title", "lang")
 
 
 @query("r45_rank_parts", f"{S} SELECT id, (CASE node_type WHEN 'SMALL' THEN 1.0 WHEN 'LARGE' THEN 0.9 WHEN 'PROMO' THEN 0.7 ELSE 0.5 END)::DOUBLE AS source, (CASE WHEN size = 7 THEN 1.0 WHEN size < 7 THEN 0.7 ELSE 0.0 END)::DOUBLE AS version, round(0.3 + CASE WHEN size > 10 THEN 0.2 ELSE 0 END + CASE WHEN weight > 950 THEN 0.3 ELSE 0 END, 6)::DOUBLE AS completeness FROM symbols")
 def rank_parts(spark, sf):
-    t = F.col("node_type")
-    flag = lambda c, x: F.when(c, x).otherwise(0.0)
-    return symbols(spark, sf).select("id", F.when(t == "SMALL", 1.0).when(t == "LARGE", 0.9).when(t == "PROMO", 0.7).otherwise(0.5).alias("source"), F.when(F.col("size") == 7, 1.0).when(F.col("size") < 7, 0.7).otherwise(0.0).alias("version"), F.round(0.3 + flag(F.col("size") > 10, 0.2) + flag(F.col("weight") > 950, 0.3), 6).alias("completeness"))
+    size = F.col("size")
+    source = services.source_score(F.col("node_type"), {"SMALL": 1.0, "LARGE": 0.9, "PROMO": 0.7})
+    full = services.completeness((F.lit(True), 0.3), (size > 10, 0.2), (F.col("weight") > 950, 0.3))
+    return symbols(spark, sf).select("id", source.alias("source"), services.version_score(size, F.lit(7)).alias("version"), F.round(full, 6).alias("completeness"))
 
 
 @query("r47_floored_vectors", "SELECT id, score FROM (SELECT e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id = 7 AND e.vec_id <> 7) WHERE score >= 0.25")
@@ -87,15 +80,13 @@ def floored(spark, sf):
 
 @query("r55_result_cache", "SELECT sha256(lower(text)) AS key, min(conv_id) AS first_asked, count(*) AS hits FROM conversations WHERE role = 'user' GROUP BY 1")
 def result_cache(spark, sf):
-    c = load(spark, sf, "conversations").where("role = 'user'").select(F.sha2(F.lower("text"), 256).alias("key"), "conv_id")
-    return c.groupBy("key").agg(F.min("conv_id").alias("first_asked"), F.count("*").alias("hits"))
+    return services.cached_results(load(spark, sf, "conversations").where("role = 'user'"), F.col("text"), "conv_id")
 
 
-@query("r59_evidence_headers", f"{S} SELECT id, project AS symbol, node_type AS kind FROM symbols")
+@query("r59_evidence_headers", f"{S} SELECT id, project AS symbol, node_type AS kind, replace(name, ' ', '/') || '.fan' AS file FROM symbols")
 def evidence_headers(spark, sf):
-    header = F.concat(F.lit("### "), F.col("project"), F.lit(" ("), F.col("node_type"), F.lit(") — file.fan"))
-    h = symbols(spark, sf).select("id", header.alias("h"))
-    return h.select("id", F.regexp_extract("h", r"^### (.*?) \(", 1).alias("symbol"), F.regexp_extract("h", r"\(([^)]*)\)", 1).alias("kind"))
+    header = services.evidence_header(F.col("project"), F.col("node_type"), F.concat(F.replace("name", F.lit(" "), F.lit("/")), F.lit(".fan")))
+    return symbols(spark, sf).select("id", services.parsed_header(header).alias("h")).select("id", "h.symbol", "h.kind", "h.file")
 
 
 #: Five ways that a file can begin.
@@ -249,7 +240,7 @@ def parsed_versions(spark, sf):
 @query("v5_resolved_version", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 = 0 THEN 'explicit' WHEN s_suppkey % 3 = 0 THEN 'instance' WHEN s_suppkey % 2 = 0 THEN 'active' ELSE 'none' END AS origin FROM supplier")
 def resolved_version(spark, sf):
     k = F.col("s_suppkey")
-    return load(spark, sf, "supplier").select(k.alias("id"), F.coalesce(F.when(k % 5 == 0, "explicit"), F.when(k % 3 == 0, "instance"), F.when(k % 2 == 0, "active"), F.lit("none")).alias("origin"))
+    return load(spark, sf, "supplier").select(k.alias("id"), services.origin(explicit=F.when(k % 5 == 0, "1.0"), instance=F.when(k % 3 == 0, "2.0"), active=F.when(k % 2 == 0, "3.0")).alias("origin"))
 
 
 @query("d2_manifest_edges", f"{S} SELECT DISTINCT project AS src, 'pod' || (size % 7) AS dst FROM symbols")
@@ -274,9 +265,7 @@ def card_list(spark, sf):
 
 @query("x3_text_versions", "SELECT source AS project, CASE WHEN min(doc_id % 3) < 1 THEN 'older' ELSE 'current' END AS layout, count(*) FILTER (doc_id % 3 < 1) AS stale FROM documents GROUP BY 1")
 def text_versions(spark, sf):
-    v = F.col("doc_id") % 3
-    g = load(spark, sf, "documents").groupBy(F.col("source").alias("project")).agg(F.min(v).alias("m"), F.count_if(v < 1).alias("stale"))
-    return g.select("project", F.when(F.col("m") < 1, "older").otherwise("current").alias("layout"), "stale")
+    return services.layout_status(load(spark, sf, "documents").withColumnRenamed("source", "project"), "project", F.col("doc_id") % 3, 1)
 
 
 @query("x5_session_context", "SELECT c_nationkey AS project, max(o_orderdate) AS last_run, count(*) AS files, sum(o_custkey)::BIGINT AS symbols FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1")
@@ -306,9 +295,8 @@ def pods_with_counts(spark, sf):
 
 @query("x13_reply_merge", "SELECT event_id AS id, json_extract_string(props, '$.k') AS text FROM events WHERE event_id IN (SELECT doc_id FROM labels)")
 def reply_merge(spark, sf):
-    wanted = load(spark, sf, "labels").select(F.col("doc_id").alias("id")).distinct()
-    e = load(spark, sf, "events").select(F.col("event_id").alias("id"), F.from_json("props", "k string")["k"].alias("text"))
-    return e.join(wanted, "id", "left_semi")
+    wanted = load(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    return services.merged_replies(load(spark, sf, "events").select(F.col("event_id").alias("id"), "props"), wanted, "id", F.from_json("props", "k string")["k"])
 
 
 @query("i10_content_changed", f"{S}, o AS (SELECT id, name AS sig, CASE WHEN id % 6 = 0 THEN NULL ELSE node_type END AS doc FROM symbols), n AS (SELECT id, CASE WHEN id % 4 = 0 THEN name || '!' ELSE name END AS sig, CASE WHEN id % 12 = 0 THEN NULL ELSE node_type END AS doc FROM symbols) SELECT id, o.sig IS DISTINCT FROM n.sig OR o.doc IS DISTINCT FROM n.doc AS changed FROM o JOIN n USING (id)")
@@ -319,11 +307,10 @@ def content_changed(spark, sf):
     return o.join(n, "id").select("id", (~F.col("a").eqNullSafe(F.col("c")) | ~F.col("b").eqNullSafe(F.col("d"))).alias("changed"))
 
 
-@query("i14_function_plan", "SELECT coalesce(a.doc_id, b.vec_id) AS id, CASE WHEN a.doc_id IS NULL THEN 'drop' WHEN b.vec_id IS NULL THEN 'encode' WHEN label % 2 = 0 THEN 'keep' ELSE 'encode' END AS action FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) a FULL JOIN embeddings b ON b.vec_id = a.doc_id")
+@query("i14_function_plan", "SELECT coalesce(a.doc_id, b.vec_id) AS id, CASE WHEN a.doc_id IS NULL THEN 'drop' WHEN b.vec_id IS NULL THEN 'encode' WHEN label % 2 = 0 THEN 'keep' ELSE 'encode' END AS action FROM (SELECT doc_id FROM documents WHERE lang <> 'en') a FULL JOIN embeddings b ON b.vec_id = a.doc_id")
 def function_plan(spark, sf):
-    a = load(spark, sf, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.lit(1).alias("a"))
-    b = load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.lit(1).alias("b"))
-    return a.join(b, "id", "full_outer").select("id", F.when(F.col("a").isNull(), "drop").when(F.col("b").isNull(), "encode").when(F.col("label") % 2 == 0, "keep").otherwise("encode").alias("action"))
+    a = load(spark, sf, "documents").where("lang <> 'en'").select(F.col("doc_id").alias("id"))
+    return services.vector_plan(a, load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label"), F.col("label") % 2 == 0)
 
 
 @query("i16_pending_refs", "WITH refs AS (SELECT p_partkey AS ref, p_name AS tail FROM part), known AS (SELECT DISTINCT p_name AS tail FROM part WHERE p_brand = 'Brand#1'), later AS (SELECT p_name AS tail, min(p_partkey) AS id FROM part WHERE p_brand = 'Brand#2' GROUP BY 1) SELECT ref, id FROM refs LEFT JOIN later USING (tail) WHERE tail NOT IN (SELECT tail FROM known)")
@@ -345,9 +332,8 @@ def grouped_batches(spark, sf):
 
 @query("x7_focus_related", "SELECT src, other, kind FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY kind, other) AS r FROM (SELECT DISTINCT l_partkey AS src, l_suppkey AS other, CASE WHEN l_returnflag = 'R' THEN 'caller' ELSE 'callee' END AS kind FROM lineitem)) WHERE r <= 5")
 def focus_related(spark, sf):
-    li = load(spark, sf, "lineitem")
-    e = li.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("other"), F.when(F.col("l_returnflag") == "R", "caller").otherwise("callee").alias("kind")).distinct()
-    return retrieval.top_k(e, 5, F.col("kind"), F.col("other"), by=("src",)).select("src", "other", "kind")
+    e = load(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("other"), F.when(F.col("l_returnflag") == "R", "caller").otherwise("callee").alias("kind"))
+    return services.first_related(e, "src", ["kind", "other"], 5)
 
 
 @query("i13_cache_lookup", "SELECT d.doc_id, c.first AS cached_from FROM documents d JOIN (SELECT md5(text) AS h, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1) c ON md5(d.text) = c.h WHERE d.doc_id <> c.first")
@@ -358,3 +344,26 @@ def cache_lookup(spark, sf):
     return d.join(c, "h").where("doc_id <> cached_from").select("doc_id", "cached_from")
 
 
+
+
+@query("v4_version_texts", "WITH v AS (SELECT s_suppkey AS id, CASE s_suppkey % 5 WHEN 0 THEN 'v1.' || s_suppkey % 7 WHEN 1 THEN '2' WHEN 2 THEN 'x' WHEN 3 THEN ' 3.' || s_suppkey % 4 || '.1 ' ELSE '0.0' END AS t FROM supplier) SELECT id, regexp_full_match(trim(t), '[vV]?[0-9]+([.][0-9]+){0,2}') AS valid, CASE id % 5 WHEN 0 THEN '1.' || id % 7 || '.0' WHEN 1 THEN '2.0.0' WHEN 2 THEN '' WHEN 3 THEN '3.' || id % 4 || '.1' ELSE '0.0.0' END AS normal FROM v")
+def version_texts(spark, sf):
+    k = F.col("s_suppkey")
+    t = F.when(k % 5 == 0, F.concat(F.lit("v1."), (k % 7).cast("string"))).when(k % 5 == 1, "2").when(k % 5 == 2, "x").when(k % 5 == 3, F.concat(F.lit(" 3."), (k % 4).cast("string"), F.lit(".1 "))).otherwise("0.0")
+    return load(spark, sf, "supplier").select(k.alias("id"), T.valid_version(t).alias("valid"), T.normal_version(t).alias("normal"))
+
+
+@query("v4_range_texts", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 6 = 5 THEN '1.0, 2.0' WHEN s_suppkey % 6 = 0 THEN 'any version' WHEN s_suppkey % 6 = 1 THEN '>= 1.' || s_suppkey % 3 WHEN s_suppkey % 6 = 2 THEN '<= 2.0' WHEN s_suppkey % 6 = 3 THEN '1.0' ELSE '1.' || s_suppkey % 3 || ' - 2.0' END AS shown FROM supplier")
+def range_texts(spark, sf):
+    k = F.col("s_suppkey") % 6
+    low = F.when(k.isin(1, 4), F.concat(F.lit("1."), (F.col("s_suppkey") % 3).cast("string"))).when(k == 3, "1.0").otherwise("")
+    high = F.when(k.isin(2, 4), "2.0").when(k == 3, "1.0.0")
+    return load(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), T.range_text(low, high, F.when(k == 5, F.array(F.lit("1.0"), F.lit("2.0")))).alias("shown"))
+
+
+@query("t20_plain_names", f"{S} SELECT id, CASE WHEN id % 2 = 0 THEN name ELSE qualified_name END AS name FROM symbols")
+def plain_names(spark, sf):
+    """Names under an absolute path lose it, others stay."""
+    path = F.concat(F.lit("/srv/"), F.col("project"), F.lit("/x.ts"))
+    q = F.when(F.col("id") % 2 == 0, F.concat(path, F.lit("::"), "name")).otherwise(F.col("qualified_name"))
+    return symbols(spark, sf).select("id", T.without_root(q, path).alias("name"))

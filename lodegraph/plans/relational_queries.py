@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions import text as T
-from lodegraph.operators import catalog, incremental
+from lodegraph.operators import catalog, incremental, services
 from lodegraph.registry import query
 from lodegraph.sources import files, parsers
 from lodegraph.sources.tables import CHANGES_SQL, SYMBOLS_SQL, changes, load, symbols
@@ -346,14 +346,14 @@ def both_ways(spark, sf):
 
 @query("k1_card_targets", f"{S}, f AS (SELECT l_partkey AS id, count(*) AS fan_in FROM lineitem GROUP BY 1) SELECT s.id, fan_in FROM symbols s JOIN f USING (id) WHERE size >= 10 AND NOT starts_with(name, 'test') ORDER BY fan_in DESC, s.id LIMIT 40")
 def card_targets(spark, sf):
-    f = load(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("fan_in"))
-    return symbols(spark, sf).where("size >= 10 and not startswith(name, 'test')").join(f, "id").orderBy(F.desc("fan_in"), "id").limit(40).select("id", "fan_in")
+    calls = load(spark, sf, "lineitem").select(F.col("l_partkey").alias("id"))
+    return services.card_targets(symbols(spark, sf), calls, (F.col("size") >= 10) & ~F.col("name").startswith("test"), 40)
 
 
 @query("k2_card_facts", "SELECT part, supplier FROM (SELECT l_partkey AS part, l_suppkey AS supplier, row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS r FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)) WHERE r <= 12")
 def card_facts(spark, sf):
-    e = load(spark, sf, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).distinct()
-    return e.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("supplier"))).where("r <= 12").drop("r")
+    e = load(spark, sf, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"))
+    return services.first_related(e, "part", ["supplier"], 12)
 
 
 @query("k3_card_status", "SELECT CASE WHEN doc_id % 17 = 0 THEN 'flagged' WHEN doc_id % 7 = 0 THEN 'stale' WHEN quality = 0 THEN 'outdated' WHEN doc_id % 10 < 2 THEN 'low' ELSE 'ok' END AS status, count(*) AS n FROM labels GROUP BY 1")
@@ -379,7 +379,7 @@ def staleness(spark, sf):
 def claim_ranges(spark, sf):
     c = load(spark, sf, "orders").select(F.col("o_orderkey").alias("file"), (F.col("o_custkey") % 9).cast("int").alias("line"))
     r = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("file")).agg(F.min("l_linenumber").alias("a"), F.max("l_linenumber").alias("b"))
-    return c.join(r, "file", "left").select("file", "line", F.coalesce(F.col("line").between(F.col("a") - 2, F.col("b") + 2), F.lit(False)).alias("ok"))
+    return services.within_ranges(c, r)
 
 
 @query("x2_fleet_split", "SELECT label % 3 AS provider, count(*) AS texts, count(DISTINCT label) AS projects FROM embeddings GROUP BY 1 ORDER BY 2 DESC, 1")
@@ -396,8 +396,8 @@ def coverage_change(spark, sf):
 @query("x12_project_cascade", "SELECT 'customer' AS tbl, count(*) AS n FROM customer WHERE c_nationkey = 3 UNION ALL SELECT 'orders', count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 3 UNION ALL SELECT 'supplier', count(*) FROM supplier WHERE s_nationkey = 3")
 def cascade(spark, sf):
     c = load(spark, sf, "customer").where("c_nationkey = 3")
-    n = lambda df, name: df.agg(F.lit(name).alias("tbl"), F.count("*").alias("n"))
-    return n(c, "customer").union(n(load(spark, sf, "orders").join(c.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi"), "orders")).union(n(load(spark, sf, "supplier").where("s_nationkey = 3"), "supplier"))
+    orders = load(spark, sf, "orders").join(c.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
+    return services.cascade({"customer": c, "orders": orders, "supplier": load(spark, sf, "supplier").where("s_nationkey = 3")})
 
 
 @query("x10_text_sections", "SELECT doc_id, len(string_split(text, chr(10))) AS sections, length(string_split(text, chr(10))[1]) AS first_length FROM documents")

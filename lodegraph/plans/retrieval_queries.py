@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions import text as T
-from lodegraph.operators import incremental, retrieval
+from lodegraph.operators import incremental, retrieval, services
 from lodegraph.operators.retrieval import cosine, rrf, tokens, top_k
 from lodegraph.registry import query
 from lodegraph.session import settle
@@ -91,12 +91,12 @@ def keyword_and(spark, sf):
     return symbols(spark, sf).where(n.contains("red") & n.contains("bolt")).orderBy("id").limit(60).select("id")
 
 
-@query("r13_retry_without_ending", f"WITH {SYMBOLS_SQL}, a AS (SELECT id, 0 AS retry FROM symbols WHERE contains(name, 'bolt.js')), b AS (SELECT id, 1 AS retry FROM symbols WHERE contains(name, 'bolt')) SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a)")
+@query("r13_retry_without_ending", f"WITH {SYMBOLS_SQL}, a AS (SELECT id, 0 AS retry FROM symbols WHERE contains(name, 'bolt.js')), b AS (SELECT id, 1 AS retry FROM symbols WHERE contains(name, 'bolt')) SELECT 'bolt.js' AS query, * FROM a UNION ALL SELECT 'bolt.js', * FROM b WHERE NOT EXISTS (SELECT 1 FROM a) UNION ALL SELECT 'ring', id, 0 FROM symbols WHERE contains(name, 'ring')")
 def retry(spark, sf):
-    s = symbols(spark, sf)
-    first = s.where(F.col("name").contains("bolt.js")).select("id", F.lit(0).alias("retry"))
-    again = s.where(F.col("name").contains("bolt")).select("id", F.lit(1).alias("retry"))
-    return first.union(again.join(F.broadcast(first.limit(1).select(F.lit(1).alias("some"))), F.lit(True), "left_anti"))
+    """Two queries: one that is only found without its ending, one that is found as it is."""
+    s = symbols(spark, sf).select("id", "name")
+    found = (services.with_retry(s, "name", q).select(F.lit(q).alias("query"), "id", "retry") for q in ("bolt.js", "ring"))
+    return next(found).union(next(found))
 
 
 @query("r15_query_variants", "SELECT * FROM (VALUES ('retejs', 0, 'retejs'), ('retejs', 1, 'rete'), ('vue-router', 0, 'vue-router'), ('vue-router', 1, 'vue router'), ('vue-router', 2, 'vue-rout'), ('vue-router', 3, 'vue-rou'), ('vue-router', 4, 'vue-ro'), ('vue-router', 5, 'vue-r'), ('SedonaStateService', 0, 'SedonaStateService'), ('SedonaStateService', 1, 'Sedona State Service'), ('SedonaStateService', 2, 'SedonaSt'), ('SedonaStateService', 3, 'SedonaS'), ('SedonaStateService', 4, 'Sedona'), ('SedonaStateService', 5, 'Sedon'), ('load from sax', 0, 'load from sax'), ('bolt.ts', 0, 'bolt.ts'), ('bolt.ts', 1, 'bolt'), ('bolt.ts', 2, 'bolt ts')) AS v(query, place, variant)")
@@ -116,10 +116,8 @@ _DOC_SCORE = "least(CASE WHEN lower(name) = 'blue gear' THEN 2.0 WHEN starts_wit
 
 @query("r17_docs_relevance", f"WITH {SYMBOLS_SQL}, s AS (SELECT id, {_DOC_SCORE}::DOUBLE AS score FROM symbols) SELECT id, score, CASE WHEN score >= 2 THEN 'exact' WHEN score >= 1.5 THEN 'high' WHEN score >= 1 THEN 'medium' ELSE 'low' END AS relevance FROM s")
 def docs_relevance(spark, sf):
-    n = F.lower("name")
-    base = F.when(n == "blue gear", 2.0).when(n.startswith("blue"), 1.5).when(n.contains("gear"), 1.0).otherwise(0.5)
-    s = symbols(spark, sf).select("id", F.least(base + F.when(F.lower("qualified_name").contains("brand#1"), 0.8).otherwise(0.0), F.lit(3.0)).alias("score"))
-    return s.withColumn("relevance", F.when(F.col("score") >= 2, "exact").when(F.col("score") >= 1.5, "high").when(F.col("score") >= 1, "medium").otherwise("low"))
+    score, label = services.doc_relevance(F.col("name"), F.col("qualified_name"), "blue gear", "Brand#1")
+    return symbols(spark, sf).select("id", score.alias("score"), label.alias("relevance"))
 
 
 @query("r18_docs_by_type", f"WITH {SYMBOLS_SQL} SELECT node_type, project, count(*) AS n FROM symbols GROUP BY GROUPING SETS ((node_type), (project), ())")
@@ -197,10 +195,7 @@ def changed_positions(spark, sf):
 @query("r40_hybrid_merge", _LEGS_SQL + " SELECT coalesce(b.key, k.key) AS key, round(greatest(0.6 / coalesce(b.rank, 1000), 0.4 / coalesce(k.rank, 1000)), 9) AS score, CASE WHEN b.key IS NOT NULL AND k.key IS NOT NULL THEN 'both' WHEN b.key IS NOT NULL THEN 'fts' ELSE 'memory' END AS source FROM b FULL JOIN k USING (key)")
 def hybrid_merge(spark, sf):
     legs = _legs(spark, sf)
-    b, k = legs["bm25"].withColumnRenamed("rank", "br"), legs["keyword"].withColumnRenamed("rank", "kr")
-    j = b.join(k, "key", "full_outer")
-    source = F.when(F.col("br").isNotNull() & F.col("kr").isNotNull(), "both").when(F.col("br").isNotNull(), "fts").otherwise("memory")
-    return j.select("key", F.round(F.greatest(0.6 / F.coalesce("br", F.lit(1000)), 0.4 / F.coalesce("kr", F.lit(1000))), 9).alias("score"), source.alias("source"))
+    return services.merged_backends(legs["bm25"], legs["keyword"])
 
 
 # --- vectors ------------------------------------------------------------------------------------
@@ -306,8 +301,7 @@ def rerank_replies(spark, sf):
 def unified_search(spark, sf):
     t = retrieval.bm25(docs(spark, sf), QUERY, "doc_id", "text").select("id", F.col("normalised").alias("text_score"))
     g = load(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(F.least(F.lit(1.0), F.count("*") / 100.0).alias("graph_score"))
-    u = t.join(g, "id", "full_outer").select("id", F.round(0.4 * F.coalesce("text_score", F.lit(0.0)) + 0.2 * F.coalesce("graph_score", F.lit(0.0)), 6).alias("score"))
-    return u.where("score >= 0.3")
+    return services.unified(t, g)
 
 
 def _words_sql(q: str) -> str:
@@ -332,58 +326,56 @@ def text_score_word(spark, sf):
 r AS (SELECT id, qualified_name, round(0.4 * t + 0.25 * v + 0.2 * src + 0.15 * full_, 2)::DOUBLE AS score FROM s) SELECT qualified_name, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qualified_name ORDER BY score DESC, id) AS n FROM r) WHERE n = 1 ORDER BY score DESC, qualified_name LIMIT 50""")
 def versioned_ranking(spark, sf):
     t = F.round(retrieval.keyword_score(F.col("name"), F.col("qualified_name"), F.col("node_type"), "red ring"), 6)
-    v = F.when(F.col("size") == 20, 1.0).when(F.col("size") < 20, 0.7).otherwise(0.0)
-    src = F.when(F.col("node_type") == "SMALL", 1.0).when(F.col("node_type") == "LARGE", 0.9).when(F.col("node_type") == "ECONOMY", 0.7).otherwise(0.5)
-    full = F.when(F.col("name") != "", 0.3).otherwise(0.0) + F.when(F.col("weight") > 1000, 0.2).otherwise(0.0)
-    r = symbols(spark, sf).select("id", "qualified_name", F.round(0.4 * t + 0.25 * v + 0.2 * src + 0.15 * full, 2).alias("score"))
-    best = r.groupBy("qualified_name").agg(F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), "id")).alias("b")).select("qualified_name", "b.id", "b.score")
-    return best.orderBy(F.desc("score"), "qualified_name").limit(50)
+    source = services.source_score(F.col("node_type"), {"SMALL": 1.0, "LARGE": 0.9, "ECONOMY": 0.7})
+    full = services.completeness((F.col("name") != "", 0.3), (F.col("weight") > 1000, 0.2))
+    r = symbols(spark, sf).select("id", "qualified_name", services.ranked_score(t, services.version_score(F.col("size"), F.lit(20)), source, full).alias("score"))
+    return services.best_of(r, "qualified_name", 50).select("qualified_name", "id", "score")
 
 
 @query("r46_graph_leg", "WITH e AS (SELECT l_partkey AS a, l_suppkey AS b FROM lineitem), c AS (SELECT a AS id, count(*) AS callees FROM e GROUP BY 1), k AS (SELECT b AS id, count(DISTINCT a) AS callers FROM e GROUP BY 1) SELECT c.id, round(0.7 * least(1.0, coalesce(callers, 0) / 20.0) + 0.3 * least(1.0, callees / 30.0), 6)::DOUBLE AS score FROM c LEFT JOIN k USING (id)")
 def graph_leg(spark, sf):
     e = load(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
     c, k = e.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("callees")), e.groupBy(F.col("b").alias("id")).agg(F.countDistinct("a").alias("callers"))
-    return c.join(k, "id", "left").select("id", F.round(0.7 * F.least(F.lit(1.0), F.coalesce("callers", F.lit(0)) / 20.0) + 0.3 * F.least(F.lit(1.0), F.col("callees") / 30.0), 6).alias("score"))
+    return c.join(k, "id", "left").select("id", F.round(services.graph_leg_score(F.col("callers"), F.col("callees")), 6).alias("score"))
 
 
 @query("r48_minmax_rerank", f"WITH {SYMBOLS_SQL}, h AS (SELECT id, project, weight AS s FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY weight DESC, id) AS r FROM symbols) WHERE r <= 50) SELECT id, project, round(CASE WHEN max(s) OVER w = min(s) OVER w THEN 1.0 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END, 6)::DOUBLE AS score FROM h WINDOW w AS (PARTITION BY project)")
 def minmax_rerank(spark, sf):
     h = top_k(symbols(spark, sf), 50, F.desc("weight"), F.col("id"), by=("project",))
-    w = Window.partitionBy("project")
-    lo, hi = F.min("weight").over(w), F.max("weight").over(w)
-    return h.select("id", "project", F.round(F.when(hi == lo, 1.0).otherwise((F.col("weight") - lo) / (hi - lo)), 6).alias("score"))
+    return services.min_max(h.select("id", "project", "weight"), "weight", ["project"]).select("id", "project", F.round("score", 6).alias("score"))
 
 
 @query("r51_card_hybrid", f"WITH {_NEAR}, c AS (SELECT id, score FROM n WHERE query_id = 0 AND rank <= 20), f AS (SELECT doc_id AS id FROM documents WHERE contains(lower(text), 'license')) SELECT coalesce(c.id, f.id) AS id, coalesce(score, 0)::DOUBLE AS score, c.id IS NOT NULL AND f.id IS NOT NULL AS both FROM c FULL JOIN f ON f.id = c.id")
 def card_hybrid(spark, sf):
     v = vectors(spark, sf)
     c = retrieval.exact_nearest(v, v.where("id = 0"), 20).select("id", F.round("score", 6).alias("score"))
-    f = docs(spark, sf).where(F.lower("text").contains("license")).select(F.col("doc_id").alias("id"), F.lit(True).alias("hit"))
-    j = c.join(f, "id", "full_outer")
-    return j.select("id", F.coalesce("score", F.lit(0.0)).alias("score"), (F.col("score").isNotNull() & F.col("hit").isNotNull()).alias("both"))
+    return services.vector_and_text(c, docs(spark, sf).where(F.lower("text").contains("license")).select(F.col("doc_id").alias("id")))
 
 
-@query("r52_project_search", f"WITH s AS (SELECT s_suppkey AS id, lower(s_name) AS name, 'nation' || s_nationkey AS path FROM supplier), x AS (SELECT id, greatest(CASE WHEN name = 'supplier#000000007' THEN 1.0 WHEN starts_with(name, 'supplier#00000000') THEN 0.9 WHEN contains(name, '7') THEN 0.7 ELSE 0 END, CASE WHEN contains(path, '7') THEN 0.5 ELSE 0 END)::DOUBLE AS score, concat_ws(',', CASE WHEN contains(name, '7') THEN 'name' END, CASE WHEN contains(path, '7') THEN 'path' END) AS matched_on FROM s) SELECT * FROM x WHERE score > 0 ORDER BY score DESC, id LIMIT 100")
+@query("r52_project_search", "WITH s AS (SELECT s_suppkey AS id, lower(s_name) AS name, 'nation' || s_nationkey AS path, 'pod' || s_suppkey % 13 AS pod, 'owned by ' || CASE WHEN s_acctbal > 0 THEN 'us' ELSE 'them' END AS description FROM supplier), x AS (SELECT q AS query, id, CASE WHEN trim(q) = '' THEN 0.5 ELSE greatest(CASE WHEN name = lower(q) THEN 1.0 WHEN starts_with(name, lower(q)) THEN 0.9 WHEN contains(name, lower(q)) THEN 0.7 ELSE 0 END, CASE WHEN contains(pod, lower(q)) THEN 0.6 ELSE 0 END, CASE WHEN contains(path, lower(q)) THEN 0.5 ELSE 0 END, CASE WHEN contains(description, lower(q)) THEN 0.3 ELSE 0 END) END::DOUBLE AS score, CASE WHEN trim(q) = '' THEN '' ELSE concat_ws(',', CASE WHEN contains(name, lower(q)) THEN 'name' END, CASE WHEN contains(pod, lower(q)) THEN 'podName' END, CASE WHEN contains(path, lower(q)) THEN 'path' END, CASE WHEN contains(description, lower(q)) THEN 'description' END) END AS matched_on FROM s, (VALUES ('Supplier#000000007'), ('7'), ('them'), (' ')) AS v(q)) SELECT query, id, score, matched_on FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS r FROM x WHERE score > 0) WHERE r <= 100")
 def project_search(spark, sf):
-    s = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.lower("s_name").alias("name"), F.concat(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("path"))
-    name = F.when(F.col("name") == "supplier#000000007", 1.0).when(F.col("name").startswith("supplier#00000000"), 0.9).when(F.col("name").contains("7"), 0.7).otherwise(0.0)
-    on = F.concat_ws(",", F.when(F.col("name").contains("7"), "name"), F.when(F.col("path").contains("7"), "path"))
-    x = s.select("id", F.greatest(name, F.when(F.col("path").contains("7"), 0.5).otherwise(0.0)).alias("score"), on.alias("matched_on"))
-    return x.where("score > 0").orderBy(F.desc("score"), "id").limit(100)
+    """A whole name, a part that names, pods and paths share, and the empty query."""
+    s = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.lower("s_name").alias("name"), F.concat(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("path"), F.concat(F.lit("pod"), (F.col("s_suppkey") % 13).cast("string")).alias("pod"), F.concat(F.lit("owned by "), F.when(F.col("s_acctbal") > 0, "us").otherwise("them")).alias("description"))
+
+    def found(q: str):
+        score, on = services.project_score(q, F.col("name"), F.col("path"), F.col("pod"), F.col("description"))
+        return s.select(F.lit(q).alias("query"), "id", score.alias("score"), on.alias("matched_on")).where("score > 0").orderBy(F.desc("score"), "id").limit(100)
+
+    return found("Supplier#000000007").union(found("7")).union(found("them")).union(found(" "))
 
 
-@query("r53_code_samples", "SELECT doc_id AS id, (CASE WHEN contains(lower(text), 'license') THEN 2 ELSE 0 END + CASE WHEN contains(lower(source), '1') THEN 1 ELSE 0 END + CASE WHEN lang IN ('en', 'de') THEN 0.5 ELSE 0 END + CASE WHEN length(text) - length(replace(text, chr(10), '')) + 1 <= 10 THEN 0.3 ELSE 0 END)::DOUBLE AS score FROM documents")
+@query("r53_code_samples", "SELECT doc_id AS id, (CASE WHEN contains(lower(text), 'license') THEN 2 ELSE 0 END + CASE WHEN contains(lower(source), 'license') THEN 1 ELSE 0 END + CASE WHEN lang IN ('en', 'de') THEN 0.5 ELSE 0 END + CASE WHEN length(text) - length(replace(text, chr(10), '')) + 1 <= 10 THEN 0.3 ELSE 0 END)::DOUBLE AS score FROM documents")
 def code_samples(spark, sf):
-    flag = lambda c, x: F.when(c, x).otherwise(0.0)
-    n = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    return docs(spark, sf).select(F.col("doc_id").alias("id"), F.round(flag(F.lower("text").contains("license"), 2.0) + flag(F.lower("source").contains("1"), 1.0) + flag(F.col("lang").isin("en", "de"), 0.5) + flag(n <= 10, 0.3), 6).alias("score"))
+    return docs(spark, sf).select(F.col("doc_id").alias("id"), services.sample_score("License", F.col("text"), F.col("source"), F.col("lang"), ("en", "de")).alias("score"))
 
 
-@query("r54_complexity", "WITH s AS (SELECT p_partkey AS id, p_size % 6 AS params, p_type AS type FROM part) SELECT id, CASE WHEN params = 0 OR params = 1 AND NOT contains(type, 'ECO') THEN 'simple' WHEN params >= 4 OR contains(type, 'ECO') THEN 'complex' ELSE 'medium' END AS complexity FROM s")
+@query("r54_complexity", "WITH s AS (SELECT p_partkey AS id, p_size % 6 AS n, p_type AS type FROM part) SELECT id, CASE WHEN n = 0 OR n = 1 AND type <> 'ECONOMY' THEN 'simple' WHEN n >= 4 OR type IN ('ECONOMY', 'PROMO') THEN 'complex' ELSE 'medium' END AS complexity FROM s")
 def complexity(spark, sf):
-    n, hard = F.col("p_size") % 6, F.col("p_type").contains("ECO")
-    return load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when((n == 0) | ((n == 1) & ~hard), "simple").when((n >= 4) | hard, "complex").otherwise("medium").alias("complexity"))
+    """Functions of none to five parameters; one kind of part has a type of alternatives, another one of a list, as its last."""
+    n = F.col("p_size") % 6
+    last = F.when(F.col("p_type") == "ECONOMY", "Int|Str").when(F.col("p_type") == "PROMO", "Str[]").otherwise("Int")
+    types = F.when(n == 0, F.array().cast("array<string>")).otherwise(F.concat(F.array_repeat(F.lit("Int"), n - 1), F.array(last)))
+    return load(spark, sf, "part").select(F.col("p_partkey").alias("id"), services.complexity_class(types).alias("complexity"))
 
 
 @query("r56_evidence_budget", "SELECT conv_id, turn, running::BIGINT AS running FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS running FROM (SELECT conv_id, min(turn) AS turn, text FROM conversations GROUP BY conv_id, text)) WHERE running <= 2000")
@@ -396,19 +388,16 @@ def evidence_budget(spark, sf):
 @query("r57_identifier_gates", "WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 12)) AS want FROM benchmark), h AS (SELECT list_distinct(flatten(list(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 12)))) AS have FROM conversations) SELECT item_id, len(want)::BIGINT AS wanted, len(list_intersect(want, have))::BIGINT AS found FROM q, h")
 def identifier_gates(spark, sf):
     """Long words of each question, and how many of them the evidence has."""
-    words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.filter(tokens(F.col("text")), lambda x: F.length(x) >= 12))).alias("w"))
     b = load(spark, sf, "benchmark")
-    have = words(load(spark, sf, "conversations"), "conv_id").select("w").distinct().withColumn("hit", F.lit(1))
-    per = words(b, "item_id").join(have, "w", "left").groupBy("item_id").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"))
-    return b.select("item_id").join(per, "item_id", "left").na.fill(0, ["wanted", "found"])
+    have = services.identifiers(load(spark, sf, "conversations"), "conv_id", tokens(F.col("text")))
+    return services.identifier_gates(b, "item_id", services.identifiers(b, "item_id", tokens(F.col("text"))), have)
 
 
 @query("r58_coverage", f"WITH {_NEAR} SELECT query_id, id, round(CASE WHEN rank <= 1 THEN 1.0 ELSE 1 - least(greatest((1 - score) / (10 - 1), 0), 1) END, 6)::DOUBLE AS coverage FROM n WHERE rank <= 10")
 def coverage(spark, sf):
     v = vectors(spark, sf)
     n = retrieval.exact_nearest(v, v.where("id % 20 = 0"), 10).withColumn("score", F.round("score", 6))
-    c = F.when(F.col("rank") <= 1, 1.0).otherwise(1 - F.least(F.greatest((1 - F.col("score")) / 9, F.lit(0.0)), F.lit(1.0)))
-    return n.select("query_id", "id", F.round(c, 6).alias("coverage"))
+    return n.select("query_id", "id", F.round(services.coverage(F.col("rank"), F.col("score"), 10), 6).alias("coverage"))
 
 
 @query("a20_recall_metrics", f"WITH {_NEAR}, a AS (SELECT * FROM n WHERE rank <= 10), b AS (SELECT query_id, id FROM n WHERE rank <= 8 OR rank = 12), r AS (SELECT a.query_id, count(b.id) / 10.0 AS recall FROM a LEFT JOIN b USING (query_id, id) GROUP BY 1) SELECT round(avg(recall), 6)::DOUBLE AS mean, quantile_disc(recall, 0.5)::DOUBLE AS median, quantile_disc(recall, 0.95)::DOUBLE AS p95 FROM r")
