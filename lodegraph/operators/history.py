@@ -11,6 +11,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from lodegraph.functions.text import parameter_count
 
@@ -117,13 +118,15 @@ def run_at(runs: DataFrame, at) -> DataFrame:
     return runs.where(F.col("run") <= F.lit(at)).agg(F.max_by(F.struct(*runs.columns), "run").alias("r")).select("r.*").where(F.col("run").isNotNull())
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, left_at: str, right_at: str, values: list[str], bucket: str = "month") -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: str, left_at: str, right_at: str, values: list[str], bucket: str = "month", width: int = 4096) -> DataFrame:
     """left with values of the latest right row of the same key at or before left_at.
 
     Rows are sorted by time within a key's bucket only; what held when a bucket began comes from the last rows
-    of the key's earlier buckets, one each. So a key of any length is dealt to many tasks.
+    of the key's earlier buckets, one each. So a key of any length is dealt to many tasks. Times are
+    timestamps, in buckets by the calendar, or numbers, in buckets of width.
     """
-    at = lambda c: F.date_trunc(bucket, F.col(c))
+    number = isinstance(right.schema[right_at].dataType, NumericType)
+    at = lambda c: F.floor(F.col(c) / width) if number else F.date_trunc(bucket, F.col(c))
     marks = right.where(F.col(right_at).isNotNull()).select(by, F.col(right_at).alias("__t"), at(right_at).alias("__b"), F.lit(0).alias("__side"), F.struct(*values).alias("__v"), *(F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c != by))
     rows = left.select(by, F.col(left_at).alias("__t"), at(left_at).alias("__b"), F.lit(1).alias("__side"), F.lit(None).cast(marks.schema["__v"].dataType).alias("__v"), *(c for c in left.columns if c != by))
     w = Window.partitionBy(by, "__b").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)

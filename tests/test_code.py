@@ -30,12 +30,20 @@ def test_license_headers(spark):
     assert one(spark, "/* A module about license plates */\ncode", f) == "/* A module about license plates */\ncode"
     assert one(spark, "code\n/* Copyright me */", f) == "code\n/* Copyright me */"
     assert one(spark, "", f) == ""
+    assert one(spark, "// SPDX-License-Identifier: EPL-2.0\ncode", f) == "code"
+    assert one(spark, "\n\n/*\n * Proprietary  and\tconfidential\n */ rest\ncode", f) == "code"
+    assert one(spark, "# (C) 2020 us\n# more\n\ncode", f) == "\ncode"
+    assert one(spark, "** Licence by the mile\ncode", f) == "code"
 
 
 def test_bodies_and_imports(spark):
     assert one(spark, "import x from 'y'\n\n\n\na  \n\n\n\nb\n\n", code.clean_body) == "a\n\nb"
     assert one(spark, "import {a} from 'vue'\nimport b from '../x/Types.ts'\nimport './style.css'\nconst q = require('fs')\nusing haystack::Dict\nfrom os.path import join\nimport re\nimport {c} from 'vue'", code.imports) == "vue, Types, style, fs, haystack, os, re"
     assert one(spark, "nothing", code.imports) == ""
+    assert one(spark, "using haystack::Foo\nusing sys\nimport x from './b'\nimport os\nfrom z.a import q", code.imports) == "haystack, b, os, z"
+    assert one(spark, "import '" + "p" * 100 + "'\nimport '" + "q" * 40 + "'\nimport 'r'", code.imports) == "p" * 100  # the first that is too much ends the list
+    assert one(spark, "export const a = 'b'\nconst c = 'd'\nimportant('e')\nexport * from \"f\"", code.imports) == "f"
+    assert one(spark, "using sys\nusing x is fine\nfrom a import b\nconst q = require('z')\nlet y = 1\nexport { a } from 'b'", code.clean_body) == "using x is fine\nfrom a import b\nlet y = 1"
     long = "\n".join(f"import a{i} from 'package-number-{i}'" for i in range(20))
     assert len(one(spark, long, code.imports)) <= 120
 
