@@ -130,7 +130,7 @@ ASKED = 0
 _LEGS_SQL = (
     f"WITH {_BM25}, b AS (SELECT id AS key, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank FROM sc ORDER BY rank LIMIT 50), kw AS (SELECT id, len(list_filter(ts, lambda x: starts_with(x, 'licens'))) AS hits FROM d), k AS (SELECT id AS key, row_number() OVER (ORDER BY hits DESC, id) AS rank FROM kw WHERE hits > 0 ORDER BY rank LIMIT 50), "
     f"g AS (SELECT user_id AS id, count(*) AS c FROM events GROUP BY 1), near AS (SELECT e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS sim FROM embeddings q, embeddings e WHERE q.vec_id = {ASKED} AND e.vec_id <> {ASKED} ORDER BY 2 DESC, 1 LIMIT 50), "
-    "vs AS (SELECT id, round(0.7 * round(sim, 6) + 0.3 * CASE WHEN coalesce(c, 0) <= 0 THEN 0.1 ELSE least(1.0, 0.3 + 0.3 * log10(c + 1)) END, 6) AS score FROM near LEFT JOIN g USING (id)), v AS (SELECT id AS key, row_number() OVER (ORDER BY score DESC, id) AS rank FROM vs), "
+    "vs AS (SELECT id, round(0.7 * round(sim, 6) + 0.3 * CASE WHEN coalesce(c, 0) <= 0 THEN 0.1 ELSE least(1.0, 0.3 + 0.3 * log10(c + 1)) END, 9) AS score FROM near LEFT JOIN g USING (id)), v AS (SELECT id AS key, row_number() OVER (ORDER BY score DESC, id) AS rank FROM vs), "
     "every AS (SELECT key, rank, 1.0 AS w FROM v UNION ALL SELECT key, rank, 0.8 FROM b UNION ALL SELECT key, rank, 0.7 FROM k), f AS (SELECT key, sum(w / (60 + rank)) AS score, min(rank) AS best_rank FROM every GROUP BY 1), most AS (SELECT sum(w / 61) AS most FROM (SELECT DISTINCT w FROM every))"
 )
 
@@ -246,7 +246,7 @@ def similar_items(spark, sf):
     return near.join(v.select("id", "label"), "id").select("id", F.round("score", 6).alias("score"), "label")
 
 
-@query("r27_combined_score", f"WITH {_NEAR}, g AS (SELECT user_id AS id, count(*) AS c FROM events GROUP BY 1) SELECT query_id, n.id, round(0.7 * score + 0.3 * CASE WHEN coalesce(c, 0) <= 0 THEN 0.1 ELSE least(1.0, 0.3 + 0.3 * log10(c + 1)) END, 6) AS score FROM n LEFT JOIN g ON g.id = n.id WHERE rank <= 5")
+@query("r27_combined_score", f"WITH {_NEAR}, g AS (SELECT user_id AS id, count(*) AS c FROM events GROUP BY 1) SELECT query_id, n.id, round(0.7 * score + 0.3 * CASE WHEN coalesce(c, 0) <= 0 THEN 0.1 ELSE least(1.0, 0.3 + 0.3 * log10(c + 1)) END, 9) AS score FROM n LEFT JOIN g ON g.id = n.id WHERE rank <= 5")
 def combined_score(spark, sf):
     v = vectors(spark, sf)
     n = retrieval.exact_nearest(v, v.where("id % 20 = 0"), 5)
