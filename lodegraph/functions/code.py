@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +41,49 @@ def declarations(files: DataFrame, path: str = "path", language: str = "language
     return found.withColumn("owner", owner)
 
 
+def braced(text: Column) -> Column:
+    """From the first { of a text's first line to the brace that closes it, or to the end where none does; "" where that line has none."""
+    at = F.instr(F.substring_index(text, "\n", 1), "{")
+    rest = F.substr(text, at, F.length(text))
+    pieces = F.regexp_extract_all(rest, F.lit(r"[{}]|[^{}]+"), F.lit(0))
+
+    def step(acc: Column, x: Column) -> Column:
+        depth = acc["depth"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)
+        return F.when(acc["closed"], acc).otherwise(F.struct(depth.alias("depth"), (acc["size"] + F.length(x)).alias("size"), (depth == 0).alias("closed")))
+
+    size = F.aggregate(pieces, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("closed")), step, lambda acc: acc["size"])
+    return F.when(at > 0, F.substr(rest, F.lit(1), size)).otherwise("")
+
+
+def brace_lines(text: Column) -> Column:
+    """array of (line, last_line): for every line that opens braces, where the first of them is closed; the last line of the text if nowhere."""
+
+    def of(t: str | None) -> list[dict]:
+        out, open_, line, seen = {}, [], 1, 0
+        for m in re.finditer(r"[{}\n]", t or ""):
+            if m[0] == "\n":
+                line += 1
+            elif m[0] == "{":
+                open_.append(line if seen != line else 0)  # only the first of a line is told
+                seen = line
+            elif open_ and (first := open_.pop()):
+                out[first] = line
+        out |= {first: line for first in open_ if first}
+        return [{"line": a, "last_line": b} for a, b in sorted(out.items())]
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(of, na_action=None)
+
+    return F.pandas_udf(run, "array<struct<line:int,last_line:int>>")(text)
+
+
+def declared_spans(files: DataFrame, path: str = "path", language: str = "language", text: str = "text") -> DataFrame:
+    """declarations with last_line: where the brace is closed that a declaration's line opens; the line itself without one."""
+    closed = files.select(F.col(path).alias("path"), F.explode(brace_lines(F.col(text))).alias("b")).select("path", "b.line", "b.last_line")
+    found = declarations(files, path, language, text).join(closed, ["path", "line"], "left")
+    return found.withColumn("last_line", F.coalesce("last_line", "line"))
+
+
 #: The comment block that a text begins with: a bracketed one with the rest of its last line, or lines that begin with a mark.
 LEADING_COMMENT = r"^\s*(/\*(?s:.*?)\*/[^\n]*\n?|(?:[^\S\n]*(?://|\*\*|#)[^\n]*(?:\n|$))+)"
 

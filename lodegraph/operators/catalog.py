@@ -46,6 +46,17 @@ def selected(product: Column, version_text: Column, selector: str) -> Column:
     return met
 
 
+def scoped(projects: DataFrame, selector: str = "", project: int | None = None) -> DataFrame:
+    """The projects (id, product, version) a request is about: all, those selected, or the one asked for. That one outside the selection is an error, not an empty result."""
+    inside = projects.where(selected(F.col("product"), F.col("version"), selector)) if selector.strip() else projects
+    if project is None:
+        return inside
+    one = inside.where(F.col("id") == project)
+    if selector.strip() and one.isEmpty():
+        raise ValueError(f"project {project} is not in {selector!r}")
+    return one
+
+
 def group_for_project(instance: Column, name: Column, path: Column) -> Column:
     """The version group of a project: its instance's, else one named in its name, else in its path, else other."""
     from_text = lambda c: F.nullif(F.regexp_extract(c, r"([a-zA-Z]+-\d+(?:\.\d+)*)", 1), F.lit(""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,9 +75,13 @@ def merged_queue(tasks: DataFrame, max_paths: int = 5000) -> DataFrame:
     return out.select(*key, "id", "priority", "merged", F.when(full, 0).otherwise(F.col("paths")).alias("paths"), F.when(full, 0).otherwise(F.col("removed")).alias("removed"), full.alias("full"))
 
 
+#: States of tasks that a worker may take.
+CLAIMABLE = ("pending", "yielded")
+
+
 def claim_order(tasks: DataFrame, now) -> DataFrame:
-    """Pending tasks that are due, with their turn: by priority, due time, id."""
-    due = tasks.where((F.col("state") == "pending") & (F.col("due") <= F.lit(now)))
+    """Tasks that are due and may be taken, with their turn: by priority, due time, id."""
+    due = tasks.where(F.col("state").isin(*CLAIMABLE) & (F.col("due") <= F.lit(now)))
     return due.withColumn("turn", F.row_number().over(Window.partitionBy("lane").orderBy("priority", "due", "id")))
 
 
@@ -83,6 +89,60 @@ def backoff(attempts: Column, base: int, cap: int) -> Column:
     return F.least(F.lit(cap).cast("double"), base * F.pow(F.lit(2.0), F.greatest(attempts - 1, F.lit(0))))
 
 
+def _after(tasks: DataFrame, now: dt.datetime, seconds: Column | float) -> Column:
+    """A time so many seconds after now, of the type that due has; the text of now keeps it free of time zones."""
+    wait = (F.lit(seconds) if isinstance(seconds, int | float) else seconds).cast("decimal(18,6)")
+    return F.lit(now.isoformat(sep=" ")).cast(tasks.schema["due"].dataType) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), wait)
+
+
+def _changed(tasks: DataFrame, which: Column, **new: Column) -> DataFrame:
+    return tasks.select(*(F.when(which, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in tasks.columns))
+
+
+def _none(tasks: DataFrame, *columns: str) -> dict[str, Column]:
+    return {c: F.lit(None).cast(tasks.schema[c].dataType) for c in columns}
+
+
+def claimed(tasks: DataFrame, kinds: tuple[str, ...], owner: str, now: dt.datetime, lease: float) -> DataFrame:
+    """tasks after a worker took the first due one of its kinds: it runs, is the worker's, and its lease ends after lease seconds.
+
+    tasks here and below: id, kind, state, priority, due, attempts, max_attempts, owner, lease_until.
+    """
+    due = tasks.where(F.col("state").isin(*CLAIMABLE) & F.col("kind").isin(*kinds) & (F.col("due") <= _after(tasks, now, 0)))
+    first = due.orderBy("priority", "due", "id").limit(1).select(F.col("id").alias("__first"))  # one row
+    j = tasks.join(F.broadcast(first), F.col("id") == F.col("__first"), "left")
+    return _changed(j, F.col("__first").isNotNull(), state=F.lit("running"), owner=F.lit(owner), lease_until=_after(tasks, now, lease)).drop("__first")
+
+
+def renewed(tasks: DataFrame, owner: str, now: dt.datetime, lease: float) -> DataFrame:
+    """tasks after a worker prolonged the leases of all that it runs."""
+    return _changed(tasks, (F.col("state") == "running") & (F.col("owner") == owner), lease_until=_after(tasks, now, lease))
+
+
+def completed(tasks: DataFrame, which: Column) -> DataFrame:
+    return _changed(tasks, which, state=F.lit("done"), **_none(tasks, "owner", "lease_until"))
+
+
+def failed(tasks: DataFrame, which: Column, now: dt.datetime, base: int, cap: int) -> DataFrame:
+    """tasks after some failed: they wait for their next attempt, the longer the more they had, or have failed for good with their last."""
+    tries = F.col("attempts") + 1
+    last = tries >= F.col("max_attempts")
+    state = F.when(last, "failed").otherwise("pending")
+    due = F.when(last, F.col("due")).otherwise(_after(tasks, now, backoff(tries, base, cap)))
+    return _changed(tasks, which, state=state, attempts=tries, due=due, **_none(tasks, "owner", "lease_until"))
+
+
+def yielded(tasks: DataFrame, which: Column, now: dt.datetime, delay: float) -> DataFrame:
+    """tasks after some were given back unfinished: no attempt is spent, and they come one place sooner."""
+    return _changed(tasks, which, state=F.lit("yielded"), priority=F.greatest(F.lit(1), F.col("priority") - 1), due=_after(tasks, now, delay), **_none(tasks, "owner", "lease_until"))
+
+
+def recovered(tasks: DataFrame, owner: str, now: dt.datetime, base: int, cap: int) -> DataFrame:
+    """tasks after running ones that are another's, or whose lease ran out, failed."""
+    lost = (F.col("state") == "running") & (~F.col("owner").eqNullSafe(F.lit(owner)) | (F.col("lease_until") < _after(tasks, now, 0)))
+    return failed(tasks, lost, now, base, cap)
+
+
 def embed_patch(items: DataFrame, state: DataFrame, cache: DataFrame, text_version: int, model: str) -> DataFrame:
     """node, action: skip (same hash, version and model), cached (its text was encoded for another node), encode, or orphan (state without a node; none while there are no nodes at all). items: node, hash; state: node, hash, version, model; cache: hash."""
     some = items.limit(1).select(F.lit(1).alias("__some"))

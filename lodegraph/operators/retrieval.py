@@ -151,6 +151,12 @@ def exact_nearest(vectors: DataFrame, queries: DataFrame, k: int, block_rows: in
     return top_k(found, k, F.desc(F.round("score", 9)), F.col("id"), by=("query_id",))
 
 
+def document_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, floor: float = 0.5, where: Column | None = None) -> DataFrame:
+    """query_id, id, score, rank: the nearest rows of each query at or over a floor, among those that a filter (on pod, type, instance, language...) lets through before any distance is taken."""
+    among = vectors if where is None else vectors.where(where)
+    return exact_nearest(among, queries, limit).where(F.col("score") >= floor)
+
+
 def rrf(lists: dict[str, DataFrame], weights: dict[str, float] | None = None, k: int = RRF_K) -> DataFrame:
     """key, score, best_rank, first_list, normalised. lists: name -> (key, rank), settled if they cost much: each is read twice.
 

@@ -17,6 +17,9 @@ MERGE_WEIGHTS, UNIFIED_WEIGHTS, UNIFIED_FLOOR = (0.6, 0.4), (0.4, 0.2), 0.3
 #: Versioned ranking: text, version, source, completeness. Project search: whole name, prefix, part, pod, path, description.
 RANK_WEIGHTS, PROJECT_TIERS = (0.4, 0.25, 0.2, 0.15), (1.0, 0.9, 0.7, 0.6, 0.5, 0.3)
 
+#: Candidates that are reranked, and the floor of their pool.
+RERANKED, POOL_FLOOR = 50, 0.1
+
 
 def flag(condition: Column, value: float) -> Column:
     return F.when(condition, value).otherwise(0.0)
@@ -104,6 +107,28 @@ def min_max(rows: DataFrame, value: str, by: list[str], into: str = "score") ->
     return rows.join(ends, by).withColumn(into, F.when(F.col("__hi") == F.col("__lo"), 1.0).otherwise((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")))).drop("__lo", "__hi")
 
 
+def by_mode(hits: DataFrame, mode: str = "vector", limit: int = 20, floor: float = 0.0, rerank: Column | None = None, gathered: bool = False) -> DataFrame:
+    """query_id, id, score, rank, degraded: what a search gives in its mode. hits: query_id, id, score, rank by vectors.
+
+    vector: the first ones over the floor. rerank, rlm: of the first 50 (or limit, if that is more) over 0.1,
+    the best by rerank, scored from 0 to 1 within their query, or by their vectors where all are equal. What
+    a mode lacks it does without, and degraded names it: no-reranker, else no-rlm.
+    """
+    if mode not in ("vector", "rerank", "rlm"):
+        raise ValueError(f"no search mode: {mode!r}")
+    plain = mode == "vector"
+    pool = hits.where((F.col("rank") <= (limit if plain else max(limit, RERANKED))) & (F.col("score") >= (floor if plain else POOL_FLOOR)))
+    lacks = None if plain else "no-reranker" if rerank is None else "no-rlm" if mode == "rlm" and not gathered else None
+    if not plain and rerank is not None:
+        w = Window.partitionBy("query_id")  # at most limit or 50 rows
+        low, high = F.min("__r").over(w), F.greatest(F.max("__r").over(w), F.lit(1e-6))
+        score = F.when(high == low, F.col("score")).otherwise((F.col("__r") - low) / (high - low))
+        pool = pool.withColumn("__r", rerank.cast("double")).withColumns({"score": score, "rank": F.row_number().over(w.orderBy(F.desc("__r"), "rank"))})
+    else:
+        pool = pool.withColumn("rank", F.col("rank").cast("int"))
+    return pool.where(F.col("rank") <= limit).select("query_id", "id", "score", "rank", F.lit(lacks).cast("string").alias("degraded"))
+
+
 def project_score(query: str, name: Column, path: Column, pod: Column, description: Column) -> tuple[Column, Column]:
     """(score, matched_on) of a project; an empty query gives every project one half and nothing it matched on."""
     q = query.strip().lower()

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodegraph.functions import code
+from lodegraph.functions import code, headers as H
 from lodegraph.functions import text as T
 from lodegraph.operators import catalog, incremental, retrieval, services
+from lodegraph.plans.relational_queries import _NUM, _V, versions
+from lodegraph.plans.retrieval_queries import _NEAR, vectors
 from lodegraph.registry import query
+from lodegraph.sources import parsers
 from lodegraph.sources.tables import SYMBOLS_SQL, load, symbols
 
 S = f"WITH {SYMBOLS_SQL}"
@@ -367,3 +372,140 @@ def plain_names(spark, sf):
     path = F.concat(F.lit("/srv/"), F.col("project"), F.lit("/x.ts"))
     q = F.when(F.col("id") % 2 == 0, F.concat(path, F.lit("::"), "name")).otherwise(F.col("qualified_name"))
     return symbols(spark, sf).select("id", T.without_root(q, path).alias("name"))
+
+
+# --- signatures, bodies, documentation pages ----------------------------------------------------
+
+_CLASS_SQL = "SELECT 'f' || p_partkey AS path, p_size::INTEGER AS n FROM part"
+
+
+@query("io13_declared_spans", f"WITH f AS ({_CLASS_SQL}) SELECT path, 1 AS line, 'class' AS kind, 'P' AS name, n + 5 AS last_line FROM f UNION ALL SELECT path, i::INTEGER, 'field', 'f' || i, i::INTEGER FROM f, unnest(range(2, n + 2)) AS t(i) UNION ALL SELECT path, n + 2, 'method', 'go', n + 4 FROM f")
+def declared_spans(spark, sf):
+    """A class of p_size fields and a method, whose braces tell where each ends."""
+    field = F.array_join(F.transform(F.sequence(F.lit(2), F.col("p_size") + 1), lambda i: F.concat(F.lit("  Int f"), i.cast("string"), F.lit("\n"))), "")
+    text = F.concat(F.lit("class P {\n"), field, F.lit("  Int go(Int x) {\n    return 1\n  }\n}\n"))
+    f = load(spark, sf, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("path"), F.lit("fan").alias("language"), text.alias("text"))
+    return code.declared_spans(f).select("path", "line", "kind", "name", "last_line")
+
+
+@query("io13_braced_bodies", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN '{ ' || repeat('{a}', p_size) || ' }' WHEN 1 THEN '' ELSE '{ ' || repeat('{b', p_size) END AS body FROM part")
+def braced_bodies(spark, sf):
+    """Bodies that close, have no brace on their first line, or never close."""
+    k, n = F.col("p_partkey") % 3, F.col("p_size")
+    text = F.when(k == 0, F.concat(F.lit("Int go() { "), F.repeat(F.lit("{a}"), n), F.lit(" } } rest"))).when(k == 1, "Int go()\n{ }").otherwise(F.concat(F.lit("x { "), F.repeat(F.lit("{b"), n)))
+    return load(spark, sf, "part").select(F.col("p_partkey").alias("id"), code.braced(text).alias("body"))
+
+
+@query("io16_function_pages", "SELECT p_partkey AS id, 'fn' || p_size AS name, 'fn' || p_size || '(val)' AS signature, CASE WHEN p_partkey % 2 = 0 THEN 'About ' || p_name ELSE 'Axon function: fn' || p_size END AS description, p_type AS of_type FROM part")
+def function_pages(spark, sf):
+    said = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("<p>About <b>"), F.col("p_name"), F.lit("</b></p>"))).otherwise("")
+    html = F.concat(
+        F.lit("<h2 class='defc-main-heading'>func</h2><div class='defc-main-section'><div><h2>fn"), F.col("p_size").cast("string"), F.lit("(val)</h2></div>"), said,
+        F.lit("</div><h2 class='defc-main-heading'>Meta</h2><div class='defc-main-section'><table class='defc-props'><tr><th>type</th><td><a>"), F.col("p_type"), F.lit("</a></td></tr><tr><th></th><td>x</td></tr></table></div>"),
+    )
+    f = parsers.html_function(F.concat(F.lit("doc/func~fn"), F.col("p_size").cast("string"), F.lit(".html")), html)
+    return load(spark, sf, "part").select(F.col("p_partkey").alias("id"), f.alias("f")).select("id", "f.name", "f.signature", "f.description", F.col("f.metadata")["type"].alias("of_type"))
+
+
+@query("io16_chapters", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_brand ELSE 'ch' || p_size END AS name, CASE WHEN p_partkey % 2 = 0 THEN left(repeat('word ', p_size * 4) || p_type, 500) ELSE 'Documentation chapter: ' || CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_brand ELSE 'ch' || p_size END END AS description FROM part")
+def chapters(spark, sf):
+    k = F.col("p_partkey") % 3
+    head = F.when(k == 0, F.concat(F.lit("<title>t</title><h1 id='a'>"), F.col("p_name"), F.lit("</h1>"))).when(k == 1, F.concat(F.lit("<title>"), F.col("p_brand"), F.lit(" – docs</title>"))).otherwise("")
+    said = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("<p></p><p>"), F.repeat(F.lit("word\n"), F.col("p_size") * 4), F.col("p_type"), F.lit("</p>"))).otherwise("")
+    c = parsers.html_chapter(F.concat(F.lit("a/ch"), F.col("p_size").cast("string"), F.lit(".html")), F.concat(head, said))
+    return load(spark, sf, "part").select(F.col("p_partkey").alias("id"), c.alias("c")).select("id", "c.name", "c.description")
+
+
+@query("io16_entries", "WITH p AS (SELECT p_partkey AS id, 'T' || p_size AS t, p_name AS d, p_partkey % 4 = 0 AS f FROM part) SELECT id, 0 AS place, 'type' AS kind, CASE WHEN f THEN 'sys::Funcs' ELSE 'sys::' || t END AS qualified_name, 'class ' || t AS signature, d AS description FROM p UNION ALL SELECT id, 1, CASE WHEN f THEN 'function' ELSE 'slot' END, CASE WHEN f THEN 'func:compare' ELSE 'sys::' || t || '.compare' END, CASE WHEN f THEN 'compare(a, b)' ELSE '(a, b) => Int' END, CASE WHEN f THEN 'Axon function: compare' ELSE '' END FROM p")
+def entries(spark, sf):
+    f, t = F.col("p_partkey") % 4 == 0, F.concat(F.lit("T"), F.col("p_size").cast("string"))
+    html = F.concat(
+        F.lit("<xetodoc-tab id='doc-header'>"), F.when(f, "mixin").otherwise("class"), F.lit("</xetodoc-tab><xetodoc-section><h1>"), F.when(f, "Funcs").otherwise(t), F.lit("</h1><xetodoc-slot><code>class "), t, F.lit("</code></xetodoc-slot><p>"), F.col("p_name"),
+        F.lit("</p></xetodoc-section><xetodoc-tab id='doc-methods'>methods</xetodoc-tab><table></table><xetodoc-tab id='compare'>compare</xetodoc-tab><xetodoc-section><xetodoc-slot><code>(a, b) =&gt;\n Int</code></xetodoc-slot></xetodoc-section><xetodoc-tab id='x'>two words</xetodoc-tab>"),
+    )
+    pages = load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lit("x.html").alias("path"), F.lit("sys").alias("pod"), html.alias("html"))
+    return parsers.html_entries(pages, "id").select("id", "place", "kind", "qualified_name", "signature", "description")
+
+
+@query("t12_function_headers", "WITH p AS (SELECT p_partkey AS id, p_size AS n, p_brand AS b FROM part) SELECT id, 'project: ' || b || ' | instance: main | file: his rules ' || CASE WHEN n % 2 = 0 THEN 'find gaps' ELSE 'gaps' || n END || CASE WHEN n % 3 = 0 THEN '' ELSE ' | tags: ' || array_to_string(['t' || i for i in range(least(n % 10 + 1, 8))], ', ') END AS header, CASE WHEN n % 4 = 0 THEN '' WHEN n % 4 = 1 THEN 'context: calls: a, b' WHEN n % 4 = 2 THEN 'context: called by: c1, c2, c3, c4, c5' ELSE 'context: calls: a, b; called by: c1, c2, c3, c4, c5' END AS context, CASE WHEN n % 5 = 0 THEN '' ELSE 'uses: ' || array_to_string(['u' || i for i in range(least(n, 8))], ', ') END AS uses FROM p")
+def function_headers(spark, sf):
+    n = F.col("p_size")
+    names = lambda mark, count: F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.concat(F.lit(mark), i.cast("string")))
+    none = F.array().cast("array<string>")
+    path = F.concat(F.lit("proj/his/rules/"), F.when(n % 2 == 0, "findGaps").otherwise(F.concat(F.lit("gaps"), n.cast("string"))), F.lit(".axon"))
+    header = H.header_line(F.col("p_brand"), F.lit("main"), path, F.when(n % 3 == 0, none).otherwise(names("t", n % 10 + 1)))
+    context = H.context_line(F.when(n % 4 % 2 == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(none), F.when(n % 4 >= 2, F.array(*(F.lit(f"c{i}") for i in range(1, 8)))).otherwise(none))
+    return load(spark, sf, "part").select(F.col("p_partkey").alias("id"), header.alias("header"), context.alias("context"), H.uses_line(F.when(n % 5 == 0, none).otherwise(names("u", n))).alias("uses"))
+
+
+_BODIES = (
+    "// of a plant\n\n(ahu, dates: thisMonth, limit: [1, 2])\n  => do\nend",
+    "/* why (a) => b */ (x, y: \"a, b\") => x",
+    "hisRead(@a) + 1",
+    "defcomp\n  target: {}\n  out: {readonly}\n  occ: {bind: \"occupied\"}\n  do\n    in: {x}\n  end\nend",
+)
+_SIGNED = ("(ahu: Ref, dates = thisMonth, limit = [1, 2]) => Grid", '(x, y = "a, b") => Grid', "(ahu: Ref, z: Str) => Grid", "[target, out: readonly, occ: bind]")
+
+
+@query("t13_signatures", "SELECT p_partkey AS id, 'f' || p_size || CASE p_partkey % 4 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_SIGNED)) + " END AS signature, CASE p_partkey % 4 WHEN 0 THEN 3 ELSE 1 END AS line, CASE p_partkey % 4 WHEN 3 THEN 'cells: target, out {readonly}, occ {bind}' ELSE '' END AS cells FROM part")
+def signatures(spark, sf):
+    """Lambdas with defaults, comments before them and types known from elsewhere; a body without one; a component."""
+    body = F.element_at(F.array(*(F.lit(b) for b in _BODIES)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    known = F.array(F.struct(F.lit("ahu").alias("name"), F.lit("Ref").alias("type")), F.struct(F.lit("z").alias("name"), F.lit("Str").alias("type")))
+    p = load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("f"), F.col("p_size").cast("string")).alias("name"), H.signature(body).alias("s"), H.cells(body).alias("c"))
+    return p.select("id", H.signature_text(F.col("name"), H.typed(F.col("s"), known), F.col("c"), F.lit("Grid")).alias("signature"), F.col("s.line").alias("line"), H.cells_line(F.col("c")).alias("cells"))
+
+
+# --- scopes, leases, search modes ---------------------------------------------------------------
+
+
+@query("v9_scoped_projects", f"WITH {_V} SELECT id, true AS grp FROM v WHERE product = 'prod0' AND {_NUM} BETWEEN 10000 AND 20599 OR product = 'prod1' UNION ALL SELECT id, false FROM v")
+def scoped_projects(spark, sf):
+    v = versions(spark, sf)
+    return catalog.scoped(v, "prod0@1.0-2.5, prod1").select("id", F.lit(True).alias("grp")).union(catalog.scoped(v).select("id", F.lit(False)))
+
+
+_NOW = dt.datetime(2024, 1, 15, 12)
+_TASKS_SQL = "t AS (SELECT event_id AS id, event_type AS kind, CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'yielded' ELSE 'done' END AS state, event_id % 7 AS priority, ts AS due, event_id % 5 AS attempts, CASE event_id % 3 WHEN 0 THEN 'me' WHEN 1 THEN 'you' END AS owner, ts + INTERVAL 1 HOUR AS lease_until FROM events)"
+
+
+def _tasks(spark, sf):
+    k = F.col("event_id")
+    state = F.when(k % 4 == 0, "pending").when(k % 4 == 1, "running").when(k % 4 == 2, "yielded").otherwise("done")
+    return load(spark, sf, "events").select(
+        k.alias("id"), F.col("event_type").alias("kind"), state.alias("state"), (k % 7).alias("priority"), F.col("ts").alias("due"), (k % 5).alias("attempts"), F.lit(4).alias("max_attempts"),
+        F.when(k % 3 == 0, "me").when(k % 3 == 1, "you").alias("owner"), (F.col("ts") + F.make_dt_interval(hours=F.lit(1))).alias("lease_until"),
+    )
+
+
+@query("i7_recovered_leases", f"WITH {_TASKS_SQL}, x AS (SELECT *, state = 'running' AND (owner IS DISTINCT FROM 'me' OR lease_until < TIMESTAMP '2024-01-15 12:00:00') AS lost FROM t) SELECT id, CASE WHEN lost AND attempts >= 3 THEN 'failed' WHEN lost THEN 'pending' ELSE state END AS state, CASE WHEN lost THEN attempts + 1 ELSE attempts END AS attempts, CASE WHEN lost AND attempts < 3 THEN TIMESTAMP '2024-01-15 12:00:00' + to_seconds((5 * pow(2, attempts))::BIGINT) ELSE due END AS due, CASE WHEN NOT lost THEN owner END AS owner, CASE WHEN NOT lost THEN lease_until END AS lease_until FROM x")
+def recovered_leases(spark, sf):
+    return incremental.recovered(_tasks(spark, sf), "me", _NOW, 5, 600).select("id", "state", "attempts", "due", "owner", "lease_until")
+
+
+@query("i7_claimed_task", f"WITH {_TASKS_SQL}, c AS (SELECT id AS first FROM t WHERE state IN ('pending', 'yielded') AND kind IN ('click', 'view') AND due <= TIMESTAMP '2024-01-15 12:00:00' ORDER BY priority, due, id LIMIT 1), y AS (SELECT t.*, id IS NOT DISTINCT FROM first AS mine FROM t LEFT JOIN c ON id = first) SELECT id, CASE WHEN mine THEN 'running' WHEN state = 'yielded' THEN 'yielded' ELSE state END AS state, CASE WHEN NOT mine AND state = 'yielded' THEN greatest(1, priority - 1) ELSE priority END AS priority, CASE WHEN mine THEN 'me' WHEN state <> 'yielded' THEN owner END AS owner, CASE WHEN NOT mine AND state = 'yielded' THEN TIMESTAMP '2024-01-15 12:00:30' ELSE due END AS due FROM y")
+def claimed_task(spark, sf):
+    """One task is claimed, those yielded before are given back once more."""
+    t = incremental.claimed(_tasks(spark, sf), ("click", "view"), "me", _NOW, 60)
+    return incremental.yielded(t, F.col("state") == "yielded", _NOW, 30).select("id", "state", "priority", "owner", "due")
+
+
+@query("r50_document_vectors", "SELECT query_id, id, score, rank::INTEGER AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id AND e.label IN (1, 3, 5)) WHERE rank <= 10 AND score >= 0.2")
+def document_vectors(spark, sf):
+    v = vectors(spark, sf)
+    found = retrieval.document_search(v, v.where("id % 20 = 0"), 10, 0.2, F.col("label").isin(1, 3, 5))
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("r49_search_modes", f"WITH {_NEAR}, p AS (SELECT *, ((id * 37 + query_id) % 101)::DOUBLE AS r FROM n WHERE rank <= 50 AND score >= 0.1), s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r DESC, rank) AS place, min(r) OVER (PARTITION BY query_id) AS lo, greatest(max(r) OVER (PARTITION BY query_id), 1e-6) AS hi FROM p) SELECT 'vector' AS mode, query_id, id, score, rank::INTEGER AS rank, NULL::VARCHAR AS degraded FROM n WHERE rank <= 5 AND score >= 0.15 UNION ALL SELECT 'none', query_id, id, score, rank::INTEGER, 'no-reranker' FROM p WHERE rank <= 5 UNION ALL SELECT 'rlm', query_id, id, round(CASE WHEN hi = lo THEN score ELSE (r - lo) / (hi - lo) END, 6), place::INTEGER, 'no-rlm' FROM s WHERE place <= 5")
+def search_modes(spark, sf):
+    """Neighbours by vectors alone, with a reranker that is missing, and with a stand-in for one."""
+    v = vectors(spark, sf)
+    hits = retrieval.exact_nearest(v, v.where("id % 20 = 0"), 50).withColumn("score", F.round("score", 6))
+    stand_in = (F.col("id") * 37 + F.col("query_id")) % 101
+    legs = {"vector": services.by_mode(hits, "vector", 5, 0.15), "none": services.by_mode(hits, "rerank", 5), "rlm": services.by_mode(hits, "rlm", 5, rerank=stand_in).withColumn("score", F.round("score", 6))}
+    out = None
+    for mode, leg in legs.items():
+        leg = leg.select(F.lit(mode).alias("mode"), "*")
+        out = leg if out is None else out.union(leg)
+    return out

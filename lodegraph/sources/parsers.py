@@ -152,3 +152,71 @@ def html_links(pages: DataFrame, id_col: str, html: str = "html") -> DataFrame:
     """id, place, target, label of links."""
     tags = pages.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*href=\"([^\"]*\"[^>]*>.*?)</a>"), F.lit(1))).alias("place", "t"))
     return tags.select("id", "place", F.regexp_extract("t", r'(?s)^([^"]*)"', 1).alias("target"), html_text(F.regexp_replace("t", r'(?s)^[^"]*"[^>]*>', "")).alias("label"))
+
+
+def _first_tag(html: Column, tag: str) -> Column:
+    """The text of the first tag that is not empty of it; null without one."""
+    found = F.transform(F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1)), html_text)
+    return F.get(F.filter(found, lambda t: t != ""), F.lit(0))
+
+
+def _base(path: Column) -> Column:
+    return F.regexp_replace(F.element_at(F.split(path, r"[\\/]"), -1), r"(?i)\.html?$", "")
+
+
+def _sections(html: Column) -> Column:
+    """array of (heading, body): the main sections of a documentation page, each to the next heading or section, with the heading before it."""
+    marked = F.regexp_replace(F.regexp_replace(html, r"(?i)<h2\b[^>]*\bdefc-main-heading\b[^>]*>", "\u001eH"), r"(?i)<div\b[^>]*\bdefc-main-section\b[^>]*>", "\u001eS")
+    parts = F.split(marked, "\u001e")
+    heading = lambda i: F.when((i > 0) & F.get(parts, i - 1).startswith("H"), html_text(F.substr(F.get(parts, i - 1), F.lit(2)))).otherwise("")
+    every = F.transform(parts, lambda p, i: F.struct(heading(i).alias("heading"), F.substr(p, F.lit(2)).alias("body"), p.startswith("S").alias("main")))
+    return F.filter(every, lambda s: s["main"])
+
+
+def html_function(path: Column, html: Column) -> Column:
+    """(name, qualified_name, signature, description, metadata) of a function's page; its name is its file's, metadata are the rows of tables under a heading that speaks of meta."""
+    name = F.regexp_replace(_base(path), "^func~", "")
+    sections = _sections(html)
+    first = lambda tag: F.get(F.filter(F.transform(sections, lambda s: _first_tag(s["body"], tag)), lambda t: t.isNotNull()), F.lit(0))
+    tables = F.flatten(F.transform(F.filter(sections, lambda s: F.lower(s["heading"]).contains("meta")), lambda s: F.regexp_extract_all(s["body"], F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))))
+    cell = lambda r, tag: html_text(F.regexp_extract(r, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1))
+    rows = F.filter(F.transform(tables, lambda r: F.struct(cell(r, "th").alias("k"), cell(r, "td").alias("v"))), lambda x: (x["k"] != "") & (x["v"] != ""))
+    names = F.transform(rows, lambda x: x["k"])
+    last = F.filter(rows, lambda x, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), x["k"]))
+    description = F.coalesce(first("p"), F.concat(F.lit("Axon function: "), name))
+    return F.struct(name.alias("name"), F.concat(F.lit("func:"), name).alias("qualified_name"), first("h2").alias("signature"), description.alias("description"), F.map_from_entries(last).alias("metadata"))
+
+
+def html_chapter(path: Column, html: Column, cap: int = 500) -> Column:
+    """(name, description) of a chapter: its first heading, else its title up to a dash, else its file's name; the first paragraph of a main section, else of the page."""
+    titled = F.trim(F.regexp_replace(F.coalesce(_first_tag(html, "title"), F.lit("")), r" *–.*$", ""))
+    name = F.coalesce(_first_tag(html, "h1"), F.nullif(titled, F.lit("")), _base(path))
+    main = F.get(F.filter(F.transform(_sections(html), lambda s: _first_tag(s["body"], "p")), lambda t: t.isNotNull()), F.lit(0))
+    description = F.coalesce(main, _first_tag(html, "p"), F.concat(F.lit("Documentation chapter: "), name))
+    return F.struct(name.alias("name"), F.substring(description, 1, cap).alias("description"))
+
+
+def html_entries(pages: DataFrame, id_col: str, path: str = "path", pod: str = "pod", html: str = "html") -> DataFrame:
+    """id, place, kind, name, qualified_name, signature, description: the type of a page in tabs and sections (place 0) and its slots.
+
+    A tab names a slot unless its id begins with doc- or its text has a blank. The slots of a mixin called
+    Funcs are functions: their names stand alone and their signatures end before the result.
+    """
+    tabs = F.split(F.col(html), r"(?i)<xetodoc-tab\b")
+    code = lambda t: F.nullif(html_text(F.regexp_extract(t, r"(?is)<xetodoc-slot\b[^>]*>.*?<code\b[^>]*>(.*?)</code>", 1)), F.lit(""))
+    said = lambda t: F.trim(F.array_join(F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), html_text), lambda x: x != ""), " "))
+    key = lambda t: F.regexp_extract(t, "(?is)^[^>]*\\bid=[\"']([^\"']*)[\"']", 1)
+    label = lambda t: html_text(F.regexp_extract(t, r"(?is)^[^>]*>(.*?)</xetodoc-tab>", 1))
+    one = lambda t: F.struct(key(t).alias("key"), label(t).alias("label"), code(t).alias("signature"), said(t).alias("description"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(pod).alias("pod"), F.coalesce(_first_tag(F.col(html), "h1"), _base(F.col(path))).alias("type"), F.transform(F.slice(tabs, F.lit(2), F.size(tabs)), one).alias("tabs"))
+    head = F.get(F.filter("tabs", lambda t: t["key"] == "doc-header"), F.lit(0))
+    slots = F.filter(F.transform("tabs", lambda t: t.withField("label", F.when(t["label"] == "", t["key"]).otherwise(t["label"]))), lambda t: (t["key"] != "") & ~t["key"].startswith("doc-") & ~t["label"].contains(" "))
+    top = F.struct(F.lit("").alias("key"), F.col("type").alias("label"), head["signature"].alias("signature"), F.coalesce(F.nullif(head["description"], F.lit("")), F.concat_ws(" from ", "type", "pod")).alias("description"))
+    funcs = (F.col("type") == "Funcs") & F.coalesce(head["label"] == "mixin", F.lit(False))
+    entries = rows.select("id", "pod", "type", funcs.alias("funcs"), F.posexplode(F.concat(F.array(top), slots)).alias("place", "e"))
+    kind = F.when(F.col("place") == 0, "type").when(F.col("funcs"), "function").otherwise("slot")
+    q = F.when(F.col("place") == 0, F.concat_ws("::", "pod", "type")).when(F.col("funcs"), F.concat(F.lit("func:"), F.col("e.label"))).otherwise(F.concat(F.col("pod"), F.lit("::"), F.col("type"), F.lit("."), F.col("e.label")))
+    signature = F.when((F.col("place") > 0) & F.col("funcs"), F.concat(F.col("e.label"), F.regexp_replace("e.signature", r"\s*=>.*$", ""))).otherwise(F.col("e.signature"))
+    empty = F.when((F.col("place") > 0) & F.col("funcs") & (F.col("e.description") == ""), F.concat(F.lit("Axon function: "), F.col("e.label")))
+    description = F.coalesce(empty, F.when(F.col("place") > 0, F.substring("e.description", 1, 1000)).otherwise(F.col("e.description")))
+    return entries.select("id", "place", kind.alias("kind"), F.col("e.label").alias("name"), q.alias("qualified_name"), signature.alias("signature"), description.alias("description"))
