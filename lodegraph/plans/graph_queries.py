@@ -106,8 +106,7 @@ def cycles(spark, sf):
     """The first ten nodes on a cycle of at most ten steps, with their shortest cycle. Only nodes of strong components (or with a loop) are searched."""
     e = views(spark, sf)
     inside = graph.strong_components(e).select("id").union(e.where("src = dst").select(F.col("src"))).distinct()
-    found = graph.reach(e, inside, 10).where("source = node").select(F.col("source").alias("id"), F.col("depth").alias("cycle_length"))
-    return found.orderBy("id").limit(10)
+    return graph.first_cycles(e, inside, 10, 10)
 
 
 _RELATED = f"""WITH {E_ALL}, {NODES_SQL}, ids AS (SELECT DISTINCT user_id AS id FROM events),

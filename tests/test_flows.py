@@ -77,3 +77,19 @@ def test_no_flows(spark):
 def test_a_long_flow_ends_at_ten_calls(spark):
     f = flows.Flows(calls(spark, [(i, i + 1) for i in range(20)]))
     assert rows(f.paths()) == [(0, ">".join(f"{i:012d}" for i in range(11)))]
+
+
+def test_cycles_are_searched_until_enough_are_found(spark):
+    """200 nodes that all call ten others; one turn of ten visits at most 2,000 pairs, all nodes' walks 40,000."""
+    e = calls(spark, [(i, (i * 7 + j * 13 + 1) % 200) for i in range(200) for j in range(10)])
+    since = len(session._written)
+    got = rows(graph.first_cycles(e, spark.range(200), 10, 10))
+    left = sum(pq.read_metadata(p).num_rows for t in session._written[since:] for p in Path(t.removeprefix("file://")).glob("*.parquet"))
+    assert left == 2200  # calls and ids; what turns wrote is gone
+    assert got == rows(graph.reach(e, spark.range(10), 10).where("source = node").select("source", "depth"))
+
+
+def test_later_turns_find_what_is_left(spark):
+    """A ring too long to count, with a loop and a pair at its end; turns of two pairs."""
+    e = calls(spark, [*((i, (i + 1) % 15) for i in range(15)), (12, 12), (13, 14), (14, 13)])
+    assert rows(graph.first_cycles(e, spark.range(15), 10, 5, max_pairs=60)) == [(12, 1), (13, 2), (14, 2)]
