@@ -219,3 +219,23 @@ def running_total(rows: DataFrame, order: str, value: str) -> DataFrame:
 def grouped_batches(keys: DataFrame, rows: int) -> DataFrame:
     """key, n, batch: keys (with n rows each) in batches of about so many rows; a key is never split."""
     return running_total(keys, "key", "n").select("key", "n", F.floor(F.col("before") / rows).alias("batch"))
+
+
+def rescue(hits: DataFrame, symbols: DataFrame) -> DataFrame:
+    """stale, id: for hits (stale, qualified_name, at) the symbol (id, qualified_name, size) of their name whose size is nearest to at, the least id among equals; a missing size is farthest.
+
+    One row stands for all symbols of a name and size, and one for all hits of a name and place. The nearest lies next
+    to them in the order of sizes, so a popular name makes no pairs.
+    """
+    least = symbols.where("qualified_name is not null").groupBy("qualified_name", "size").agg(F.min("id").alias("id"))
+    asked = hits.where("qualified_name is not null").groupBy("qualified_name", F.col("at").alias("size")).agg(F.lit(True).alias("asked"))
+    points = least.where("size is not null").withColumn("c", F.struct("size", "id")).select("qualified_name", "size", "c").join(asked.where("size is not null"), ["qualified_name", "size"], "full")
+    near = lambda order: F.last("c", True).over(Window.partitionBy("qualified_name").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    far = lambda c: F.struct(F.abs(c["size"] - F.col("size")).alias("d"), c["id"].alias("id"))
+    both = points.withColumns({"below": near(F.asc("size")), "above": near(F.desc("size"))}).where("asked")
+    best = both.withColumn("best", F.least(F.when(F.col("below").isNotNull(), far(F.col("below"))), F.when(F.col("above").isNotNull(), far(F.col("above"))))).select("qualified_name", F.col("size").alias("at"), "best")
+    # where one of both sizes is missing, all distances are: the least id of the name
+    names = least.groupBy("qualified_name").agg(F.min("id").alias("any"))
+    found = hits.join(names, "qualified_name").join(best, ["qualified_name", "at"], "left")
+    key = F.struct(F.col("best").isNull().alias("missing"), F.col("best.d").alias("d"), F.coalesce("best.id", "any").alias("id"))
+    return found.groupBy("stale").agg(F.min(key).alias("k")).select("stale", "k.id")

@@ -142,7 +142,7 @@ def rescue(spark, sf):
     """Hits whose id is gone find the symbol of their name that lies nearest."""
     s = symbols(spark, sf)
     h = s.select((F.col("id") + 5000000).alias("stale"), "qualified_name", F.col("size").alias("at"))
-    return h.join(s, "qualified_name").groupBy("stale").agg(F.min_by("id", F.struct(F.abs(F.col("size") - F.col("at")), "id")).alias("id"))
+    return incremental.rescue(h, s)
 
 
 @query("j11_cross_project_links", f"""{S}, w AS (SELECT DISTINCT project, unnest(string_split(name, ' ')) AS word FROM symbols), n AS (SELECT word FROM w GROUP BY 1 HAVING count(*) <= 26)

@@ -118,3 +118,23 @@ def test_hue(spark):
 
     words = ["", "a", "src/Main.fan", "x" * 100]
     assert [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(T.hue(F.col("w"))).collect()][1:] == [plain(w) for w in words][1:]
+
+
+def test_stale_hits_find_the_nearest_of_their_name(spark, tmp_path):
+    """The query against its SQL on symbols without a size, of which it took those as the nearest, and on a popular name."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from lodegraph import registry
+    from tests.oracle import compare, connect
+
+    rows = [(i, f"n{i % 7}", "B", "T", None if i % 4 == 0 or i % 7 == 3 else i % 11, 1.0) for i in range(300)]
+    types = {"p_partkey": pa.int64(), "p_name": pa.string(), "p_brand": pa.string(), "p_type": pa.string(), "p_size": pa.int32(), "p_retailprice": pa.float64()}
+    pq.write_table(pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(types.items())}), tmp_path / "part.parquet")
+    assert compare(registry.queries()["j4_stale_id_rescue"](spark, str(tmp_path)), registry.oracles()["j4_stale_id_rescue"], connect(str(tmp_path))) == ""
+
+
+def test_rescue_takes_the_nearest_size(spark):
+    s = spark.createDataFrame([(1, "a", 10), (2, "a", 20), (3, "a", 20), (4, "b", 5), (5, "a", None), (6, "c", None)], "id long, qualified_name string, size int")
+    h = spark.createDataFrame([(1, "a", 14), (2, "a", 15), (3, "a", 99), (4, "a", None), (5, "b", 0), (6, "c", 7), (7, "d", 1), (8, "a", 20), (9, None, 1), (10, "a", 0), (10, "a", 20)], "stale long, qualified_name string, at int")
+    assert sorted(tuple(r) for r in incremental.rescue(h, s).collect()) == [(1, 1), (2, 1), (3, 2), (4, 1), (5, 4), (6, 6), (8, 2), (10, 2)]
