@@ -93,3 +93,9 @@ def test_later_turns_find_what_is_left(spark):
     """A ring too long to count, with a loop and a pair at its end; turns of two pairs."""
     e = calls(spark, [*((i, (i + 1) % 15) for i in range(15)), (12, 12), (13, 14), (14, 13)])
     assert rows(graph.first_cycles(e, spark.range(15), 10, 5, max_pairs=60)) == [(12, 1), (13, 2), (14, 2)]
+
+
+@pytest.mark.parametrize("name", ["g18_maximal_flows", "g19_flow_types", "g19_flow_steps", "g17_traced_flows", "g20_flows_of_node"])
+def test_flow_queries_write_no_walk(spark, layered, name):
+    said, most = written(spark, name, layered[0])
+    assert said == "" and most <= layered[1]
