@@ -99,3 +99,25 @@ def test_later_turns_find_what_is_left(spark):
 def test_flow_queries_write_no_walk(spark, layered, name):
     said, most = written(spark, name, layered[0])
     assert said == "" and most <= layered[1]
+
+
+def test_maximal_flows_of_called_entries_are_not_written(spark):
+    """All 60 entries and 20 called ones; their flows outnumber what is written: calls and ids."""
+    e = calls(spark, [(i, 100 + (i + j) % 20) for i in range(60) for j in range(4)] + [(100 + 20 * layer + i, 120 + 20 * layer + (i + j) % 20) for layer in range(6) for i in range(20) for j in range(3)])
+    f = flows.Flows(e, spark.createDataFrame([(i,) for i in [*range(60), *range(100, 120)]], "id long"))
+    joined = flows.Flows(e, f.entries, max_edges=0)
+    paths = rows(f.paths())
+    since = len(session._written)
+    found = rows(f.maximal())
+    most = max(sum(pq.read_metadata(p).num_rows for p in Path(t.removeprefix("file://")).glob("*.parquet")) for t in session._written[since:])
+    assert found == [(i, p) for i, p in paths if not any(len(q) > len(p) and p in q for _, q in paths)] == rows(joined.maximal())
+    assert len(found) < len(paths) and most <= 80 < len(paths)
+
+
+@pytest.mark.parametrize("name", ["g17_traced_flows", "g18_maximal_flows", "g19_flow_types", "g19_flow_steps", "g20_flows_of_node"])
+def test_flow_queries_shuffle_no_flow(spark, layered, name):
+    """No exchange but broadcasts of names stands above the walk, so flows stay off the disk when they are read."""
+    df = registry.queries()[name](spark, layered[0])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert "Exchange" not in above.replace("BroadcastExchange", "") and "Sort" not in above
