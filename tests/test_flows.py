@@ -121,3 +121,15 @@ def test_flow_queries_shuffle_no_flow(spark, layered, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     above = plan[: plan.index("MapInArrow")]
     assert "Exchange" not in above.replace("BroadcastExchange", "") and "Sort" not in above
+
+
+def test_flow_steps_come_numbered_from_the_walk(spark, layered):
+    """Above the walk no path is taken apart again; a flow's nodes are explode's only input."""
+    df = registry.queries()["g19_flow_steps"](spark, layered[0])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in plan[: plan.index("MapInArrow")]
+    e = calls(spark, drawn(2))
+    names = spark.createDataFrame([(i, f"n{i}") for i in range(50)], "id long, name string")
+    walked, joined = flows.Flows(e), flows.Flows(e, max_edges=0)
+    expected = sorted((i, p, s, int(n), f"n{int(n)}") for i, p in rows(joined.paths()) for s, n in enumerate(p.split(">")) if int(n) < 50)
+    assert expected and rows(walked.steps(names).select("entry", "path", "step", "node", "name")) == expected == rows(joined.steps(names).select("entry", "path", "step", "node", "name"))
