@@ -133,3 +133,27 @@ def test_flow_steps_come_numbered_from_the_walk(spark, layered):
     walked, joined = flows.Flows(e), flows.Flows(e, max_edges=0)
     expected = sorted((i, p, s, int(n), f"n{int(n)}") for i, p in rows(joined.paths()) for s, n in enumerate(p.split(">")) if int(n) < 50)
     assert expected and rows(walked.steps(names).select("entry", "path", "step", "node", "name")) == expected == rows(joined.steps(names).select("entry", "path", "step", "node", "name"))
+
+
+@pytest.mark.parametrize("turn", [1, 64])
+def test_least_second_node(spark, monkeypatch, turn):
+    """Whatever the turns; on graphs where first callees often call nothing, and where no flow is."""
+    monkeypatch.setattr(flows, "_TURN", turn)
+    for seed in range(3):
+        r = random.Random(seed)
+        f = flows.Flows(calls(spark, [(100 + r.randrange(40), r.randrange(40)) for _ in range(60)] + [(r.randrange(20, 40), 200 + r.randrange(9)) for _ in range(12)]))
+        seconds = [s for (s,) in rows(f.seconds())]
+        assert seconds and rows(f.least_second()) == [(min(seconds),)]
+    assert rows(flows.Flows(calls(spark, [(1, 2), (3, 2)])).least_second()) == [(None,)]
+
+
+def test_flows_of_a_node_walk_what_comes_to_it(spark, monkeypatch):
+    """200 entries of chains of their own: the graph is sent once, and not all are walked for the least second node, nor more than one for its flows."""
+    e = calls(spark, [(1000 * i + j, 1000 * i + j + 1) for i in range(200) for j in range(4)])
+    sent, walked = [], []
+    broadcast, repartition = type(spark.sparkContext).broadcast, type(e).repartition
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, x: sent.append(type(x)) or broadcast(sc, x))
+    monkeypatch.setattr(type(e), "repartition", lambda df, n, *by: walked.append(df.count()) or repartition(df, n, *by))
+    f = flows.Flows(e)
+    assert rows(f.through(f.least_second())) == [(0, ">".join(f"{i:012d}" for i in range(5)))]
+    assert sent == [flows._Graph] and walked == [64, 1]
