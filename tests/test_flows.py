@@ -1,4 +1,5 @@
 import datetime as dt
+import pickle
 import random
 from pathlib import Path
 
@@ -135,6 +136,18 @@ def test_flow_steps_come_numbered_from_the_walk(spark, layered):
     assert expected and rows(walked.steps(names).select("entry", "path", "step", "node", "name")) == expected == rows(joined.steps(names).select("entry", "path", "step", "node", "name"))
 
 
+def test_little_of_a_graph_is_sent(spark):
+    """Ids, calls and their counts; what a worker makes of them is the graph, also with ids below 0 and of over 12 digits."""
+    pairs = drawn(3, 2000, 6000)
+    g = flows._Graph(spark.createDataFrame(pairs, "src long, dst long"))
+    assert len(pickle.dumps(g)) < 4 * (len(g.adj) + g.n) + 1000
+    for p in ([], pairs, [(-5, 10**12 + 7), (10**12 + 7, 3), (10**15, -5), (3, 10**15)]):
+        g = flows._Graph(spark.createDataFrame(p, "src long, dst long"))
+        h = pickle.loads(pickle.dumps(g))
+        assert g.n == h.n and all((getattr(g, x) == getattr(h, x)).all() for x in ("sorted", "place", "ids", "names", "adj", "at"))
+        assert sorted((int(g.ids[s]), int(g.ids[d])) for s in range(g.n) for d in g.adj[g.at[s] : g.at[s + 1]]) == sorted(p)
+
+
 @pytest.mark.parametrize("turn", [1, 64])
 def test_least_second_node(spark, monkeypatch, turn):
     """Whatever the turns; on graphs where first callees often call nothing, and where no flow is."""
