@@ -1,6 +1,7 @@
 import datetime as dt
 import pickle
 import random
+import time
 from pathlib import Path
 
 import pyarrow as pa
@@ -9,6 +10,7 @@ import pytest
 
 from lodegraph import registry, session
 from lodegraph.operators import flows, graph
+from lodegraph.sources import tables
 from tests.oracle import compare, connect
 
 
@@ -170,3 +172,41 @@ def test_flows_of_a_node_walk_what_comes_to_it(spark, monkeypatch):
     f = flows.Flows(e)
     assert rows(f.through(f.least_second())) == [(0, ">".join(f"{i:012d}" for i in range(5)))]
     assert sent == [flows._Graph] and walked == [64, 1]
+
+
+def test_names_are_not_shuffled(spark, monkeypatch):
+    """Those of nodes with a call are told where they are read, also where ids are null or of another width, and entries come from the graph."""
+    monkeypatch.setattr(flows, "uncalled", lambda step: step.selectExpr("src AS id").limit(0))
+    f, settled = flows.Flows(calls(spark, [(1, 2), (2, 3), (4, 2)])), []
+    settle = flows.settle
+    monkeypatch.setattr(flows, "settle", lambda df, **how: settled.append(df._jdf.queryExecution().executedPlan().toString()) or settle(df, **how))
+    names = spark.createDataFrame([(1, "a"), (3, "c"), (None, "x"), (0, "o"), (9, "z")], "id int, name string")
+    at = lambda *x: ">".join(f"{i:012d}" for i in x)
+    assert rows(f.steps(names).select("entry", "path", "step", "node", "name")) == [(1, at(1, 2, 3), 0, 1, "a"), (1, at(1, 2, 3), 2, 3, "c"), (4, at(4, 2, 3), 2, 3, "c")]
+    assert settled and not any("Exchange" in plan for plan in settled)
+
+
+def test_sure_edges_are_the_edges(spark, layered):
+    """With fewer fields in the shuffle; values below least still end what comes before."""
+    for kind, least in (("click", 0.65), ("click", 0.0), ("none", 0.5)):
+        expected = rows(tables.edges(spark, layered[0]).where((tables.F.col("edge_type") == kind) & (tables.F.col("confidence") >= least)).select("src", "dst", "confidence"))
+        assert rows(tables.sure_edges(spark, layered[0], kind, least)) == expected and bool(expected) == (kind == "click")
+    plan = tables.sure_edges(spark, layered[0], "click", 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_what_is_shuffled_for_calls_is_deleted(spark):
+    """Flows of a graph leave no shuffle but the counts'; the session's setting is as before, also after a failure."""
+    folder = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    held = lambda: sum(p.stat().st_size for p in folder.rglob("shuffle_*.data") if p.exists())
+    e = calls(spark, drawn(4, 20000, 60000))
+    before = held()
+    f = flows.Flows(e)
+    until = time.time() + 20
+    while (left := held() - before) > 50_000 and time.time() < until:
+        time.sleep(0.2)
+    assert f.small and left <= 50_000
+    assert spark.conf.get(session._CLEANUP, None) is None
+    with pytest.raises(Exception, match="no such thing"):
+        session.settle(spark.range(1).selectExpr("raise_error('no such thing') AS x"), tidy=True)
+    assert spark.conf.get(session._CLEANUP, None) is None
